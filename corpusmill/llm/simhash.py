@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import LOWER, UPPER, saved
 from .components import components
@@ -99,12 +99,11 @@ def links(fps: DataFrame, bits: int = 2, pair_limit: int = 64) -> DataFrame:
     """
     if bits != 2:
         pair_limit = 1 << 60
-    filed = _filed(fps, bits)
-    keys = saved(filed.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "keys")
+    here = Window.partitionBy("slot", "part")
+    met = saved(_filed(fps, bits).withColumn("n", F.count(F.lit(1)).over(here)).where("n > 1"), "met")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    lone = keys.where("n = 2").where(near).select("a", "b")
-    met = saved(filed.join(keys.where("n > 2").select("slot", "part", "n"), ["slot", "part"]), "met")
-    some = met.where(F.col("n") <= pair_limit).select("slot", "part", "fp")
+    lone = met.where("n = 2").groupBy("slot", "part").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(near).select("a", "b")
+    some = met.where(F.col("n").between(3, pair_limit)).select("slot", "part", "fp")
     pairs = some.withColumnRenamed("fp", "a").join(some.withColumnRenamed("fp", "b"), ["slot", "part"]).where("a < b").where(near).select("a", "b")
     out = lone.union(pairs)
     if bits == 2:
