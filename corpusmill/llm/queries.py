@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, sharding, simhash, url_filter
+import corpus_pipeline
+
+from . import bm25_topk, decontaminate, html_text, licenses, line_dedup, quality_crf, sentencepiece_codec, sharding, simhash, url_filter
 from .common import table
 
 URL_RULES = (
@@ -17,6 +19,11 @@ URL_RULES = (
 SHARD_LIMIT = 16 << 20
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_crf.judged(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filtered(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -57,6 +64,44 @@ SELECT doc_id, substr(lpad(bin(h), 60, '0'), 1, depth) AS shard, depth::INTEGER
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentencepiece_codec.broadcast_model(spark)
+    both = docs.withColumn("ids", sentencepiece_codec.encoded(F.col("text"), model)).withColumn("back", sentencepiece_codec.decoded(F.col("ids"), model))
+    same = F.col("back").eqNullSafe(F.replace("text", F.lit(sentencepiece_codec.MARK), F.lit(" ")))
+    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"), same.alias("round_trip"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.by_document(docs, licenses.scanned(docs, licenses.trained(docs)))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, no - 1 AS no, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda w: w <> ''))) AS s, x
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents WHERE text <> '')),
+f AS (SELECT s, len(s) AS n, min((doc_id, no)) AS first FROM l WHERE len(s) > 0 GROUP BY s),
+k AS (SELECT s, n, first, row_number() OVER (ORDER BY s) AS id FROM f),
+w AS (SELECT id, n, unnest(s) AS tok FROM k),
+df AS (SELECT tok, count(*) AS c FROM w GROUP BY tok),
+r AS (SELECT id, n, tok, row_number() OVER (PARTITION BY id ORDER BY c, tok) AS pos FROM w JOIN df USING (tok)),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.tok = b.tok AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+      WHERE a.pos <= a.n - (4 * a.n + 4) // 5 + 1 AND b.pos <= b.n - (4 * b.n + 4) // 5 + 1),
+m AS (SELECT CASE WHEN a.first < b.first THEN b.id ELSE a.id END AS id FROM p JOIN k a ON a.id = p.a JOIN k b ON b.id = p.b
+      WHERE 5 * len(list_intersect(a.s, b.s)) >= 4 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+g AS (SELECT l.doc_id, l.no, l.x, len(l.s) > 0 AND ((l.doc_id, l.no) > k.first OR k.id IN (SELECT id FROM m)) AS gone FROM l LEFT JOIN k ON k.s = l.s),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, FALSE)), '') AS text FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t.text, d.text)) AS text_sha256
+FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", html_text.extracted(F.col("html")).alias("main")).select("page_id", "url", "main.text", "main.n_chars")
@@ -83,8 +128,32 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def op10_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return bm25_topk.top_k(docs, asked).select("query_id", "rank", "doc_id", "score")
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w) AS dl, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT doc_id AS query_id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM tf JOIN df USING (t), s WHERE doc_id % 100 = 0),
+hit AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score FROM q JOIN tf USING (t), s GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM hit)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_quality_crf": op1_quality_crf,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_licenses": op6_licenses,
+        "op7_line_dedup": op7_line_dedup,
+        "op10_bm25_topk": op10_bm25_topk,
         "op2_url_filter": op2_url_filter,
         "op3_simhash": op3_simhash,
         "op4_sharding": op4_sharding,
@@ -94,4 +163,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_sharding": OP4_SQL, "op9_decontaminate": OP9_SQL}
+    sql = {"op2_url_filter": OP2_SQL, "op4_sharding": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_bm25_topk": OP10_SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
