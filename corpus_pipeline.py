@@ -37,9 +37,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, their number, and whether they decode to its text."""
     model = sentencepiece_codec.broadcast_model(spark)
-    both = docs.select("doc_id", "text", sentencepiece_codec.encoded(F.col("text"), model).alias("input_ids")).withColumn("back", sentencepiece_codec.decoded(F.col("input_ids"), model))
-    same = F.col("back").eqNullSafe(F.replace("text", F.lit(sentencepiece_codec.MARK), F.lit(" ")))
-    return both.select("doc_id", "input_ids", F.coalesce(F.size("input_ids"), F.lit(0)).cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return sentencepiece_codec.encoded(docs.select("doc_id", "text"), model, check=True).select("doc_id", "input_ids", "n_tokens", "round_trip")
 
 
 STAGES = [

@@ -67,9 +67,7 @@ SELECT doc_id, substr(lpad(bin(h), 60, '0'), 1, depth) AS shard, depth::INTEGER
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = sentencepiece_codec.broadcast_model(spark)
-    both = docs.withColumn("ids", sentencepiece_codec.encoded(F.col("text"), model)).withColumn("back", sentencepiece_codec.decoded(F.col("ids"), model))
-    same = F.col("back").eqNullSafe(F.replace("text", F.lit(sentencepiece_codec.MARK), F.lit(" ")))
-    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxh64"), same.alias("round_trip"))
+    return sentencepiece_codec.encoded(docs, model, ids=None, check=True).select("doc_id", "n_tokens", "ids_xxh64", "round_trip")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,17 +18,18 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-GROUP = 512  #: documents whose words are sorted together
-CACHE = 500_000  #: words and pairs kept in a task; then it starts anew
+GROUP = 1024  #: documents whose words are sorted together
+CACHE = 150_000  #: words and pairs kept in a task; then it starts anew
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -55,6 +56,17 @@ def load_model(path: str = MODEL) -> dict:
 def merged(word: str, scores: dict[str, float]) -> list[str]:
     """BPE: of all neighbours whose join is a piece, the best (then the leftmost) merge, until none are left."""
     parts: list[str] = list(word)
+    get = scores.get
+    if len(parts) <= 16:  # too few for a heap to pay
+        while True:
+            best = at = None
+            for i in range(len(parts) - 1):
+                s = get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if at is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
     after = [*range(1, len(parts)), -1]
     before = list(range(-1, len(parts) - 1))
     heap: list[tuple[float, int, str]] = []
@@ -99,6 +111,8 @@ class Encoder:
 
     def _pair(self, a: str, b: str) -> bool:
         """Whether BPE leaves `a` then `b` as they are; for a = "" whether it makes b one piece."""
+        if a and a + b in self.ids:  # neighbours that make a piece always merge
+            return False
         if len(self.stable) >= CACHE:
             self.stable.clear()
         ok = self.stable[a, b] = merged(a + b, self.scores) == ([a, b] if a else [b])
@@ -113,14 +127,18 @@ class Encoder:
             if word.startswith(MARK * 2):  # runs of blanks: ties between pieces of one score
                 known[word] = self._spell(merged(word, self.scores))
                 continue
-            n = len(commonprefix((before, word)))
+            n = 0
+            for x, y in zip(before, word):  # noqa: B905
+                if x != y:
+                    break
+                n += 1
             del last[n + 1 :]
             for i in range(n + 1, len(word) + 1):
                 for at in range(i - 1, max(-1, i - 1 - longest), -1):
                     p = word[at:i]
-                    if (p in pieces or at == i - 1) and (prev := last[at]) is not None:
-                        ok = stable((prev, p))
-                        if ok or (ok is None and pair(prev, p)):
+                    if p in pieces or at == i - 1:
+                        prev = last[at]
+                        if prev is not None and ((ok := stable((prev, p))) or (ok is None and pair(prev, p))):
                             last.append(p)
                             break
                 else:
@@ -129,7 +147,14 @@ class Encoder:
             while i and (p := last[i]):
                 path.append(p)
                 i -= len(p)
-            known[word] = self._spell(merged(word, self.scores) if i else reversed(path))
+            if i:
+                path = merged(word, self.scores)
+            else:
+                path.reverse()
+            try:
+                known[word] = tuple([pieces[p] for p in path])
+            except KeyError:
+                known[word] = self._spell(path)
             before = word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -165,15 +190,36 @@ def broadcast_model(spark: SparkSession, path: str = MODEL) -> Broadcast:
     return spark.sparkContext.broadcast(load_model(path))
 
 
-def encoded(text: Column, model: Broadcast) -> Column:
-    """array<int> of piece ids. A null text gives null, an empty one no ids; U+2581 in a text counts as a space."""
-
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(model)
-        for s in batches:
-            yield pd.Series([x for i in range(0, len(s), GROUP) for x in encoder.encode(s.iloc[i : i + GROUP].tolist())], dtype=object)
-
-    return F.pandas_udf(ids, T.ArrayType(T.IntegerType()))(text)
+def encoded(docs: DataFrame, model: Broadcast, *, text: str = "text", ids: str | None = "input_ids", check: bool = False) -> DataFrame:
+    """`docs` with the piece ids (array<int>, in the column `ids` unless that is None) and n_tokens of each text.
+
+    With `check`, ids_xxh64 (XXH64 of the ids as little-endian 32-bit integers) and round_trip (whether they decode to the text) are added. Columns of
+    these names are replaced. A null text gives null ids and no tokens, an empty one no ids; U+2581 in a text counts as a
+    space. Rows are encoded in runs of GROUP, so that a task holds no more than that, whatever the batch.
+    """
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []
+    added += [T.StructField("n_tokens", T.LongType())]
+    added += [T.StructField("ids_xxh64", T.LongType()), T.StructField("round_trip", T.BooleanType())] if check else []
+    names = {f.name for f in added}
+    kept = docs.select(*[c for c in docs.columns if c not in names and c != text], F.col(text)) if text not in names else docs
+    at = len(kept.columns) - 1
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, spelled = _encoder(model), model.value["spelled"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, GROUP):
+                rows = batch.slice(start, GROUP)
+                texts = rows.column(at).to_pylist()
+                found = encoder.encode(texts)
+                out = [pa.array(found, pa.list_(pa.int32()))] if ids else []
+                out.append(pa.array([0 if x is None else len(x) for x in found], pa.int64()))
+                if check:
+                    same = [(None if t is None else t.replace(MARK, " ")) == decode(None if x is None else x.tolist(), spelled) for t, x in zip(texts, found, strict=True)]
+                    out.append(pa.array([None if x is None else np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64) for x in found], pa.int64()))
+                    out.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *out], names=[*rows.schema.names, *[f.name for f in added]])
+
+    return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, *added]))
 
 
 def decoded(ids: Column, model: Broadcast) -> Column:
