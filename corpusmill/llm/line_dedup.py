@@ -6,24 +6,29 @@ line number; what happens to that earlier line doesn't matter.
 
 Lines with equal sets are settled by grouping. Between different sets, each line files its rarest words: with n words it
 can only match a line that shares one of its first n - ceil(t n) + 1 words in order of rarity. Lines that meet
-under a word are paired if their lengths and the word's places in both allow a match (length and positional
-filter), and the sets of each pair are compared in full.
+under a word are paired if their lengths and the word's places in both allow a match (length and positional filter)
+and the parities of their words' bits don't differ too often (each word that only one has flips one bit at most); the sets of each pair are
+compared in full.
 
-Rarity is counted over all lines in 2**22 hashed counters, which have one fixed size however large the corpus is. Any order that all
-lines share gives the same result; a rarer-first order only makes the lists short. Words seen in one line only
-can't be shared and aren't filed.
+Rarity is counted over all lines in 2**22 hashed counters, which have one fixed size however large the corpus is. Any order that
+all lines share gives the same result; a rarer-first order only makes the lists short. Words seen in one line only can't be
+shared and aren't filed.
 
-In lists of more than LEAD lines, the first LEAD lines are compared with the rest, and only lines that are still unmatched are
-then compared with the other earlier lines of the list. So a large group of near copies costs work in proportion to its size.
+In lists of more than `LONG` lines, the first LEAD lines are compared with the rest, and only lines that are still unmatched
+are then compared with the other earlier lines of the list. So a large group of near copies costs work in proportion to its size.
+
+Words and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -32,147 +37,195 @@ from .common import LOWER, UPPER, saved
 
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 COUNTERS = 22
+CHUNK = 16  #: counters go to the driver in chunks of 2**16
 MAP_BITS = 25
 LEAD = 16
-KNOWN = 400_000  #: hashes kept in a task before it starts anew
+LONG = 256
+ROWS = 1000  #: texts that are taken apart at a time
+
+
+@dataclass
+class Sets:
+    """The word sets of the lines of some texts; lines without words are left out. `line` says whose word each of `words` is."""
+
+    text: np.ndarray
+    no: np.ndarray
+    n: np.ndarray
+    id: np.ndarray
+    sig: np.ndarray
+    line: np.ndarray
+    words: np.ndarray
+
+
+def sets_of(texts: pa.Array) -> Sets:
+    split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    text = np.asarray(pc.list_parent_indices(split))
+    no = np.arange(len(text)) - np.asarray(split.offsets)[text] + np.asarray(split.offsets)[0] if len(text) else text
+    words = pc.ascii_split_whitespace(pc.ascii_lower(split.flatten()))
+    owner = np.asarray(pc.list_parent_indices(words)).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names), np.uint64, len(names))
+    by_hash = np.argsort(hashes, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[by_hash] = np.arange(len(names))
+    hashes = hashes[by_hash]
+    key = (owner << 32) | place[np.asarray(coded.indices)]
+    if "" in names:
+        key = key[(key & 0xFFFFFFFF) != place[names.index("")]]
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    line, h = key >> 32, hashes[key & 0xFFFFFFFF] if len(names) else np.zeros(0, np.uint64)
+    n = np.bincount(line, minlength=len(text))
+    some = np.flatnonzero(n)
+    n = n[some]
+    start = np.cumsum(n) - n
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    ids = np.add.reduceat(mixed, start).view(np.int64) if len(some) else np.zeros(0, np.int64)
+    sig = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), start).view(np.int64) if len(some) else np.zeros(0, np.int64)
+    return Sets(text[some], no[some], n, ids, sig, np.repeat(np.arange(len(some)), n), h)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
-class Hasher:
-    """64-bit hashes of words, with a memory of the latest ones."""
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTERS)).astype(np.int64)
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def sets(self, text: str | None) -> Iterator[tuple[int, list[int]]]:
-        """(line number from 0, sorted hashes of its distinct words) of each line with words."""
-        if not text:
-            return
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        digest = xxhash.xxh3_64_intdigest
-        for no, line in enumerate(text.encode("utf-8", "surrogatepass").translate(_LOW).split(b"\n")):
-            if words := set(line.split()):
-                out = []
-                for w in words:
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = digest(w)
-                    out.append(h)
-                out.sort()
-                yield no, out
+def _chosen(sets: Sets, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, words) of the lines marked."""
+    take = lines[sets.line]
+    return sets.line[take], sets.words[take]
 
 
-def _set_id(hashes: list[int]) -> int:
-    """A signed 64-bit name of the set."""
-    h = xxhash.xxh3_64_intdigest(np.array(hashes, dtype=np.uint64).tobytes(), 7)
-    return h - (1 << 64) if h >> 63 else h
+def _firsts(ids: np.ndarray) -> np.ndarray:
+    """Marks one line of each set."""
+    out = np.zeros(len(ids), bool)
+    out[np.unique(ids, return_index=True)[1]] = True
+    return out
 
 
-_SCAN = "doc_id long, line_no int, id long, n int, counter int, count long"
+_SCAN = "doc_id long, line_no int, id long, chunk int, counts binary"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line, and at the end of a task the counters of the words of its different lines."""
-    hasher, seen = Hasher(), set()
+    """A row for each line, and at the end of a task its word counters, in chunks."""
     counts = np.zeros(1 << COUNTERS, np.int64)
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("counter", pa.int32()), ("count", pa.int64())])
-
-    def rows(docs, nos, ids, sizes):
-        n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], schema=schema)
-
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("id", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    for rows in _slices(batches):
+        sets = sets_of(rows.column(1))
+        _, words = _chosen(sets, _firsts(sets.id))
+        np.add.at(counts, _counter(words), 1)
+        n = len(sets.id)
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(sets.text)), pa.array(sets.no.astype(np.int32)), pa.array(sets.id), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+    for chunk in range(1 << (COUNTERS - CHUNK)):
+        part = counts[chunk << CHUNK : (chunk + 1) << CHUNK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([chunk], pa.int32()), pa.array([np.minimum(part, 65535).astype("<u2").tobytes()], pa.binary())], schema=schema)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the counters of each chunk; a counter stops at 65535."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        docs, nos, ids, sizes, words = [], [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for no, hashes in hasher.sets(text):
-                i = _set_id(hashes)
-                docs.append(doc)
-                nos.append(no)
-                ids.append(i)
-                sizes.append(len(hashes))
-                if i not in seen:
-                    seen.add(i)
-                    words += hashes
-            if len(words) > 2_000_000:
-                counts += _tally(words)
-                words = []
-            if len(seen) > KNOWN:
-                seen.clear()
-            if len(ids) > 100_000:
-                yield rows(docs, nos, ids, sizes)
-                docs, nos, ids, sizes = [], [], [], []
-        counts += _tally(words)
-        yield rows(docs, nos, ids, sizes)
-    used = np.flatnonzero(counts)
-    for at in range(0, len(used), 200_000):
-        part = used[at : at + 200_000]
-        none = [pa.nulls(len(part), k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(part.astype(np.int32)), pa.array(counts[part])], schema=schema)
-
-
-def _tally(words: list[int]) -> np.ndarray:
-    return np.bincount((np.array(words, dtype=np.uint64) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(blob, "<u2").astype(np.uint32)
+            sums[chunk] = np.minimum(sums[chunk] + part, 65535) if chunk in sums else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<u2").tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
 def _filer(rarity: Broadcast, num: int, den: int):
     """Files each line under the rarest words it may share with a line that matches."""
-    schema = pa.schema([("tok", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("tok", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.int64())])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, counts = Hasher(), set(), rarity.value
-        for batch in batches:
-            ids, flat, sizes = [], [], []
-
-            def filed():
-                n = np.array(sizes, dtype=np.int64)
-                h = np.array(flat, dtype=np.uint64)
-                line = np.repeat(np.arange(len(n)), n)
-                count = counts[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.int64)
-                order = np.argsort((line << 44) | (count << 28) | (h >> np.uint64(36)).astype(np.int64), kind="stable")  # a line's hashes come sorted
-                pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                prefix = n - (num * n + den - 1) // den + 1
-                take = (pos < prefix[line]) & (count[order] > 1)
-                at = line[take]
-                return pa.RecordBatch.from_arrays([pa.array(h[order][take].view(np.int64)), pa.array(np.array(ids, dtype=np.int64)[at]), pa.array(n[at].astype(np.int32)), pa.array(pos[take].astype(np.int32))], schema=schema)
-
-            for text in batch.column(0).to_pylist():
-                for _, hashes in hasher.sets(text):
-                    if (den - num) * len(hashes) >= num and (i := _set_id(hashes)) not in seen:
-                        seen.add(i)
-                        ids.append(i)
-                        sizes.append(len(hashes))
-                        flat += hashes
-                if len(seen) > KNOWN:
-                    seen.clear()
-                if len(flat) > 1_000_000:
-                    yield filed()
-                    ids, flat, sizes = [], [], []
-            if ids:
-                yield filed()
+        counts = rarity.value
+        for rows in _slices(batches):
+            sets = sets_of(rows.column(0))
+            line, h = _chosen(sets, _firsts(sets.id) & ((den - num) * sets.n >= num))  # smaller sets only match equal ones
+            count = counts[_counter(h)].astype(np.int64)
+            rank = np.argsort((line << 44) | (count << 28) | (h >> np.uint64(36)).astype(np.int64), kind="stable")
+            line, h, count = line[rank], h[rank], count[rank]
+            new = np.append(True, line[1:] != line[:-1]) if len(line) else np.zeros(0, bool)
+            pos = np.arange(len(line)) - np.maximum.accumulate(np.where(new, np.arange(len(line)), 0))
+            n = sets.n[line]
+            take = (pos < n - (num * n + den - 1) // den + 1) & (count > 1)
+            at = line[take]
+            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(sets.id[at]), pa.array(sets.n[at].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(sets.sig[at])], schema=schema)
 
     return file
 
 
+_MET = "a long, b long, tok long, id long, n int, pos int, sig long"
+
+
+def _pairer(num: int, den: int):
+    """Rows come sorted by word and set. Gives the pairs of lists up to LONG that pass the filters, and the rows of longer lists."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tok", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.int64())])
+
+    def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
+        tok, ids, n, pos, sig = cols
+        keep = np.append(True, (tok[1:] != tok[:-1]) | (ids[1:] != ids[:-1]))  # a set that came from several tasks
+        tok, ids, n, pos, sig = (c[keep] for c in (tok, ids, n, pos, sig))
+        new = np.append(True, tok[1:] != tok[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(tok)))
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(tok)) - 1  # rows after this one in its list
+        long = np.repeat(size > LONG, size)
+        at = np.flatnonzero(~long & (left > 0))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        found = []
+        d = 1
+        while len(at):
+            to = at + d
+            total = n[at] + n[to]
+            fits = (den * n[at] >= num * n[to]) & (den * n[to] >= num * n[at]) & (np.minimum(n[at] - pos[at], n[to] - pos[to]) * (num + den) >= num * total)
+            fits[fits] = (num + den) * np.bitwise_count((sig[at[fits]] ^ sig[to[fits]]).view(np.uint64)).astype(np.int64) <= (den - num) * total[fits]
+            found.append((ids[at[fits]], ids[to[fits]]))
+            d += 1
+            at = at[left[at] >= d]
+        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+        rest = np.flatnonzero(long)
+        none, some = pa.nulls(len(rest), pa.int64()), [pa.nulls(len(a), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+        pairs = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *some], schema=schema)
+        rows = pa.RecordBatch.from_arrays([none, none, pa.array(tok[rest]), pa.array(ids[rest]), pa.array(n[rest].astype(np.int32)), pa.array(pos[rest].astype(np.int32)), pa.array(sig[rest])], schema=schema)
+        return [pairs, rows]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count = 0
+        for batch in batches:
+            held.append([np.asarray(batch.column(i)) for i in range(5)])
+            count += batch.num_rows
+            if count >= 200_000:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on
+                if cut:
+                    yield from settle([c[:cut] for c in cols])
+                held, count = [[c[cut:] for c in cols]], count - cut
+        if count:
+            yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return pair
+
+
 def _fetcher(wanted: Broadcast):
     """The sets whose name's bit is set in the map: all that are wanted, and a few more."""
     schema = pa.schema([("id", pa.int64()), ("words", pa.list_(pa.int64()))])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, bits = Hasher(), set(), wanted.value
-        for batch in batches:
-            ids, sets = [], []
-            for text in batch.column(0).to_pylist():
-                for _, hashes in hasher.sets(text):
-                    i = _set_id(hashes)
-                    slot = i & ((1 << MAP_BITS) - 1)
-                    if (int(bits[slot >> 3]) >> (slot & 7)) & 1 and i not in seen:
-                        seen.add(i)
-                        ids.append(i)
-                        sets.append(np.array(hashes, dtype=np.uint64).view(np.int64))
-                if len(seen) > KNOWN:
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+        bits = wanted.value
+        for rows in _slices(batches):
+            sets = sets_of(rows.column(0))
+            slot = sets.id & ((1 << MAP_BITS) - 1)
+            lines = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool) & _firsts(sets.id)
+            _, words = _chosen(sets, lines)
+            offsets = np.append(0, np.cumsum(sets.n[lines])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sets.id[lines]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.view(np.int64)))], schema=schema)
 
     return fetch
 
@@ -193,34 +246,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFram
 
 
 def _paired(left: DataFrame, right: DataFrame, once: Column, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that share a filed word and pass the length and positional filters."""
+    """Pairs (a, b) that share a filed word and pass the length, positional and parity filters."""
     x = left.select("tok", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "tok"])
     y = right.select("tok", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "tok"])
-    least = F.expr(f"({num} * (x_n + y_n) + {num + den - 1}) div {num + den}")  # words that a match must share
+    total = F.col("x_n") + F.col("y_n")
     room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
-    fits = (den * F.col("x_n") >= num * F.col("y_n")) & (den * F.col("y_n") >= num * F.col("x_n")) & (room >= least)
+    fits = (den * F.col("x_n") >= num * F.col("y_n")) & (den * F.col("y_n") >= num * F.col("x_n")) & (room * (num + den) >= num * total)
+    fits &= F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig"))) * (num + den) <= (den - num) * total
     return x.join(y, "tok").where(once & fits).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, line_no): the lines with an earlier match, numbered from 0."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
     scan = saved(docs.mapInArrow(_lines, _SCAN), "lines")
-    lines = scan.where("id is not null").select("doc_id", "line_no", "id", "n")
+    lines = scan.where("id is not null").select("doc_id", "line_no", "id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     firsts = saved(lines.groupBy("id").agg(F.min(order).alias("first")), "firsts")
-    tally = scan.where("id is null").groupBy("counter").agg(F.least(F.sum("count"), F.lit(65535)).cast("int").alias("count")).toArrow()  # 2**22 rows at most
+    chunks = scan.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_added, "chunk int, counts binary").collect()  # 2**22 counters of two bytes
     counts = np.zeros(1 << COUNTERS, np.uint16)
-    counts[np.asarray(tally["counter"])] = np.asarray(tally["count"]).astype(np.uint16)
-    del tally
-    rarity = docs.sparkSession.sparkContext.broadcast(counts)
-    filed = docs.select("text").mapInArrow(_filer(rarity, num, den), "tok long, id long, n int, pos int")
-    lists = saved(_listed(filed.repartition("tok").dropDuplicates(["tok", "id"])), "lists")
-    short = lists.where(F.col("size") <= LEAD).drop("size")
-    longer = lists.where(F.col("size") > LEAD).drop("size").join(firsts.select("id", "first"), "id")
+    for r in chunks:
+        counts[r["chunk"] << CHUNK : (r["chunk"] + 1) << CHUNK] = np.frombuffer(r["counts"], "<u2")
+    rarity = spark.sparkContext.broadcast(counts)
+    filed = docs.select("text").mapInArrow(_filer(rarity, num, den), "tok long, id long, n int, pos int, sig long")
+    met = saved(filed.repartition("tok").sortWithinPartitions("tok", "id").mapInArrow(_pairer(num, den), _MET), "met")
+    short = met.where("a is not null").select("a", "b")
+    longer = met.where("a is null").select("tok", "id", "n", "pos", "sig").join(firsts, "id")
     ranked = saved(longer.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("first", "id"))).drop("first"), "ranked")
     lead = ranked.where(F.col("rank") <= LEAD)
-    one = saved(_paired(short, short, F.expr("x_id < y_id"), num, den).union(_paired(lead, ranked, F.expr("x_rank < y_rank"), num, den)).distinct(), "pairs")
+    one = saved(short.union(_paired(lead, ranked, F.expr("x_rank < y_rank"), num, den)).distinct(), "pairs")
     firsts_of = lambda side: firsts.select(F.col("id").alias(side), F.col("first").alias(f"first_{side}"))
 
     def later(pairs: DataFrame) -> DataFrame:
@@ -229,19 +284,13 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     gone = saved(later(_verified(one, docs, num, den)), "gone")
     rest = ranked.where(F.col("rank") > LEAD)
-    open_rest = rest.join(gone.select("id"), "id", "left_anti")
-    two = saved(_paired(rest, open_rest, F.expr("x_rank < y_rank"), num, den).join(one, ["a", "b"], "left_anti"), "pairs")
+    two = saved(_paired(rest, rest.join(gone, "id", "left_anti"), F.expr("x_rank < y_rank"), num, den), "pairs")
     if not two.isEmpty():
         gone = saved(gone.union(later(_verified(two, docs, num, den))).distinct(), "gone")
     settled = firsts.join(gone.withColumn("matched", F.lit(True)), "id", "left")
     return lines.join(settled, "id").where(F.col("matched").isNotNull() | (order > F.col("first"))).select("doc_id", "line_no")
 
 
-def _listed(filed: DataFrame) -> DataFrame:
-    """The filed lines that meet another one, with the number of lines under their word."""
-    return filed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("size > 1")
-
-
 @F.pandas_udf(T.StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     def rest(t, numbers):

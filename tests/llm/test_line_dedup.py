@@ -27,6 +27,7 @@ def corpus(seed):
 @pytest.mark.parametrize("lead", [1, 16])
 def test_removed_lines_match_brute_force(spark, monkeypatch, lead):
     monkeypatch.setattr(line_dedup, "LEAD", lead)
+    monkeypatch.setattr(line_dedup, "LONG", 3 * lead)
     docs = corpus(lead)
     got = {}
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
