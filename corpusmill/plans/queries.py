@@ -1,11 +1,18 @@
-"""Queries of the library's operators over the given tables, and their SQL."""
+"""All queries of the library's operators, and their SQL."""
 
 from __future__ import annotations
 
+from . import scans
+from .base import QUERIES, SQL
+
+
+def entry(spark, sf_dir):
+    return scans.entry(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
