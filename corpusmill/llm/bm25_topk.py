@@ -1,7 +1,8 @@
 """Exact BM25 top-k search: an inverted index per shard, block-max WAND pruning, and an exact merge.
 
-Documents are dealt into shards of about `SHARD_POSTINGS` postings. Each task holds one shard's inverted index: for each
-term the documents and their term weights, and for each block of BLOCK documents the largest weight. Queries stream past it.
+Each task takes its documents in shards of about `SHARD_POSTINGS` postings, and holds one shard's inverted index at a time: for
+each term the documents and their term weights, and for each block of BLOCK documents the largest weight. The queries come
+in broadcast blocks of at most QUERY_TERMS terms; each block is one pass over the documents, and no document is shuffled.
 WAND's test, whether the bounds of a query's terms can add up to the worst score that is still in the top k, is made
 for all blocks at once; blocks are scored from the largest bound down, and those below the threshold are skipped.
 idf and average length come from all documents, so scores of different shards compare, and the k best of the shards'
@@ -17,15 +18,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import alnum_words, saved
 
-SHARD_POSTINGS = 3_000_000
+SHARD_POSTINGS = 2_000_000
+QUERY_TERMS = 2_000_000
 BLOCK = 32
 K1, B = 1.2, 0.75
 DIGITS = 6
-KNOWN = 400_000
+KNOWN = 150_000
 
 _COUNTED = T.StructType([T.StructField("len", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
 
@@ -61,11 +64,13 @@ class Shard:
     def __init__(self, docs: np.ndarray, lengths: np.ndarray, terms: np.ndarray, tfs: np.ndarray, sizes: np.ndarray, mean: float, k1: float, b: float):
         self.docs = docs
         order = np.argsort(terms, kind="stable")  # within a term by document
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-        tf = tfs[order].astype(np.float64)
-        self.doc = doc
-        self.weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
         terms = terms[order]
+        self.doc = doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        weight = tfs[order].astype(np.float64)
+        del order
+        weight /= weight + (k1 * (1 - b + b * lengths / mean))[doc]
+        weight *= k1 + 1
+        self.weight = weight
         new = np.empty(len(terms), bool)
         new[:1] = True
         np.not_equal(terms[1:], terms[:-1], out=new[1:])
@@ -131,40 +136,41 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _HITS = "query_id long, asked long, doc_id long, score double"
 
 
-def _searcher(k: int, mean: float, k1: float, b: float):
+def _searcher(queries: Broadcast, k: int, mean: float, k1: float, b: float):
     schema = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shard; in each its documents (idfs null) before the queries."""
-        shard, gathered, at = None, [], None
-
-        def built():
-            terms = np.concatenate([x[2] for x in gathered]) if gathered else np.zeros(0, np.int64)
-            tfs = np.concatenate([x[3] for x in gathered]) if gathered else np.zeros(0, np.int32)
-            sizes = np.array([len(x[2]) for x in gathered], np.int64)
-            return Shard(np.array([x[0] for x in gathered], np.int64), np.array([x[1] for x in gathered], np.float64), terms, tfs, sizes, mean, k1, b)
+    def answered(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        docs, lengths, terms, tfs = (pa.chunked_array([r.column(i) for r in rows]).combine_chunks() for i in range(4))
+        shard = Shard(np.asarray(docs), np.asarray(lengths).astype(np.float64), np.asarray(terms.flatten()), np.asarray(tfs.flatten()), np.asarray(terms.value_lengths()), mean, k1, b)
+        ids, asked, offsets, q_terms, idfs = queries.value
+        hits = []
+        for i in range(len(ids)):
+            found, scores = shard.search(q_terms[offsets[i] : offsets[i + 1]], idfs[offsets[i] : offsets[i + 1]], k)
+            hits.append((np.full(len(found), ids[i]), np.full(len(found), asked[i]), found, scores))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in hits])) for i in range(4)], schema=schema)
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, postings = [], 0
         for batch in batches:
-            hits: list[tuple] = []
-            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            kind, shards, ids, asked, lens = (cols[c].to_pylist() for c in ("kind", "shard", "id", "asked", "len"))
-            for r in range(batch.num_rows):
-                if shards[r] != at:
-                    shard, gathered, at = None, [], shards[r]
-                terms = cols["terms"][r].values.to_numpy(zero_copy_only=False)
-                if kind[r] == 0:
-                    gathered.append((ids[r], lens[r], terms, cols["tfs"][r].values.to_numpy(zero_copy_only=False)))
-                    continue
-                if shard is None:
-                    shard, gathered = built(), []
-                found, scores = shard.search(terms, cols["idfs"][r].values.to_numpy(zero_copy_only=False), k)
-                hits.append((np.full(len(found), -1 if ids[r] is None else ids[r]), np.full(len(found), asked[r]), found, scores))
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in hits])) for i in range(4)], schema=schema)
+            held.append(batch)
+            postings += len(batch.column(2).flatten())
+            if postings >= SHARD_POSTINGS:
+                yield answered(held)
+                held, postings = [], 0
+        if held:
+            yield answered(held)
 
     return search
 
 
+def _block(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """(ids, asked, offsets, terms, idfs) of some queries."""
+    rows = rows.combine_chunks()
+    terms = rows["terms"].combine_chunks()
+    offsets = np.append(0, np.cumsum(np.asarray(terms.value_lengths()))).astype(np.int64)
+    return np.asarray(rows["id"]), np.asarray(rows["asked"]), offsets, np.asarray(terms.flatten()), np.asarray(rows["idfs"].combine_chunks().flatten())
+
+
 def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, rank, doc_id, score): for each query row the k best documents with a score above 0.
 
@@ -173,24 +179,23 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "do
     ties go to the smaller id. Null and empty texts are never found and find nothing; rows with a null id are left out on
     either side; documents that repeat an id are documents of their own. Queries with equal id and text are asked once.
     """
-    counted = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("slot"), term_counts(F.col(text)).alias("c"))
-    index = saved(counted.select("id", "slot", "c.len", "c.terms", "c.tfs").where("len > 0"), "index")
-    n, words, postings = index.agg(F.count(F.lit(1)), F.sum("len"), F.sum(F.size("terms"))).first()
+    counted = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), term_counts(F.col(text)).alias("c"))
+    index = saved(counted.select("id", "c.len", "c.terms", "c.tfs").where("len > 0"), "index")
+    n, words = index.agg(F.count(F.lit(1)), F.sum("len")).first()
     asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("id"), term_counts(F.col(query_text)).alias("c"))
     asked = saved(asked.select("id", F.col("c.terms").alias("terms"), F.xxhash64("id", F.array_sort("c.terms")).alias("asked")).where(F.size("terms") > 0).dropDuplicates(["asked"]), "asked")
     df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.select("id", "asked", F.explode("terms").alias("term")).join(df, "term").groupBy("id", "asked").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("t"))
     weighed = saved(weighed.withColumn("t", F.array_sort("t")).select("id", "asked", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")), "weighed")
-    shards = max(1, -(-(postings or 0) // SHARD_POSTINGS))
-    rows = index.select(
-        F.lit(0).alias("kind"), F.pmod(F.xxhash64("slot"), F.lit(shards)).cast("int").alias("shard"), "id", F.col("slot").alias("asked"), "len", "terms", "tfs", F.lit(None).cast("array<double>").alias("idfs")
-    )
-    to_all = weighed.select(
-        F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "asked", F.lit(0).cast("long").alias("len"), "terms", F.array().cast("array<int>").alias("tfs"), "idfs"
-    )
-    dealt = rows.union(to_all).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "asked")
-    mean = words / n if n else 1.0
-    hits = dealt.mapInArrow(_searcher(k, mean, k1, b), _HITS)
+    total = weighed.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = -(-total // QUERY_TERMS)
+    hits = docs.sparkSession.createDataFrame([], _HITS)
+    for i in range(blocks):
+        some = weighed.where(F.pmod(F.hash("asked"), F.lit(blocks)) == i).toArrow()  # about QUERY_TERMS terms
+        if some.num_rows:
+            handle = docs.sparkSession.sparkContext.broadcast(_block(some))
+            hits = hits.union(saved(index.mapInArrow(_searcher(handle, k, words / n, k1, b), _HITS), "hits"))
+            handle.destroy()
     rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "doc_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
