@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scans
+from . import scans, store  # noqa: F401
 from .base import QUERIES, SQL
 
 
