@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import projects, scans, store  # noqa: F401
+from . import analysis, projects, scans, store  # noqa: F401
 from .base import QUERIES, SQL
 
 
