@@ -124,12 +124,12 @@ def _searcher(items: Broadcast, size: int):
     return F.pandas_udf(found, _FOUND)
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, max_words: int = 2_000_000) -> DataFrame:
-    """`docs` with a column `found`: struct of `n_words`, `hits` (sorted positions of hit words), `items` (sorted ids as strings).
+def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, max_words: int = 2_000_000, found: str = "found") -> DataFrame:
+    """`docs` with a column (`found`, or of that name): struct of `n_words`, `hits` (sorted positions of hit words), `items` (sorted ids as strings).
 
     A window is `size` consecutive words of an item, or all words of an item with fewer. A null or empty text has no
     words and no hits; an empty benchmark hits nothing; equal windows of several items count for each of them; items
-    whose id is null are ignored, and items that share an id count as one. A column of `docs` named `found` is replaced.
+    whose id is null are ignored, and items that share an id count as one. A column of `docs` with the name of the new one is replaced.
     """
     known = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t"))
     total = known.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -139,15 +139,15 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         rows = known.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()  # bounded by max_words
         handle = docs.sparkSession.sparkContext.broadcast([(r["id"], alnum_words(r["t"])) for r in sorted(rows, key=lambda r: (r["id"], r["t"] or ""))])
 
-        parts.append(f"found{b}" if b else "found")
+        parts.append(f"{found}{b}" if b else found)
         out = out.withColumn(parts[-1], _searcher(handle, size)(F.col(text)))
     if blocks > 1:
         merged = F.struct(
-            F.col("found.n_words").alias("n_words"),
+            F.col(f"{found}.n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.hits") for p in parts])))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts])))).alias("items"),
         )
-        out = out.withColumn("found", merged).drop(*parts[1:])
+        out = out.withColumn(found, merged).drop(*parts[1:])
     return out
 
 
@@ -166,9 +166,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options)
     ).drop("found")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with the columns of `docs`."""
-    return judged(docs.select(F.struct(*docs.columns).alias("row"), F.col(options.pop("text", "text")).alias("t")), benchmark, text="t", **options).where(~F.col("contaminated")).select("row.*")
+    f = find_windows(docs, benchmark, found="__found", **options)
+    n_hit = F.size("__found.hits")
+    return f.where(~((n_hit > 0) & (share * n_hit >= F.col("__found.n_words")))).select(*docs.columns)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], size: int = 13, share: int = 20) -> list[tuple]:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SAMPLE = 3000  #: labelled documents the field is fitted on, at most
 SAMPLE_LINES = 256  #: lines of each of these, from a place chosen by the text's length
 ROUNDS = 120
+GROUP = 256  #: texts scored at a time
 _KINDS = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     b"0123456789",
@@ -65,7 +66,7 @@ def with_neighbours(own: np.ndarray) -> np.ndarray:
     return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none])])
 
 
-def _padded(logits: list[np.ndarray], cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _padded(logits: list[np.ndarray], cells: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of chains of like length: (which, logits padded to one length, lengths)."""
     order = np.argsort([len(x) for x in logits], kind="stable")
     at = 0
@@ -173,7 +174,7 @@ def quality(text: Column, model: dict) -> Column:
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([v for i in range(0, len(s), 512) for v in scores(model, s.iloc[i : i + 512].tolist())], dtype="float64")
+            yield pd.Series([v for i in range(0, len(s), GROUP) for v in scores(model, s.iloc[i : i + GROUP].tolist())], dtype="float64")
 
     return F.pandas_udf(scored, T.DoubleType())(text)
 
@@ -228,6 +229,6 @@ def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
 
 def accepted(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` that are predicted good, with the columns of `docs`."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("i"), F.col(text).alias("t"))
-    known = labels.select(F.col(doc_id).alias("i"), F.col(options.get("label", "quality")).alias("quality"))
-    return judged(packed, known, doc_id="i", text="t").where("predicted = 1").select("row.*")
+    known = labels.where(~held_out(F.col(doc_id)))
+    model = trained(docs.select(doc_id, text), known, doc_id=doc_id, text=text, **options)
+    return docs.where(quality(F.col(text), model) >= 0.5)
