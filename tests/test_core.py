@@ -1,0 +1,214 @@
+"""Hand-made cases for the operators, and stream twins against their batch operators."""
+
+import datetime as dt
+
+import pytest
+from corpusmill.functions.text import ascii_folded, path_reason, tokens
+from corpusmill.operators import deduce, deps, docs, findings, graph, intent, routes, rules, scan, search, stack
+from corpusmill.sources import payloads, store
+from corpusmill.streaming import events
+from pyspark.sql import functions as F
+
+
+def one(spark, column, **values):
+    names = ", ".join(f"{k} string" for k in values)
+    return spark.createDataFrame([tuple(values.values())], names).select(column.alias("x")).first().x
+
+
+FILES = [("p", "src/a.ts", "ts", "let a\nconsole.log(1)\n"), ("p", "src/b.py", "py", "import pdb\neval(x)\n=======\n"), ("p", "c.bin", "bin", "eval(\x00)"), ("q", "d/e/f.tsx", "tsx", "TODO x\nFIXME y TODO")]
+
+
+@pytest.fixture(scope="module")
+def files(spark):
+    return spark.createDataFrame(FILES, "project string, path string, ext string, content string")
+
+
+def test_scan(spark, files):
+    rs = [scan.Rule("A", "eval", "P0", "security", "grep", r"eval\(", "**/*.{py,ts}"), scan.Rule("B", "log", "P2", "other", "grep", r"console\.log"), scan.Rule("C", "hand", "P2", "other", "code_search", "x"), scan.Rule("D", "odd", "P2", "other", "version", "x")]
+    hits = scan.batch(scan.lines(files), rs)
+    assert sorted((r.pattern_id, r.file, r.line) for r in hits.collect()) == [("A", "src/b.py", 2), ("B", "src/a.ts", 2)]
+    assert {r.pattern_id: r.outcome for r in scan.outcomes(hits, rs).collect()} == {"A": "hits", "B": "hits", "C": "manual", "D": "unknown"}
+    assert [(r.severity, r.n) for r in scan.severity_counts(hits).orderBy("rank").collect()] == [("P0", 1), ("P1", 0), ("P2", 1), ("P3", 0), ("INFO", 0)]
+    assert scan.batch(scan.lines(files), []).count() == 0
+    assert {r.path: r.line_no for r in scan.conflicts(scan.lines(files)).collect()} == {"src/b.py": 3}
+    assert {r.path: r.markers for r in scan.todo_markers(files).collect()} == {"d/e/f.tsx": "FIXME,TODO"}
+    assert {r.path: r.statement for r in scan.debug_statements(files).collect()} == {"src/b.py": "import pdb"}
+
+
+@pytest.mark.parametrize(
+    ("glob", "path", "fits"),
+    [("*.ts", "a/b.ts", True), ("*.ts", "b.tsx", False), ("**/*.{ts,tsx}", "b.tsx", True), ("src/*.py", "src/a/b.py", False), ("package.json", "x/package.json", True), ("src/**/x.py", "src/x.py", True), ("a?.py", "ab.py", True)],
+)
+def test_glob(spark, glob, path, fits):
+    assert one(spark, F.col("p").rlike(scan.glob_regex(glob)), p=path) is fits
+
+
+def test_secrets(spark):
+    rows = [("p", "a.py", "py", "key = 'AKIA" + "A" * 16 + "'"), ("p", "tests/b.py", "py", "AKIA" + "B" * 16), ("p", "tests/c.pem", "pem", "-----BEGIN CERTIFICATE-----"), ("p", "d.png", "png", "AKIA" + "C" * 16)]
+    got = scan.secrets(spark.createDataFrame(rows, "project string, path string, ext string, content string")).collect()
+    assert sorted((r.path, r.blocking) for r in got) == [("a.py", False), ("tests/c.pem", True)]
+
+
+def test_findings(spark):
+    rows = [(1, "s", "a.ts", 5, "X", "open"), (2, "s", "a.ts", 5, "X", "open"), (3, "s", "a.ts", 6, "X", "fixed"), (4, "s", "a.ts", 6, "X", "open"), (5, "s", "", 0, "", "open"), (6, "s", "", 0, "", "open")]
+    df = spark.createDataFrame(rows, "id int, session_id string, file string, line int, pattern_id string, status string")
+    assert sorted(r.id for r in findings.deduped(df, ["id"]).collect()) == [1, 3, 4, 5, 6]
+    assert one(spark, rules.map_severity(F.col("s")), s="critical") == "P0"
+    assert one(spark, rules.map_severity(F.col("s")), s="what") == "P2"
+
+
+def test_rules(spark):
+    names = "id string, cwe string, scan_query string, severity string, confidence string, pos int"
+    df = spark.createDataFrame([("A", "CWE-1", "x", "high", "low", 1), ("A", "", "y", "low", "high", 2), ("B", "CWE-x", "x", "high", "low", 3), ("", "", "", "bad", "bad", 4)], names)
+    assert [(r.id, r.scan_query) for r in rules.load(df).collect()] == [("A", "y")]
+    new = rules.next_ids(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([("CUSTOM_007",), ("CUSTOM_x",), ("R9",)], "id string"), "k")
+    assert sorted(r.assigned for r in new.collect()) == ["CUSTOM_008", "CUSTOM_009"]
+
+
+@pytest.mark.parametrize(("raw", "clean"), [("^4.17.20", "4.17.20"), ("~1.2", "1.2"), (">= 1.0.0", "1.0.0"), ("1.0 || 2", "1.0"), ("2.*", "2.0"), ("", None), ("*", "0")])
+def test_clean_semver(spark, raw, clean):
+    assert one(spark, deps.clean_semver(F.col("v")), v=raw) == clean
+
+
+@pytest.mark.parametrize(("raw", "clean"), [("v0.17.0", "0.17.0"), ("v0.0.0-20230101000000-abcdef", "0.0.0"), ("v2.0.0+incompatible", "2.0.0"), ("v1.0.0-rc1", "1.0.0-rc1")])
+def test_clean_go(spark, raw, clean):
+    assert one(spark, deps.clean_go(F.col("v")), v=raw) == clean
+
+
+@pytest.mark.parametrize(
+    ("version", "spec", "inside"),
+    [("4.17.20", "<4.17.21", True), ("4.17.21", "<4.17.21", False), ("1.5", ">=1.0.0,<2.0.0", True), ("2.0", ">=1.0.0,<2.0.0", False), ("1.0.0", "==1.0", True), ("1.1", "!=1.0", True), ("x", "<2", False), ("1.0.0-rc1", "<2", False), ("1.0", "", False), ("1.10.0", ">1.9.0", True)],
+)
+def test_ranges(spark, version, spec, inside):
+    assert one(spark, deps.in_range(deps.version_key(F.col("v")), F.col("s")), v=version, s=spec) is inside
+
+
+def test_manifests(spark):
+    go = "module m\nrequire a/b v1.0.0\nrequire (\n  c/d v2.0.0 // indirect\n)\nexclude e v1"
+    cargo = '[package]\nversion = "9"\n[dependencies]\nserde = "1.0"\ntokio = { version = "^1.19", features = ["full"] }\n[other]\nx = "1"'
+    f = lambda path, text: spark.createDataFrame([("p", path, text)], "project string, path string, content string")
+    assert {(r.package, r.version) for r in deps.go(f("go.mod", go)).collect()} == {("a/b", "1.0.0"), ("c/d", "2.0.0")}
+    assert {(r.package, r.version) for r in deps.cargo(f("Cargo.toml", cargo)).collect()} == {("serde", "1.0"), ("tokio", "1.19")}
+    assert deps.npm(f("package.json", "not json")).count() == 0
+    assert {(r.package, r.version) for r in deps.pypi(f("requirements.txt", "A==1.0\n# x\n-e .\nB ~= 2.*  # y\nC")).collect()} == {("a", "1.0"), ("b", "2.0")}
+
+
+def test_stack(spark):
+    env = spark.createDataFrame([("p", ".env", "DATABASE_URL=x\n#AWS_A=1\nAWS_B=2\nAWS_C=3\nDATABASE_USER=u")], "project string, path string, content string")
+    assert {(r.name, r.evidence) for r in stack.dotenv_services(stack.dotenv_keys(env)).collect()} == {("postgresql", "DATABASE_URL"), ("aws", "AWS_B")}
+    images = spark.createDataFrame([("p", "Dockerfile", "FROM a.io/x/Postgres:15 AS db\n  image: 'redis'\nRUN x")], "project string, path string, content string")
+    assert {(r.base, r.tag) for r in stack.docker_images(images).collect()} == {("postgres", "15"), ("redis", None)}
+
+
+def test_routes(spark):
+    c = routes.page_route(F.col("p"))
+    assert one(spark, c["path"], p="[locale]/(store)/products/[handle]/page.tsx") == "[locale]/products/[handle]"
+    assert one(spark, c["route_type"], p="[locale]/a/page.tsx") == "page"
+    m = spark.createDataFrame([("p", "brand"), ("p", "agent"), ("p", "box"), ("p", "hero-banner")], "project string, module string")
+    r = spark.createDataFrame([("p", "admin", "/brands", "page"), ("p", "admin", "/agent-channels", "page"), ("p", "api", "/boxes/[id]", "detail"), ("p", "api", "/hero_banner", "page")], "project string, kind string, path string, route_type string")
+    assert {(x.path, x.module) for x in routes.matches(r, m).collect()} == {("/brands", "brand"), ("/boxes/[id]", "box"), ("/hero_banner", "hero-banner")}
+
+
+@pytest.mark.parametrize(("evidence", "name"), [("try: x\nexcept: pass", "Bare Except"), ("console.log(1)", "Console Log"), ("eval(x)", "eval Call"), ("myFunc(1)", "myFunc"), ("", "")])
+def test_deduce(spark, evidence, name):
+    assert one(spark, deduce.deduced(F.col("e"))["name"], e=evidence) == name
+
+
+def test_documents(spark):
+    assert [f.finding for f in one(spark, docs.finding_array(F.col("r")), r='["a", "b"]')] == ["a", "b"]
+    assert [f.sources for f in one(spark, docs.finding_array(F.col("r")), r='[{"finding": "a", "sources": ["s"]}]')] == [["s"]]
+    assert one(spark, docs.finding_array(F.col("r")), r="oops") == []
+    assert [(s.url, s.relevance) for s in one(spark, docs.source_array(F.col("r")), r='["u"]')] == [("u", 0.5)]
+    asked = spark.createDataFrame([("", 9, 0), ("ab", None, None), ("Test", 3, 99), ("fine query", 0, 10)], "query string, depth int, max_sources int")
+    assert [(r.reason, r.depth, r.max_sources) for r in docs.admitted(asked).collect()] == [("empty", 5, 1), ("too short", 3, 10), ("test", 3, 50), (None, 1, 10)]
+
+
+def test_search(spark):
+    d = spark.createDataFrame([(1, "cbd legalisierung in deutschland cbd"), (2, "steuer recht"), (3, "")], "id int, summary string")
+    t = search.term_table(d, F.col("summary"))
+    got = search.scored(t, search.query_terms(spark, "CBD Legalisierung"), search.document_frequency(t), search.corpus_stats(d, F.col("summary")))
+    assert [r.id for r in got.collect()] == [1]
+    assert one(spark, F.array_join(tokens(F.col("t")), " "), t="Äpfel, a B2 x!") == "äpfel b2"
+    assert one(spark, ascii_folded(F.col("t")), t="Prüf Éé ß") == "pruf ee "
+    near = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100))), (2, " ".join(f"w{i}" for i in range(97))), (3, "other words in this one text"), (4, "other words in this one text")], "id int, text string")
+    assert [(r.a, r.b) for r in search.near_duplicates(near, F.col("text")).collect()] == [(1, 2)]
+
+
+def test_paths(spark):
+    for path, reason in (("", "empty"), ("a/../b", "traversal"), ("a%2e%2E/b", "traversal"), ("a\x00", "control characters"), ("x" * 5000, "too long"), ("src/a.py", None)):
+        assert one(spark, path_reason(F.col("p")), p=path) == reason
+
+
+def test_intent(spark):
+    assert one(spark, intent.weighted(F.col("t"), {"bug": ("crash",), "code": ("code",)}), t="the code did CRASH") == "bug"
+    assert one(spark, intent.argument_summary(F.col("a")), a='{"name":"n","path":"p","query":"' + "q" * 90 + '","url":"u"}') == "path=p, query=" + "q" * 77 + "..., url=u"
+
+
+def test_graph(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("b", "a"), ("x", "a")], "src string, dst string")
+    assert sorted(r.cycle for r in graph.cycles(e).collect()) == ["a -> b", "a -> b -> c", "d"]
+    assert {r.node: r.depth for r in graph.reaching(e, "d").collect()} == {"c": 1, "b": 2, "a": 3, "x": 4}
+
+
+def test_payloads(spark):
+    p = spark.createDataFrame([(1, '{"findings":[{"file":"a","line":3,"description":"d","severity":"HIGH"}],"matches":[{"content":"TODO"}]}'), (2, "bad")], "id int, payload string")
+    assert sorted((r.id, r.kind, r.severity, r.evidence) for r in payloads.payload_findings(p, "id").collect()) == [(1, "security", "P1", "d"), (1, "todo", "P3", "TODO")]
+    assert one(spark, payloads.response_text(F.col("r")), r='{"content":[{"text":"a"},{"text":"b"}]}') == "a\nb"
+
+
+def test_store(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, v string, part string")
+    store.write_json(d, str(tmp_path / "s"), "part")
+    store.write_json(d.where("id = 2").withColumn("v", F.lit("new")), str(tmp_path / "s"), "part")
+    (tmp_path / "s" / "broken.json").write_text("{oops")
+    got = store.read_json(spark, str(tmp_path / "s"), "id long, v string")
+    assert {(r.id, r.v) for r in got.collect()} == {(1, "a"), (2, "new")}
+
+
+def event_rows(n=400):
+    start = dt.datetime(2024, 1, 1)
+    return [(i, start + dt.timedelta(seconds=(i * 97) % 7 * 40 + i * 61), i % 5, ("click", "error", "purchase", "signup")[i % 7 % 4], f"f{i % 3}") for i in range(n)]
+
+
+def fold(rows, ttl):
+    last, out = {}, set()
+    for i, ts, _, kind, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        if kind not in last or (ts - last[kind]).total_seconds() >= ttl:
+            last[kind] = ts
+            out.add(i)
+    return out
+
+
+@pytest.fixture(scope="module")
+def event_table(spark):
+    return spark.createDataFrame(event_rows(), "event_id long, ts timestamp, user_id long, event_type string, path string")
+
+
+def test_ttl(spark, event_table):
+    got = {r.event_id for r in events.ttl_dedupe(event_table, ["event_type"], ttl=300).collect()}
+    assert got == fold(event_rows(), 300)
+
+
+def test_ttl_stream_over_several_batches(spark, event_table, tmp_path):
+    for i, (lo, hi) in enumerate(((0, 100), (100, 250), (250, 400))):
+        rows = sorted(event_rows(), key=lambda r: r[1])[lo:hi]
+        spark.createDataFrame(rows, event_table.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        assert i < 3
+    s = events.stream(spark, str(tmp_path / "in"), event_table.schema, "*.parquet", per_batch=1)
+    got = {r.event_id for r in events.ttl_dedupe_stream(s, ["event_type"], ttl=300).collect()}
+    assert got == fold(event_rows(), 300)
+
+
+def test_session_stream_gives_the_closed_sessions_of_its_batch_twin(spark, event_table, tmp_path):
+    event_table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = events.stream(spark, str(tmp_path / "in"), event_table.schema, "*.parquet").withWatermark("ts", events.WATERMARK)
+    streamed = {(r.user_id, r.start, r.tools, r.paths) for r in events.drained(events.sessions(s, gap="4 minutes", exact=False), "t").collect()}
+    batch = {(r.user_id, r.start, r.tools, r.paths): r.end for r in events.sessions(event_table, gap="4 minutes").collect()}
+    last = max(r[1] for r in event_rows()) - dt.timedelta(minutes=10)
+    assert streamed and streamed == {k for k, end in batch.items() if end <= last}
+
+
+def test_entry_without_llm():
+    from corpusmill.plans import queries
+
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) > 150
