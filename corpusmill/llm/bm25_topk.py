@@ -11,51 +11,45 @@ k best are the k best of all.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import alnum_words, saved
+from .common import saved
+from .words import NOT_ALNUM, cut, hashes
 
-SHARD_POSTINGS = 2_000_000
+SHARD_POSTINGS = 1_000_000
 QUERY_TERMS = 2_000_000
 BLOCK = 32
 K1, B = 1.2, 0.75
 DIGITS = 6
-KNOWN = 150_000
 
-_COUNTED = T.StructType([T.StructField("len", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+ROWS = 1000  #: texts whose words are counted at a time
 
 
-@F.pandas_udf(_COUNTED)
-def _counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    known: dict[bytes, int] = {}
-    for s in batches:
-        rows = []
-        for text in s:
-            words = alnum_words(text)
-            if len(known) > KNOWN:
-                known.clear()
-            terms = []
-            counts = Counter(words)
-            for w in counts:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                terms.append(h)
-            rows.append((len(words), np.array(terms, np.uint64).view(np.int64), np.fromiter(counts.values(), np.int32, len(counts))))
-        yield pd.DataFrame(rows, columns=["len", "terms", "tfs"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(start, ROWS)
+            b, _, first, last, text = cut(rows.column(1), NOT_ALNUM)
+            h = hashes(b, first, last)
+            order = np.argsort((text << 40) | (h >> np.uint64(24)).astype(np.int64), kind="stable")
+            h, owner = h[order], text[order]
+            new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            tf = np.diff(np.append(head, len(h))).astype(np.int32)
+            offsets = np.append(0, np.cumsum(np.bincount(owner[head], minlength=rows.num_rows))).astype(np.int32)
+            lens = np.bincount(text, minlength=rows.num_rows).astype(np.int64)
+            terms = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[head].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lens), terms, pa.ListArray.from_arrays(pa.array(offsets), pa.array(tf))], names=["id", "len", "terms", "tfs"])
 
 
-def term_counts(text: Column) -> Column:
-    """Struct of `len` (words), `terms` (64-bit hashes of distinct words) and `tfs` of each text; null and empty texts have none."""
-    return _counted(text)
+def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, len, terms, tfs): words, 64-bit hashes of the distinct ones, and how often each occurs; null and empty texts have none."""
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(_counted, "id long, len long, terms array<long>, tfs array<int>")
 
 
 class Shard:
@@ -152,11 +146,13 @@ def _searcher(queries: Broadcast, k: int, mean: float, k1: float, b: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, postings = [], 0
         for batch in batches:
-            held.append(batch)
-            postings += len(batch.column(2).flatten())
-            if postings >= SHARD_POSTINGS:
-                yield answered(held)
-                held, postings = [], 0
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                held.append(rows)
+                postings += len(rows.column(2).flatten())
+                if postings >= SHARD_POSTINGS:
+                    yield answered(held)
+                    held, postings = [], 0
         if held:
             yield answered(held)
 
@@ -179,11 +175,10 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "do
     ties go to the smaller id. Null and empty texts are never found and find nothing; rows with a null id are left out on
     either side; documents that repeat an id are documents of their own. Queries with equal id and text are asked once.
     """
-    counted = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), term_counts(F.col(text)).alias("c"))
-    index = saved(counted.select("id", "c.len", "c.terms", "c.tfs").where("len > 0"), "index")
+    index = saved(term_counts(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("len > 0"), "index")
     n, words = index.agg(F.count(F.lit(1)), F.sum("len")).first()
-    asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("id"), term_counts(F.col(query_text)).alias("c"))
-    asked = saved(asked.select("id", F.col("c.terms").alias("terms"), F.xxhash64("id", F.array_sort("c.terms")).alias("asked")).where(F.size("terms") > 0).dropDuplicates(["asked"]), "asked")
+    asked = term_counts(queries.where(F.col(query_id).isNotNull()), query_id, query_text).select("id", "terms", F.xxhash64("id", F.array_sort("terms")).alias("asked"))
+    asked = saved(asked.where(F.size("terms") > 0).dropDuplicates(["asked"]), "asked")
     df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.select("id", "asked", F.explode("terms").alias("term")).join(df, "term").groupBy("id", "asked").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("t"))

@@ -28,14 +28,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import LOWER, UPPER, saved
+from .common import saved
+from .words import BLANK, LOWERED as _LOW, cut, hashes
 
-_LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
 COUNTERS = 22
 CHUNK = 16  #: counters go to the driver in chunks of 2**16
 MAP_BITS = 25
@@ -57,66 +55,12 @@ class Sets:
     words: np.ndarray
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(STRETCH, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-STRETCH = 1 << 20  #: bytes hashed at a time
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
-_CODES = np.array([xxhash.xxh3_64_intdigest(bytes([b]).translate(_LOW), 11) for b in range(256)], np.uint64)
-_BLANK = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
-
-
-def _hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of b[start:end] for each word: a polynomial in the bytes' codes, from running sums, then mixed."""
-    low, high, shift = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
-    total = np.uint64(0)
-    for at in range(0, len(b), STRETCH):
-        part = b[at : at + STRETCH]
-        terms = _CODES[part]
-        terms *= _POWERS[: len(part)]
-        terms *= np.uint64(pow(_BASE, at, 1 << 64))
-        sums = np.cumsum(terms, dtype=np.uint64)
-        sums += total
-        i, j = np.searchsorted(start, (at, at + len(part)))
-        here = start[i:j] - at
-        before = sums[here - 1]
-        before[here == 0] = total
-        low[i:j] = before
-        shift[i:j] = _INVERSES[here] * np.uint64(pow(_INVERSE, at, 1 << 64))
-        i, j = np.searchsorted(end, (at + 1, at + len(part) + 1))
-        high[i:j] = sums[end[i:j] - at - 1]
-        total = sums[-1]
-    h = (high - low) * shift
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def sets_of(texts: pa.Array) -> Sets:
-    texts = pc.fill_null(texts, "")
-    _, offsets, data = texts.buffers()
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    at = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    b = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
-    edge = np.zeros(len(b) + 1, bool)  # where a text begins
-    edge[at] = True
-    blank = _BLANK[b]
-    full = ~blank
-    first, last = full.copy(), full.copy()
-    first[1:] &= blank[:-1] | edge[1:-1]
-    last[:-1] &= blank[1:] | edge[1:-1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    b, at, start, end, text = cut(texts, BLANK)
     breaks = np.flatnonzero(b == 10)
-    text = np.searchsorted(at, start, side="right") - 1
     line_at = np.searchsorted(breaks, start)  # line feeds before the word
     row = line_at + text  # grows from line to line over all texts
-    h = _hashes(b, start, end)
+    h = hashes(b, start, end)
     order = np.argsort((row << 40) | (h >> np.uint64(24)).astype(np.int64), kind="stable")
     h, row = h[order], row[order]
     once = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(row) else np.zeros(0, bool)
