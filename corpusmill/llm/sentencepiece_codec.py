@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-GROUP = 512  #: documents whose words are sorted together
-CACHE = 80_000  #: words and pairs kept in a task; then it starts anew
+GROUP = 1024  #: documents whose words are sorted together
+CACHE = 300_000  #: words and pairs kept in a task; then it starts anew
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
