@@ -98,6 +98,7 @@ class Encoder:
         self.ids: dict[str, int] = model["ids"]
         self.longest = max(map(len, self.ids))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.feed = self._spell("\n")
         self.stable: dict[tuple[str, str], bool] = {}
 
     def _spell(self, pieces: Iterable[str]) -> tuple[int, ...]:
@@ -118,14 +119,14 @@ class Encoder:
         ok = self.stable[a, b] = merged(a + b, self.scores) == ([a, b] if a else [b])
         return ok
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: Iterable[str], into: dict[str, tuple[int, ...]]) -> None:
         """Walks the trie of the words depth-first; `last[i]` is the forward state of the current word's first i letters."""
-        pieces, pair, stable, longest, known = self.ids, self._pair, self.stable.get, self.longest, self.known
+        pieces, pair, stable, longest = self.ids, self._pair, self.stable.get, self.longest
         last: list[str | None] = [""]
         before = ""
         for word in sorted(words):
             if word.startswith(MARK * 2):  # runs of blanks: ties between pieces of one score
-                known[word] = self._spell(merged(word, self.scores))
+                into[word] = self._spell(merged(word, self.scores))
                 continue
             n = 0
             for x, y in zip(before, word):  # noqa: B905
@@ -152,18 +153,37 @@ class Encoder:
             else:
                 path.reverse()
             try:
-                known[word] = tuple([pieces[p] for p in path])
+                into[word] = tuple([pieces[p] for p in path])
             except KeyError:
-                known[word] = self._spell(path)
+                into[word] = self._spell(path)
             before = word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        """Texts are cut at spaces and before line feeds, and what is between is looked up. What begins with a line feed has no mark.
+        The few texts with runs of spaces, or marks of their own, are cut by a regular expression."""
+        odd: dict[int, list[str]] = {}
+        chunks: list[list[str]] = []
+        for k, t in enumerate(texts):
+            if not t:
+                chunks.append([])
+                continue
+            spaced = t.replace("\n", " \n")
+            if MARK in t or "  " in spaced or t[0] == " " or t[-1] == " ":
+                odd[k] = _UNITS.findall(MARK + t.replace(" ", MARK))
+                chunks.append([])
+            else:
+                chunks.append(spaced.split(" "))
         if len(self.known) > CACHE:
             self.known.clear()
-        self.learn(set(chain.from_iterable(cut)).difference(self.known))
-        ids = self.known.__getitem__
-        return [None if t is None else np.fromiter(chain.from_iterable(map(ids, c)), np.int32) for t, c in zip(texts, cut, strict=True)]
+        known = self.known
+        new = set(chain.from_iterable(chunks)).difference(known)
+        found: dict[str, tuple[int, ...]] = {}
+        heads = {c: c[1:] for c in new if c.startswith("\n")}
+        self.learn({*heads.values(), *(MARK + c for c in new.difference(heads)), *chain.from_iterable(odd.values())}, found)
+        for c in new:
+            known[c] = self.feed + found[heads[c]] if c in heads else found[MARK + c]
+        ids, of = known.__getitem__, found.__getitem__
+        return [None if t is None else np.fromiter(chain.from_iterable(map(of, odd[k]) if k in odd else map(ids, chunks[k])), np.int32) for k, t in enumerate(texts)]
 
 
 def decode(ids: Iterable[int] | None, spelled: list[bytes]) -> str | None:
