@@ -77,8 +77,9 @@ class Shard:
         self.first = np.append(np.searchsorted(self.start, np.flatnonzero(new)), len(self.block))  # a term's first block
         self.n_blocks = -(-len(docs) // BLOCK)
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document ids, scores) of the k best with a score above 0; ties after rounding go to the smaller id."""
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document ids, scores) of the k best of those given and of the shard's documents with a score above 0; ties after rounding go to the
+        smaller id. The worst of those given is the threshold from the start."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
@@ -88,7 +89,6 @@ class Shard:
         weight = np.repeat(idf, b - a)
         block = self.block[entry]
         bound = np.bincount(block, weights=self.top[entry] * weight, minlength=self.n_blocks)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
         by_bound = np.argsort(-bound, kind="stable")
         by_bound = by_bound[bound[by_bound] > 0]
         done, step = 0, max(1, -(-2 * k // BLOCK))
@@ -133,17 +133,16 @@ _HITS = "query_id long, asked long, doc_id long, score double"
 def _searcher(queries: Broadcast, k: int, mean: float, k1: float, b: float):
     schema = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
-    def answered(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        docs, lengths, terms, tfs = (pa.chunked_array([r.column(i) for r in rows]).combine_chunks() for i in range(4))
-        shard = Shard(np.asarray(docs), np.asarray(lengths).astype(np.float64), np.asarray(terms.flatten()), np.asarray(tfs.flatten()), np.asarray(terms.value_lengths()), mean, k1, b)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked, offsets, q_terms, idfs = queries.value
-        hits = []
-        for i in range(len(ids)):
-            found, scores = shard.search(q_terms[offsets[i] : offsets[i + 1]], idfs[offsets[i] : offsets[i + 1]], k)
-            hits.append((np.full(len(found), ids[i]), np.full(len(found), asked[i]), found, scores))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in hits])) for i in range(4)], schema=schema)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+
+        def answer(rows: list[pa.RecordBatch]) -> None:
+            docs, lengths, terms, tfs = (pa.chunked_array([r.column(i) for r in rows]).combine_chunks() for i in range(4))
+            shard = Shard(np.asarray(docs), np.asarray(lengths).astype(np.float64), np.asarray(terms.flatten()), np.asarray(tfs.flatten()), np.asarray(terms.value_lengths()), mean, k1, b)
+            for i in range(len(ids)):
+                best[i] = shard.search(q_terms[offsets[i] : offsets[i + 1]], idfs[offsets[i] : offsets[i + 1]], k, *best[i])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, postings = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -151,10 +150,13 @@ def _searcher(queries: Broadcast, k: int, mean: float, k1: float, b: float):
                 held.append(rows)
                 postings += len(rows.column(2).flatten())
                 if postings >= SHARD_POSTINGS:
-                    yield answered(held)
+                    answer(held)
                     held, postings = [], 0
         if held:
-            yield answered(held)
+            answer(held)
+        n = [len(found) for found, _ in best]
+        columns = (np.repeat(ids, n), np.repeat(asked, n), np.concatenate([f for f, _ in best]), np.concatenate([x for _, x in best]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return search
 
