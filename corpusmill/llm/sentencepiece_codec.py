@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 GROUP = 1024  #: documents whose words are sorted together
-CACHE = 300_000  #: words and pairs kept in a task; then it starts anew
+CACHE = 120_000  #: words and pairs kept in a task; then it starts anew
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -238,6 +238,7 @@ def encoded(docs: DataFrame, model: Broadcast, *, text: str = "text", ids: str |
                     out.append(pa.array([None if x is None else np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64) for x in found], pa.int64()))
                     out.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *out], names=[*rows.schema.names, *[f.name for f in added]])
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, *added]))
 
