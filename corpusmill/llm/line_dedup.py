@@ -61,7 +61,9 @@ def sets_of(texts: pa.Array) -> Sets:
     line_at = np.searchsorted(breaks, start)  # line feeds before the word
     row = line_at + text  # grows from line to line over all texts
     h = hashes(b, start, end)
-    order = np.argsort((row << 40) | (h >> np.uint64(24)).astype(np.int64), kind="stable")
+    dense = np.cumsum(np.append(False, row[1:] != row[:-1])) if len(row) else row
+    few = not len(dense) or dense[-1] < 1 << 23
+    order = np.argsort((dense << 40) | (h >> np.uint64(24)).astype(np.int64), kind="stable") if few else np.lexsort((h, dense))
     h, row = h[order], row[order]
     once = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(row) else np.zeros(0, bool)
     h, row, word = h[once], row[once], order[once]
@@ -128,7 +130,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filer(rarity: Broadcast, num: int, den: int):
     """Files each line under the rarest words it may share with a line that matches."""
-    schema = pa.schema([("tok", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.int64())])
+    schema = pa.schema([("tok", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.int64())])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
@@ -136,27 +138,28 @@ def _filer(rarity: Broadcast, num: int, den: int):
             sets = sets_of(rows.column(0))
             line, h = _chosen(sets, _firsts(sets.id) & ((den - num) * sets.n >= num))  # smaller sets only match equal ones
             count = counts[_counter(h)].astype(np.int64)
-            rank = np.argsort((line << 44) | (count << 28) | (h >> np.uint64(36)).astype(np.int64), kind="stable")
+            rank = np.argsort((line << 32) | (count << 16) | (h >> np.uint64(48)).astype(np.int64), kind="stable")  # a line's hashes come sorted
             line, h, count = line[rank], h[rank], count[rank]
             new = np.append(True, line[1:] != line[:-1]) if len(line) else np.zeros(0, bool)
             pos = np.arange(len(line)) - np.maximum.accumulate(np.where(new, np.arange(len(line)), 0))
             n = sets.n[line]
             take = (pos < n - (num * n + den - 1) // den + 1) & (count > 1)
             at = line[take]
-            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(sets.id[at]), pa.array(sets.n[at].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(sets.sig[at])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array((h[take] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(sets.id[at]), pa.array(sets.n[at].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(sets.sig[at])], schema=schema)
 
     return file
 
 
-_MET = "a long, b long, tok long, id long, n int, pos int, sig long"
+_MET = "a long, b long, tok int, id long, n int, pos int, sig long"
 
 
 def _pairer(num: int, den: int):
-    """Rows come sorted by word and set. Gives the pairs of lists up to LONG that pass the filters, and the rows of longer lists."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tok", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.int64())])
+    """Rows come sorted by word (32 bits of its hash: words that share them only make a list longer). Gives the pairs of lists up to LONG that pass the filters, and the rows of longer lists."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tok", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sig", pa.int64())])
 
     def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
-        tok, ids, n, pos, sig = cols
+        order = np.lexsort((cols[3], cols[1], cols[0]))
+        tok, ids, n, pos, sig = (c[order] for c in cols)
         keep = np.append(True, (tok[1:] != tok[:-1]) | (ids[1:] != ids[:-1]))  # a set that came from several tasks
         tok, ids, n, pos, sig = (c[keep] for c in (tok, ids, n, pos, sig))
         new = np.append(True, tok[1:] != tok[:-1])
@@ -178,7 +181,7 @@ def _pairer(num: int, den: int):
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
         rest = np.flatnonzero(long)
-        none, some = pa.nulls(len(rest), pa.int64()), [pa.nulls(len(a), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+        none, some = pa.nulls(len(rest), pa.int64()), [pa.nulls(len(a), k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
         pairs = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *some], schema=schema)
         rows = pa.RecordBatch.from_arrays([none, none, pa.array(tok[rest]), pa.array(ids[rest]), pa.array(n[rest].astype(np.int32)), pa.array(pos[rest].astype(np.int32)), pa.array(sig[rest])], schema=schema)
         return [pairs, rows]
@@ -257,8 +260,8 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     for r in chunks:
         counts[r["chunk"] << CHUNK : (r["chunk"] + 1) << CHUNK] = np.frombuffer(r["counts"], "<u2")
     rarity = spark.sparkContext.broadcast(counts)
-    filed = docs.select("text").mapInArrow(_filer(rarity, num, den), "tok long, id long, n int, pos int, sig long")
-    met = saved(filed.repartition("tok").sortWithinPartitions("tok", "id").mapInArrow(_pairer(num, den), _MET), "met")
+    filed = docs.select("text").mapInArrow(_filer(rarity, num, den), "tok int, id long, n int, pos int, sig long")
+    met = saved(filed.repartition("tok").sortWithinPartitions("tok").mapInArrow(_pairer(num, den), _MET), "met")
     short = met.where("a is not null").select("a", "b")
     longer = met.where("a is null").select("tok", "id", "n", "pos", "sig").join(firsts, "id")
     ranked = saved(longer.withColumn("rank", F.row_number().over(Window.partitionBy("tok").orderBy("first", "id"))).drop("first"), "ranked")
