@@ -39,7 +39,7 @@ CHUNK = 16  #: counters go to the driver in chunks of 2**16
 MAP_BITS = 25
 LEAD = 16
 LONG = 256
-ROWS = 1000  #: texts that are taken apart at a time
+ROWS = 256  #: texts that are taken apart at a time
 
 
 @dataclass
