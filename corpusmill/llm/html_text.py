@@ -2,7 +2,8 @@
 
 A small tree is built from Python's HTML parser. Blocks with text of their own (paragraphs) give points for their
 length and commas to their parent, half to its parent and less further up. A container's points are discounted by its link
-density; the best container and those of its siblings that look like text are kept. Parts that are never article text
+density. The best container is kept whole, with all that stands beside it or its ancestors, up to the outermost article or main that it
+lies in and its siblings, or else up to the page; only what is mostly links is dropped there. Parts that are never article text
 (menus, adverts, forms and so on) are cut off first.
 """
 
@@ -189,6 +190,31 @@ def _blocks(node: Node) -> Iterator[str]:
         yield text
 
 
+def _around(best: Node) -> Node:
+    """The node whose text is the article; takes from it what is mostly links beside the best container and its ancestors."""
+    path, top = [best], None
+    while path[-1].parent is not None:
+        if path[-1].tag in ("article", "main"):
+            top = len(path)
+        path.append(path[-1].parent)
+    if top is not None:
+        path = path[: top + 1]
+    for node, own in zip(path[1:], path, strict=False):
+        kids: list[Node | str] = []
+        run: list[Node | str] = []
+        for k in [*node.kids, None]:
+            if k is not None and k is not own and (isinstance(k, str) or k.tag not in BLOCKS):
+                run.append(k)  # text between blocks stands or goes as a whole
+                continue
+            for part in (run, [] if k is None else [k]):
+                chars = sum(len(x.strip()) if isinstance(x, str) else x.chars for x in part)
+                if k is own and part is not run or 2 * sum(x.linked for x in part if isinstance(x, Node)) <= chars:
+                    kids += part
+            run = []
+        node.kids = kids
+    return path[-1]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks joined by newlines, white space in a block made one space. Null, or no text: empty."""
     if not html:
@@ -197,18 +223,7 @@ def main_text(html: str | None) -> str:
     best = _best(nodes)
     if not best.chars:
         return ""
-    kept: list[Node] = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
-        least = max(10.0, 0.2 * best.points)
-        kept = []
-        for k in best.parent.kids:
-            if not isinstance(k, Node) or k.noise:
-                continue
-            density = k.linked / max(1, k.chars)
-            text = k.tag == "p" and density < 0.25 and k.chars >= 80 or k.tag in ("h1", "h2") and density < 0.25 and k.chars > 0
-            if k is best or text or (k.tag in CONTAINERS and k.points * (1 - density) >= least):
-                kept.append(k)
-    return "\n".join(b for k in kept for b in _blocks(k))
+    return "\n".join(_blocks(_around(best)))
 
 
 _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

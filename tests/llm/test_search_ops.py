@@ -79,6 +79,17 @@ def test_html_text():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_text_beside_the_best_container():
+    seven = "<p>" + "word, " * 3 + "x" * 290 + "</p>"
+    items = "".join(f"<li>item {i}</li>" for i in range(5))
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(5)) + "</ul>"
+    page = f"<body>{links}<article><h1>Head</h1><section>{seven * 5}</section><section><p>Short, one, two.</p></section><ul>{items}</ul></article></body>"
+    got = html_text.main_text(page).split("\n")
+    assert got[0] == "Head" and got[6:] == ["Short, one, two.", *(f"item {i}" for i in range(5))]
+    parts = f"<body>{links}<div><div><div>{seven * 5}</div></div><div><div><p>Uncle</p></div></div>loose <a href=x>text</a> stays<dl><dt>term</dt></dl><pre>code</pre><table><tr><td>cell</td></tr></table><h3>Sub</h3><p>End</p>{links}</div></body>"
+    assert html_text.main_text(parts).split("\n")[5:] == ["Uncle", "loose text stays", "term", "code", "cell", "Sub", "End"]
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", "t"), (1, "<p>a</p>", "t"), (2, None, "u")], "page_id long, html string, text string")
     rows = df.select("page_id", html_text.extracted(F.col("html")).alias("m")).select("page_id", "m.*").collect()
