@@ -1,6 +1,6 @@
 """License scans with DataFrame functions and Spark's own machine-learning stages only.
 
-Each line of a text is a paragraph. Its hashed word n-grams go through a multinomial logistic regression over the
+Each line of a text is a paragraph; notices wrapped over several lines are looked for in windows over neighbouring lines. Its hashed word n-grams go through a multinomial logistic regression over the
 licence families and "none"; a second, one-variable regression turns the score of the best family into a
 calibrated probability that the paragraph names a licence at all. Paragraphs above one half are licence paragraphs. The prediction is
 confirmed if enough of a template's word pairs of that family occur in the paragraph; otherwise the family is unknown.
@@ -16,7 +16,7 @@ from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, saved
 
 # Notices of public licences, as their authors ask them to be written.
 TEMPLATES: Mapping[str, Sequence[str]] = {
@@ -110,10 +110,14 @@ def trained(docs: DataFrame, *, text: str = "text", templates: Mapping[str, Sequ
     kept = F.when(F.col("k") % 2 == 0, F.slice("words", 1, F.greatest(F.lit(2), F.size("words") - F.expr("k div 2")))).otherwise(F.slice("words", F.expr("k div 2") + 1, F.greatest(F.lit(2), F.size("words") - F.expr("k div 2"))))
     positives = cuts.where((F.col("k") < 2) | (F.size("words") - F.expr("k div 2") >= 3)).select("label", kept.alias("words"), (F.col("k") % 4 == 3).alias("calibrates"))
     lines = docs.select(F.explode(F.split(text, "\n", -1)).alias("p")).where(~F.col("p").rlike(MARKS) & (F.length(F.trim("p")) > 0))
-    least = lines.select("p", F.xxhash64("p").alias("h")).distinct().orderBy("h", "p").limit(negatives)
+    least = saved(lines.select("p", F.xxhash64("p").alias("h")).distinct().orderBy("h", "p").limit(negatives), "negatives")
     plain = least.select(F.lit(0.0).alias("label"), F.slice(_words(F.col("p")), 1, MAX_WORDS).alias("words"), (F.col("h") % 2 == 0).alias("calibrates"))
     fixed = spark.createDataFrame([(0.0, w.split(), c) for w in ("the quick brown fox", "see the terms of the work", "a version of the file") for c in (False, True)], "label double, words array<string>, calibrates boolean")
-    sample = positives.union(plain).union(fixed).where(F.size("words") > 0).withColumn("grams", _grams(F.col("words"))).coalesce(1).cache()
+    draw = F.xxhash64("h", "p.words")
+    at = F.pmod(F.shiftright(draw, 8), F.lit(MAX_WORDS - 40)).cast("int")  # words before the template
+    around = least.select("h", F.slice(_words(F.col("p")), 1, MAX_WORDS).alias("prose")).crossJoin(F.broadcast(named.alias("p"))).where(F.pmod(draw, F.lit(64)) == 0)
+    within = around.select("label", F.slice(F.concat(F.slice("prose", 1, at), "p.words", F.slice("prose", at + 1, MAX_WORDS)), 1, MAX_WORDS).alias("words"), (F.shiftright(draw, 6) % 2 == 0).alias("calibrates"))
+    sample = positives.union(within).union(plain).union(fixed).where(F.size("words") > 0).withColumn("grams", _grams(F.col("words"))).coalesce(1).cache()
     ready = _vectors(sample)
     weights = ready.groupBy("label").count()
     ready = ready.join(F.broadcast(weights), "label").withColumn("w", 1.0 / F.sqrt("count"))
@@ -131,37 +135,76 @@ def _margin(raw: str) -> Column:
 
 
 def scanned(docs: DataFrame, model: LicenseModel, *, keys: Sequence[str] = ("doc_id",), text: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES, confirm: float = CONFIRM) -> DataFrame:
-    """A row for each licence paragraph: the keys, paragraph (line number from 0), predicted, probability, similarity, family, confirmed.
+    """A row for each licence paragraph and family predicted in it: the keys, paragraph (line number from 0), predicted, probability, similarity, family, confirmed.
 
     family is the predicted one if a template confirms it, else "unknown". Long paragraphs are judged by windows of MAX_WORDS words that
-    overlap by half, and the window with the largest probability stands for the paragraph. Null and empty texts have no paragraphs.
+    overlap by half; each family has the largest probability and similarity of its windows. Neighbouring lines without a blank
+    one between them are judged together by such windows too: what a template confirms there and in none of the window's lines
+    is a row of the window's first line, and stands for the window's unconfirmed lines of that family. Null and empty texts have no paragraphs.
     """
-    lines = docs.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "p")).select(*keys, "paragraph", _words(F.col("p")).alias("all"))
-    lines = lines.where(F.size("all") > 0)
-    half = MAX_WORDS // 2
-    starts = F.when(F.size("all") <= MAX_WORDS, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size("all") - half, F.lit(half)))
-    windows = lines.select(*keys, "paragraph", F.explode(F.transform(starts, lambda s: F.slice("all", s, MAX_WORDS))).alias("words"))
+    numbered = F.array_join(F.transform(F.split(text, "\n", -1), lambda x, i: F.concat(i.cast("string"), F.lit("\x01"), x)), "\n")
+    blocks = docs.select(*keys, F.explode(F.split(numbered, r"(?<=\n)(?=[0-9]+\x01[ \t\r\f\x0B]*(?:\n|\z))", -1)).alias("block"))
+    parted = blocks.select(*keys, F.transform(F.split("block", "\n", -1), _words).alias("all"))
+    parted = parted.select(*keys, F.get("all", F.lit(0))[0].cast("int").alias("block"), F.filter("all", lambda w: F.size(w) > 1).alias("all"))  # the first word is the line's number
+    parted = parted.where(F.size("all") > 0).select(*keys, "block", F.transform("all", lambda w: F.struct(w[0].cast("int").alias("no"), F.slice(w, 2, F.size(w) - 1).alias("w"))).alias("lines"))
+    single = F.flatten(F.transform("lines", lambda x: F.transform(_starts(x["w"]), lambda s: F.struct(x["no"].alias("paragraph"), x["no"].alias("last"), F.slice(x["w"], s, MAX_WORDS).alias("words")))))
+    near = parted.select(*keys, "block", single.alias("single"), F.when(F.size("lines") > 1, F.flatten(F.transform("lines", lambda x: x["w"]))).alias("w"), F.flatten(F.transform("lines", lambda x: F.array_repeat(x["no"], F.size(x["w"])))).alias("no"))
+    joined = F.transform(_starts(F.col("w")), lambda s: F.struct(F.get("no", s - 1).alias("paragraph"), F.get("no", F.least(s + MAX_WORDS - 1, F.size("no")) - 1).alias("last"), F.slice("w", s, MAX_WORDS).alias("words")))
+    joined = F.when(F.arrays_overlap("w", F.lit(_needed(templates, confirm))), F.filter(joined, lambda x: x["paragraph"] < x["last"]))
+    windows = near.select(*keys, "block", F.explode(F.concat("single", F.coalesce(joined, F.slice("single", 1, 0)))).alias("x")).select(*keys, "block", "x.*")
     seen = model.classifier.transform(_vectors(windows.withColumn("grams", _grams(F.col("words")))))
     probability = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("m") + F.lit(model.offset))))
     families = F.array(*[F.lit(f) for f in model.families])
     best = F.expr("array_position(slice(s, 2, size(s) - 1), array_max(slice(s, 2, size(s) - 1)))").cast("int")
-    hits = seen.select(*keys, "paragraph", "words", _margin("rawPrediction").alias("m"), vector_to_array("rawPrediction").alias("s"))
-    hits = hits.select(*keys, "paragraph", "words", probability.alias("probability"), F.get(families, best).alias("predicted")).where("probability >= 0.5")
+    place = [*keys, "block", "paragraph", "last"]
+    hits = seen.select(*place, "words", _margin("rawPrediction").alias("m"), vector_to_array("rawPrediction").alias("s"))
+    hits = hits.select(*place, "words", probability.alias("probability"), F.get(families, best).alias("predicted")).where("probability >= 0.5")
     own = _pairs(F.col("words"))
     shares = {f: F.greatest(*_shares(own, ts), F.lit(0.0)) for f, ts in templates.items()}
     similarity = F.coalesce(*[F.when(F.col("predicted") == f, s) for f, s in shares.items()], F.lit(0.0))
-    hits = hits.withColumn("similarity", similarity)
-    top = hits.groupBy(*keys, "paragraph").agg(F.max(F.struct("probability", "similarity", "predicted")).alias("t"))
-    confirmed = F.col("t.similarity") >= confirm
-    return top.select(*keys, "paragraph", "t.predicted", "t.probability", "t.similarity", F.when(confirmed, F.col("t.predicted")).otherwise(UNKNOWN).alias("family"), confirmed.alias("confirmed"))
+    top = hits.withColumn("similarity", similarity).groupBy(*place, "predicted").agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
+    top = top.withColumn("confirmed", F.col("similarity") >= confirm).where((F.col("paragraph") == F.col("last")) | F.col("confirmed"))
+    reach = F.struct("paragraph", "last", "probability", "similarity")
+    lone = F.col("paragraph") == F.col("last")
+    found = top.groupBy(*keys, "block", "predicted").agg(F.collect_list(F.when(lone, F.struct(reach.alias("r"), "confirmed"))).alias("one"), F.array_sort(F.collect_list(F.when(~lone, reach))).alias("some"))
+    within = lambda r, x: r["paragraph"].between(x["paragraph"], x["last"])
+    found = found.withColumn("some", F.filter("some", lambda x: ~F.exists("one", lambda o: o["confirmed"] & within(o["r"], x))))
+    # windows that overlap are one notice
+    found = found.withColumn("some", F.filter("some", lambda x, i: (i == 0) | (F.get("some", i - 1)["last"] < x["paragraph"])))
+    wrapped = F.transform("some", lambda x: F.struct(x.alias("r"), F.lit(True).alias("confirmed")))
+    alone = F.filter("one", lambda o: o["confirmed"] | ~F.exists("some", lambda x: within(o["r"], x)))
+    rows = found.select(*keys, "predicted", F.explode(F.concat(alone, wrapped)).alias("x"))
+    return rows.select(*keys, "x.r.paragraph", "predicted", "x.r.probability", "x.r.similarity", F.when(F.col("x.confirmed"), F.col("predicted")).otherwise(UNKNOWN).alias("family"), "x.confirmed")
+
+
+def _starts(words: Column) -> Column:
+    """Where the windows over `words` begin, counted from 1."""
+    half = MAX_WORDS // 2
+    return F.when(F.size(words) <= MAX_WORDS, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size(words) - half, F.lit(half)))
+
+
+def _needed(templates: Mapping[str, Sequence[str]], confirm: float) -> list[str]:
+    """Words of which a text must have one to be confirmed: without them, less than `confirm` of any template's pairs are left."""
+    parts = [(f, _template_pairs(t)) for f, ts in templates.items() for t in ts]
+    families = {w: {f for f, ps in parts if any(w in p.split() for p in ps)} for _, ps in parts for p in ps for w in p.split()}
+    out: set[str] = set()
+    for _, pairs in parts:
+        words = sorted({w for p in pairs for w in p.split()}, key=lambda w: (not re.search(MARKS, w), len(families[w]), -len(w), w))
+        while sum(not out & set(p.split()) for p in pairs) >= confirm * len(pairs) and words:
+            out.add(words.pop(0))
+    return sorted(out)
+
+
+def _template_pairs(t: str) -> list[str]:
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}) or words
 
 
 def _shares(own: Column, templates: Sequence[str]) -> list[Column]:
     """For each template, the share of its word pairs in `own`."""
     out = []
     for t in templates:
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
-        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}) or words
+        pairs = _template_pairs(t)
         out.append(F.size(F.array_intersect(own, F.array(*[F.lit(p) for p in pairs]))) / len(pairs))
     return out
 
@@ -169,7 +212,7 @@ def _shares(own: Column, templates: Sequence[str]) -> list[Column]:
 def by_document(docs: DataFrame, hits: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
     """(id, n_paragraphs, n_confirmed, families) for every id of `docs`: families sorted and joined by commas, "" for none. Rows that
     repeat an id are one document."""
-    found = hits.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
+    found = hits.groupBy(doc_id).agg(F.count_distinct("paragraph").alias("n_paragraphs"), F.count_distinct(F.when(F.col("confirmed"), F.col("paragraph"))).alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
     ids = docs.select(F.col(doc_id).alias("__id")).distinct()
     out = ids.join(found, ids["__id"].eqNullSafe(found[doc_id]), "left")
     return out.select(F.col("__id").alias(doc_id), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"), F.coalesce("families", F.lit("")).alias("families"))

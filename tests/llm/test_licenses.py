@@ -26,3 +26,17 @@ def test_families_and_edges(spark):
     assert len(got) == len(notes) + len(prose) + 3
     none = df.limit(0)
     assert licenses.by_document(none, licenses.scanned(none, licenses.trained(none))).count() == 0
+
+
+def test_several_notices_in_a_line_and_wrapped_notices(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["the", "tree", "runs", "over", "green", "hills", "of", "work", "and", "file"]) for _ in range(n))
+    apache, mit, gpl = licenses.TEMPLATES["Apache-2.0"][1], licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][1]
+    lines = lambda t, n: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [(1, f"{apache} {prose(200)} {mit}"), (2, lines(mit, 6)), (3, prose(9) + "\n\n" + lines(gpl, 7) + "\n\n" + prose(9)), (4, lines(apache, 5) + "\n" + mit), (5, prose(30) + "\n" + prose(30))]
+    df = spark.createDataFrame(rows + [(100 + i, prose(rng.randrange(3, 90))) for i in range(200)], "doc_id long, text string")
+    hits = licenses.scanned(df, licenses.trained(df))
+    confirmed = {(r.doc_id, r.paragraph, r.family) for r in hits.collect() if r.confirmed}
+    assert confirmed == {(1, 0, "Apache-2.0"), (1, 0, "MIT"), (2, 0, "MIT"), (3, 2, "GPL-3.0"), (4, 0, "Apache-2.0"), (4, len(apache.split()) // 5 + (len(apache.split()) % 5 > 0), "MIT")}
+    got = {r.doc_id: (r.n_paragraphs, r.n_confirmed) for r in licenses.by_document(df, hits).collect()}
+    assert got[1] == (1, 1) and got[5] == (0, 0)
