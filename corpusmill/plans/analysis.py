@@ -295,9 +295,15 @@ def _(spark, sf):
 # ---- streams: no SQL; tests hold them against their batch twins
 
 
+def table_stream(spark, sf, name, schema):
+    """A stream of a table that is one file, or a folder of part files."""
+    path = f"{sf}/{name}.parquet"
+    return E.stream(spark, path, schema, "*.parquet") if _is_folder(spark, path) else E.stream(spark, sf, schema, f"{name}.parquet")
+
+
 def event_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    s = E.stream(spark, sf, schema, "events.parquet")
+    s = table_stream(spark, sf, "events", schema)
     return s.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("f"), F.col("event_id") % 23).alias("path"), F.col("value").alias("duration"), "props")
 
 
@@ -325,7 +331,7 @@ def _(spark, sf):
 @query("scan_stream", f"WITH {HITS} SELECT pattern_id, file, line FROM hits")
 def _(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    docs = E.stream(spark, sf, schema, "documents.parquet") if not _is_folder(spark, f"{sf}/documents.parquet") else E.stream(spark, f"{sf}/documents.parquet", schema, "*.parquet")
+    docs = table_stream(spark, sf, "documents", schema)
     files = docs.selectExpr("source AS project", "concat(source, '/', doc_id, '.', lang) AS path", "lang AS ext", "text AS content")
     return E.scan_stream(files, lambda f: S.batch(S.lines(f), LIBRARY)).select("pattern_id", "file", "line")
 

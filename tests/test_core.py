@@ -208,6 +208,19 @@ def test_session_stream_gives_the_closed_sessions_of_its_batch_twin(spark, event
     assert streamed and streamed == {k for k, end in batch.items() if end <= last}
 
 
+def test_streams_read_tables_of_several_part_files(spark, tmp_path):
+    from corpusmill.plans.queries import queries
+
+    rows = [(i, str(ts), i, kind, 1.0, "{}") for i, ts, _, kind, _ in event_rows(4000)]
+    table = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    table.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    q, sf = queries(), str(tmp_path)
+    twin = {r.event_id for r in q["ttl_dedupe"](spark, sf).collect()}
+    assert twin and {r.event_id for r in q["ttl_dedupe_stream"](spark, sf).collect()} == twin
+    for name in ("session_track_stream", "closeout_stream", "error_rate_stream"):
+        assert q[name](spark, sf).count(), name
+
+
 def test_entry_without_llm():
     from corpusmill.plans import queries
 
