@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.shared import folder
@@ -16,7 +17,7 @@ def ttl_dedupe(events: DataFrame, keys: Sequence[str], ts: str = "ts", ttl: int
     """Events that are `ttl` seconds or more after the last accepted event of their key.
 
     An event that comes `ttl` after any event before it is accepted whatever came before, so a key's events fall into runs and only
-    within a run the events are folded one after the other. `last` (keys, last_ts): what a stream accepted before.
+    within a run the events are folded one after the other, over sorted partitions with the last accepted time as the only state. `last` (keys, last_ts): what a stream accepted before.
     """
     t = events.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
     if last is not None:
@@ -26,16 +27,30 @@ def ttl_dedupe(events: DataFrame, keys: Sequence[str], ts: str = "ts", ttl: int
     w = Window.partitionBy(*keys).orderBy("__t", order)
     gap = F.col("__t") - F.coalesce(F.lag("__t").over(w), "__last")
     runs = t.withColumn("__new", F.coalesce(gap >= ttl * 1_000_000, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(w))
-    item = F.struct("__t", order, F.col("__last").alias("l"))
-    folded = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    start = F.struct(F.when(F.col("__run") == 0, F.get("a", F.lit(0))["l"]).alias("last"), F.array().cast(f"array<{dict(events.dtypes)[order]}>").alias("ids"))
+    start = F.lag(F.lit(1)).over(w).isNull() | (F.col("__new") == 1)
+    fold = runs.select(*keys, order, "__run", "__t", start.alias("__start"), F.when(F.col("__run") == 0, F.col("__last")).alias("__from"))
+    types = dict(events.dtypes)
+    out = ", ".join(f"`{c}` {types[c]}" for c in [*keys, order])
+    sorted_runs = fold.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__t", order)
+    accepted = sorted_runs.mapInArrow(_folder(len(keys) + 1, ttl * 1_000_000), out)
+    return events.join(accepted, [*keys, order], "left_semi")
 
-    def step(state: Column, e: Column) -> Column:
-        ok = state["last"].isNull() | (e["__t"] - state["last"] >= ttl * 1_000_000)
-        return F.struct(F.when(ok, e["__t"]).otherwise(state["last"]).alias("last"), F.when(ok, F.concat(state["ids"], F.array(e[order]))).otherwise(state["ids"]).alias("ids"))
 
-    accepted = folded.select(*keys, F.explode(F.aggregate("a", start, step)["ids"]).alias(order))
-    return events.join(accepted, [*keys, order], "left_semi")
+def _folder(width: int, ttl: int):
+    """Of runs that come sorted: the first `width` columns of the accepted events; time, start of a run and time accepted before it come last."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            taken = []
+            for t, start, before in zip(*(batch.column(i).to_pylist() for i in range(width + 1, width + 4)), strict=True):
+                last = before if start else last
+                ok = last is None or (t is not None and t - last >= ttl)
+                last = t if ok else last
+                taken.append(ok)
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(taken, pa.bool_()))
+
+    return fold
 
 
 def sessions(events: DataFrame, by: str = "user_id", gap: str = "30 minutes", ts: str = "ts", exact: bool = True) -> DataFrame:

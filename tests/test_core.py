@@ -189,6 +189,14 @@ def test_ttl(spark, event_table):
     assert got == fold(event_rows(), 300)
 
 
+def test_ttl_folds_a_dense_key_without_gathering_it(spark, event_table):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=i * 7 % 25_000), 1, "click", "f") for i in range(25_000)]
+    got = events.ttl_dedupe(spark.createDataFrame(rows, event_table.schema), ["event_type"], ttl=300)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert {r.event_id for r in got.collect()} == fold(rows, 300)
+
+
 def test_ttl_stream_over_several_batches(spark, event_table, tmp_path):
     for i, (lo, hi) in enumerate(((0, 100), (100, 250), (250, 400))):
         rows = sorted(event_rows(), key=lambda r: r[1])[lo:hi]
