@@ -12,19 +12,34 @@ LOWER = UPPER.lower()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: `spark.checkpoint.dir`, or a temporary one where that is unset."""
+    """The folder that the driver and all executors see: `spark.checkpoint.dir`. Where that is unset, a temporary one on a single machine, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if spark.sparkContext.applicationId not in _FOLDERS:
+        _FOLDERS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="corpusmill-")
+    return _FOLDERS[spark.sparkContext.applicationId]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_FOLDERS: dict[str, str] = {}
+
+
+def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: later steps start from the files, and survive lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes the files of a table that `saved` gave; nothing may read it later."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

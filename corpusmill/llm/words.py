@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,7 +20,7 @@ def _powers(base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-STRETCH = 1 << 20  #: bytes hashed at a time
+STRETCH = 1 << 16  #: bytes hashed at a time: what fits a core's cache
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
@@ -50,6 +52,8 @@ def hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
+
+
 #: What parts words of letters and digits: other ASCII. Non-ASCII characters are letters.
 NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
@@ -70,4 +74,25 @@ def cut(texts: pa.Array, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     first[1:] &= blank[:-1] | edge[1:-1]
     last[:-1] &= blank[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return b, at, start, end, np.searchsorted(at, start, side="right") - 1
+    return b, at, start, end, between(at[1:-1], start)
+
+
+def between(marks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many of the sorted `marks` are at or before each of the sorted `places`; marks are few beside places."""
+    return np.repeat(np.arange(len(marks) + 1), np.diff(np.concatenate([[0], np.searchsorted(places, marks), [len(places)]])))
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int, nbytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices that hold about `nbytes` in a text or binary column, one row at least."""
+    for batch in batches:
+        values = batch.column(column)
+        if not len(values):
+            continue
+        large = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+        at = np.frombuffer(values.buffers()[1], np.int64 if large else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+        start = 0
+        while start < len(values):
+            end = max(start + 1, int(np.searchsorted(at, at[start] + nbytes, side="right")) - 1)
+            end = min(end, len(values))
+            yield batch.slice(start, end - start)
+            start = end

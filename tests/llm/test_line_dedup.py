@@ -43,3 +43,33 @@ def test_deduplicated_edges(spark):
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str)
     assert got == sorted([(1, "a b c\n\nz", 4, 1), (2, None, 0, 0), (3, "", 0, 0), (4, "", 1, 1), (5, "p q", 1, 0), (5, "p q", 1, 0), (None, "y", 2, 1), (6, "k\n" + "m", 3001, 2999)], key=str)
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_hot_words_and_long_lists(spark, monkeypatch):
+    """Every line shares a word, and large groups of near copies and of unlike lines meet in one list."""
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    monkeypatch.setattr(line_dedup, "LONG", 12)
+    monkeypatch.setattr(line_dedup, "LEAD", 2)
+    rng = random.Random(5)
+    few = [f"w{k}" for k in range(9)]
+    docs = [(k, "\n".join(["hot " + " ".join(rng.sample(few, rng.randrange(3, 7))), f"hot a b c d e f g h i{k}"])) for k in range(150)]
+    got = {}
+    for r in line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect():
+        got.setdefault(r.doc_id, []).append(r.line_no)
+    assert {k: sorted(v) for k, v in got.items()} == line_dedup.brute_force(docs)
+
+
+def test_repeated_ids_are_documents_of_their_own_and_ids_may_be_text(spark):
+    rows = [("5", "dup line here\nkeep me"), ("5", "unique text alone\nsecond thing"), ("7", "dup line here"), (None, "keep me"), (None, "nothing else")]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([("5", rows[0][1]), ("5", rows[1][1]), ("7", ""), (None, ""), (None, "nothing else")], key=str)
+
+
+def test_very_long_lines_and_many_lines():
+    import pyarrow as pa
+
+    texts = [" ".join(f"t{k}" for k in range(70_000)), "x\n" * 70_000 + "y x y", "", None]
+    sets = line_dedup.sets_of(pa.array(texts))
+    assert sets.n.tolist() == [70_000] + [1] * 70_000 + [2]
+    assert sets.no.tolist() == [0, *range(70_001)] and sets.text.tolist() == [0] + [1] * 70_001
+    assert len(set(sets.id.tolist())) == 3
