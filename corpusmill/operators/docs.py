@@ -96,10 +96,23 @@ def first_seen(rows: DataFrame, by: Sequence[str], key: str, order: Sequence[str
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by, key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+MERGED = 5  #: documents that may be merged into one
+
+
+def _group_sizes(into: DataFrame) -> DataFrame:
+    return into.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_rejected(into: DataFrame) -> DataFrame:
+    """(target, reason) of the groups that can't be merged."""
+    n = F.col("n")
+    return _group_sizes(into).where(~n.between(2, MERGED)).select("target", F.when(n < 2, "at least 2 documents are needed").otherwise(f"at most {MERGED} documents can be merged").alias("reason"))
+
+
 def merged(docs: DataFrame, into: DataFrame) -> DataFrame:
     """One document for each group of `into` (id, target, pos): findings and tags first seen, the largest depth, the earliest date, and the
-    first 300 characters of each summary. A group has five documents at most; later ones are left out."""
-    d = docs.join(into.where(F.col("pos") < 5), "id")
+    first 300 characters of each summary. Groups of one document or of more than five aren't merged (see `merge_rejected`)."""
+    d = docs.join(into.join(_group_sizes(into).where(F.col("n").between(2, MERGED)).select("target"), "target", "left_semi"), "id")
     found = d.select("target", "pos", F.posexplode("findings").alias("at", "f")).select("target", "pos", "at", F.col("f.finding").alias("finding"))
     once = first_seen(found, ["target"], "finding", ["pos", "at"]).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "finding"))).alias("f"))
     tags = d.select("target", "pos", F.posexplode("tags").alias("at", "tag"))

@@ -91,11 +91,33 @@ def parsed(texts: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(end(1).alias("src"), end(-1).alias("dst"))
 
 
-def mermaid(edges: DataFrame, limit: int = 200) -> DataFrame:
-    """One row with a flow chart of the first edges in order."""
-    few = edges.select("src", "dst").distinct().orderBy("src", "dst").limit(limit)
+def _chart(lines: Column, none: str) -> Column:
+    return F.concat(F.lit("flowchart LR\n"), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.lit(f"  {none}")))
+
+
+def mermaid(edges: DataFrame, by: str | None = None) -> DataFrame:
+    """A flow chart of all edges in order, one row or one for each value of `by`. A chart is one string; large graphs want a column to part them by."""
+    keys = [by] if by else []
     lines = F.array_sort(F.collect_list(F.concat(F.lit("  "), F.col("src"), F.lit(" --> "), F.col("dst"))))
-    return few.agg(F.concat(F.lit("flowchart LR\n"), F.array_join(lines, "\n")).alias("mermaid"))
+    return edges.select(*keys, "src", "dst").distinct().groupBy(*keys).agg(_chart(lines, "no_data[No dependency data to graph]").alias("mermaid"))
+
+
+def mermaid_cycles(found: DataFrame, n: int = 5) -> DataFrame:
+    """One row with a chart of the first `n` of the cycles that `cycles` gives, a coloured subgraph each; nodes carry the cycle's number."""
+    first = found.where("length > 1").orderBy("length", "cycle").limit(n).withColumn("i", F.row_number().over(Window.orderBy("length", "cycle")) - 1)
+    name = lambda x: F.concat(x, F.lit("_"), F.col("i").cast("string"))
+    nodes = F.split("cycle", " -> ")
+    steps = F.zip_with(nodes, F.concat(F.slice(nodes, 2, F.size(nodes)), F.slice(nodes, 1, 1)), lambda a, b: F.concat(F.lit("  "), name(a), F.lit(" --> "), name(b)))
+    i = F.col("i").cast("string")
+    part = F.concat_ws("\n", F.concat(F.lit("subgraph C"), i, F.lit(" [Cycle "), (F.col("i") + 1).cast("string"), F.lit("]")), F.array_join(steps, "\n"), F.lit("end"), F.concat(F.lit("style C"), i, F.lit(" fill:#ffcccc,stroke:#ff0000")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))), lambda x: x["part"])
+    return first.agg(_chart(parts, "no_cycles[No cycles detected]").alias("mermaid"))
+
+
+def mermaid_summary(edges: DataFrame) -> DataFrame:
+    """One row with a chart of the graph's figures."""
+    s = summary(edges)
+    return s.select(F.concat(F.lit("flowchart LR\n"), F.concat_ws("\n", *[F.concat(F.lit(f"  graph --> {c}["), F.col(c).cast("string"), F.lit(f" {c}]")) for c in ("nodes", "edges", "sources", "sinks", "loops")])).alias("mermaid"))
 
 
 def tests_for(symbols: DataFrame, lines: DataFrame, n: int = 10) -> DataFrame:

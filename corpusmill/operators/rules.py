@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.shared import kept
+
 # Enumerations of the data model.
 SEVERITIES = ("P0", "P1", "P2", "P3", "INFO")
 LIBRARY_SEVERITIES = ("critical", "high", "medium", "low", "info")
@@ -104,24 +106,35 @@ def scan_targets(targets: DataFrame, rules: DataFrame) -> DataFrame:
     return by_id.union(by_category)
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """`rows` numbered from 1 by the columns `order`, without one task that sees them all: sorted into ranges, numbered within each, and moved on by the
+    counts of the ranges before."""
+    parted = kept(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    counts = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # a row for each range
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parted.join(F.broadcast(before), "__part").withColumn(name, place + F.col("__before")).drop("__part", "__before")
+
+
 def next_ids(new: DataFrame, existing: DataFrame, order: str, prefix: str = CUSTOM_PREFIX, width: int = 3) -> DataFrame:
-    """`new` with an `assigned` id: the largest number in use plus 1, 2, ... by `order`. New rows are few: a batch typed or imported."""
+    """`new` with an `assigned` id: the largest number in use plus 1, 2, ... by `order`. Numbers wider than `width` keep all their digits."""
     largest = existing.where(F.col("id").startswith(prefix)).agg(F.coalesce(F.max(F.expr(f"try_cast(substring(id, {len(prefix) + 1}) as bigint)")), F.lit(0)).alias("largest"))
-    number = F.row_number().over(Window.orderBy(order)) + F.col("largest")
-    return new.crossJoin(F.broadcast(largest)).withColumn("assigned", F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))).drop("largest")
+    number = (F.col("__place") + F.col("largest")).cast("string")
+    out = numbered(new, [order], "__place").crossJoin(F.broadcast(largest))
+    return out.withColumn("assigned", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(width)), F.lit("0")))).drop("largest", "__place")
 
 
 def upserted(existing: DataFrame, patches: DataFrame, limit: int = MAX_CUSTOM) -> DataFrame:
     """Custom rules after `patches` (name, scan_query, severity, ts): a rule with the same name and query is updated and keeps its id and
-    created_at, others are added while there is room for `limit` rules. status says updated, added, kept or rejected."""
+    created_at, others are added while there is room for `limit` rules. status says updated, added, kept or rejected. Only new rules are numbered."""
     key = lambda p: F.md5(F.concat_ws("::", F.trim(F.col(f"{p}name")), F.trim(F.col(f"{p}scan_query"))))
     new = patches.select(*[F.col(c).alias(f"p_{c}") for c in patches.columns]).withColumn("key", key("p_")).withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("p_ts")))).where("__n = 1").drop("__n")
-    both = existing.withColumn("key", key("")).join(new, "key", "full_outer")
+    have = existing.withColumn("key", key(""))
+    old = have.join(new, "key", "left").withColumn("status", F.when(F.col("p_name").isNotNull(), "updated").otherwise("kept"))
     room = existing.agg(F.count(F.lit(1)).alias("have"))
-    place = F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("p_ts", "key"))
-    out = both.crossJoin(F.broadcast(room)).withColumn("place", place)
-    status = F.when(F.col("id").isNotNull() & F.col("p_name").isNotNull(), "updated").when(F.col("id").isNotNull(), "kept").when(F.col("have") + F.col("place") <= limit, "added").otherwise("rejected")
-    return out.select("key", "id", F.coalesce("name", "p_name").alias("name"), F.coalesce("scan_query", "p_scan_query").alias("scan_query"), F.coalesce("p_severity", "severity").alias("severity"), F.coalesce("created_at", "p_ts").alias("created_at"), status.alias("status"))
+    added = numbered(new.join(have.select("key"), "key", "left_anti"), ["p_ts", "key"], "place").crossJoin(F.broadcast(room)).withColumn("status", F.when(F.col("have") + F.col("place") <= limit, "added").otherwise("rejected"))
+    out = old.unionByName(added.drop("have", "place"), allowMissingColumns=True)
+    return out.select("key", "id", F.coalesce("name", "p_name").alias("name"), F.coalesce("scan_query", "p_scan_query").alias("scan_query"), F.coalesce("p_severity", "severity").alias("severity"), F.coalesce("created_at", "p_ts").alias("created_at"), "status")
 
 
 def repo_upserted(existing: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

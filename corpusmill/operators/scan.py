@@ -31,14 +31,14 @@ class Rule:
 
 # The secret patterns, what they are, and whether a hit blocks.
 SECRETS = (
-    (r"-----BEGIN\s+(?:RSA|EC|DSA|OPENSSH)\s+PRIVATE KEY-----", "private key", True),
-    (r"-----BEGIN\s+CERTIFICATE-----", "certificate", True),
-    (r"sk-[a-zA-Z0-9]{20,}", "sk key", False),
-    (r"(?i)(?:gh[ps]_|github_pat_)[a-zA-Z0-9]{36,}", "git token", False),
-    (r"AKIA[0-9A-Z]{16}", "cloud access key", False),
-    (r"(?i)(?:postgres|mysql|redis|mongodb|sqlite)://\w+:\w+@", "connection string", False),
-    (r"eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}", "web token", False),
-    (r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*[\"'][A-Za-z0-9_@#$%^&+=!]{12,}", "credential", False),
+    (r"-----BEGIN\s+(?:RSA|EC|DSA|OPENSSH)\s+PRIVATE KEY-----", "Private/SSH Key", True),
+    (r"-----BEGIN\s+CERTIFICATE-----", "Certificate", True),
+    (r"sk-[a-zA-Z0-9]{20,}", "OpenAI API Key (sk-...)", False),
+    (r"(?i)(?:gh[ps]_|github_pat_)[a-zA-Z0-9]{36,}", "GitHub Token", False),
+    (r"AKIA[0-9A-Z]{16}", "AWS Access Key ID", False),
+    (r"(?i)(?:postgres|mysql|redis|mongodb|sqlite)://\w+:\w+@", "DB connection string with credentials", False),
+    (r"eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}", "JWT Token", False),
+    (r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*[\"'][A-Za-z0-9_@#$%^&+=!]{12,}", "Credential assignment", False),
 )
 BINARY = ("png", "jpg", "jpeg", "gif", "ico", "svg", "woff", "woff2", "ttf", "eot", "pdf", "zip", "tar", "gz", "lock")
 DEBUG = ((r"breakpoint\(\)", "breakpoint()"), (r"pdb\.set_trace\(\)", "pdb.set_trace()"), (r"debugger;?", "debugger statement"), (r"import pdb", "import pdb"))
@@ -143,19 +143,35 @@ def severity_counts(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return dim.join(counts, [*by, "severity"], "left").select(*by, "severity", "rank", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _contexts(regex: str) -> Column:
+    """Each match in the content with the 20 characters before and after it, which may hold other matches."""
+    found = F.regexp_extract_all("content", F.lit(regex), 0)
+    pieces = F.split("content", regex, -1)  # what stands before, between and after the matches
+    nothing = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+    places = F.aggregate(
+        F.arrays_zip(pieces.alias("piece"), found.alias("match")),
+        nothing,
+        lambda so, x: F.struct(
+            (so["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
+            F.when(x["match"].isNull(), so["out"]).otherwise(F.concat(so["out"], F.array(_around(so["at"] + F.length(x["piece"]), F.length(x["match"]))))).alias("out"),
+        ),
+        lambda so: so["out"],
+    )
+    return F.when(F.col("content").rlike(regex), places)
+
+
+def _around(at: Column, size: Column, reach: int = 20) -> Column:
+    start = F.greatest(at - reach, F.lit(1))
+    return F.substring(F.col("content"), start, at + size + reach - start)
+
+
 def secrets(files: DataFrame) -> DataFrame:
-    """(path, kind, blocking, context) for each secret, with 20 characters around it. Test files only count for blocking kinds."""
+    """(path, kind, blocking, context) for each secret, with 20 characters around it. Test files only count for blocking kinds. One pass over the files."""
     test = F.col("path").rlike(r"/tests/|^tests/|/test_|^test_|/fixtures/|/mock/|/__snapshots__/")
-    text = files.where(~F.lower("ext").isin(*BINARY))
-    parts = []
-    for regex, kind, blocking in SECRETS:
-        some = text if blocking else text.where(~test)
-        around = F.regexp_extract_all("content", F.lit(f"(?s)(.{{0,20}})({regex})(.{{0,20}})"), 0)
-        parts.append(some.where(F.col("content").rlike(regex)).select("path", F.lit(kind).alias("kind"), F.lit(blocking).alias("blocking"), F.explode(around).alias("context")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.withColumn("context", F.replace("context", F.lit("\n"), F.lit("\\n")))
+    text = files.where(~F.lower("ext").isin(*BINARY)).where(F.col("content").rlike("|".join(f"(?:{regex})" for regex, _, _ in SECRETS)))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(blocking).alias("blocking"), (_contexts(regex) if blocking else F.when(~test, _contexts(regex))).alias("contexts")) for regex, kind, blocking in SECRETS])
+    each = text.select("path", F.explode(kinds).alias("k")).where("k.contexts is not null")
+    return each.select("path", "k.kind", "k.blocking", F.explode("k.contexts").alias("context")).withColumn("context", F.replace("context", F.lit("\n"), F.lit("\\n")))
 
 
 def conflicts(source: DataFrame) -> DataFrame:

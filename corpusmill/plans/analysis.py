@@ -9,7 +9,7 @@ from ..streaming import events as E
 from .base import FILES, query, role
 from .scans import HITS, LIBRARY, LOGS, REQUESTS, hits
 
-EDGES = "SELECT DISTINCT concat('n', o_custkey) AS src, concat('n', (o_custkey * 3 + o_orderkey % 2) % 1009) AS dst FROM orders WHERE o_custkey % 4 > 0"
+EDGES = "SELECT DISTINCT concat('n', o_custkey) AS src, concat('n', (o_custkey * 3 + o_orderkey % 2) % (SELECT count(*) FROM customer)) AS dst FROM orders"
 
 
 def edges(spark, sf):
@@ -71,16 +71,31 @@ def _(spark, sf):
     return G.parsed(role(spark, sf, _ARROWS))
 
 
-@query("mermaid", f"WITH e AS (SELECT src, dst FROM ({EDGES}) x ORDER BY src, dst LIMIT 200) SELECT concat('flowchart LR', chr(10), string_agg(concat('  ', src, ' --> ', dst), chr(10) ORDER BY concat('  ', src, ' --> ', dst))) AS mermaid FROM e")
+@query("mermaid", f"WITH e AS (SELECT right(src, 2) AS part, src, dst FROM ({EDGES}) x) SELECT part, concat('flowchart LR', chr(10), string_agg(concat('  ', src, ' --> ', dst), chr(10) ORDER BY concat('  ', src, ' --> ', dst))) AS mermaid FROM e GROUP BY part")
 def _(spark, sf):
-    return G.mermaid(edges(spark, sf))
+    return G.mermaid(edges(spark, sf).withColumn("part", F.right("src", F.lit(2))), "part")
 
 
-_TESTS = "SELECT source AS project, concat('tests/', doc_id, '.', lang) AS path, lang AS ext, text AS content FROM documents WHERE doc_id % 3 = 0"
+@query("mermaid_cycles", f"""WITH c AS ({_CYCLES}), f AS (SELECT *, row_number() OVER (ORDER BY length, cycle) - 1 AS i FROM c WHERE length > 1 QUALIFY i < 5), n AS (SELECT i, string_split(cycle, ' -> ') AS x FROM f),
+ p AS (SELECT i, concat('subgraph C', i, ' [Cycle ', i + 1, ']', chr(10), array_to_string(list_transform(range(1, len(x) + 1), lambda k: concat('  ', x[k], '_', i, ' --> ', x[k % len(x) + 1], '_', i)), chr(10)), chr(10), 'end', chr(10), 'style C', i, ' fill:#ffcccc,stroke:#ff0000') AS part FROM n)
+ SELECT concat('flowchart LR', chr(10), coalesce(string_agg(part, chr(10) ORDER BY i), '  no_cycles[No cycles detected]')) AS mermaid FROM p""")
+def _(spark, sf):
+    return G.mermaid_cycles(G.cycles(edges(spark, sf)))
+
+
+_FIGURES = f"WITH e AS ({EDGES}), n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), s AS (SELECT count(*) AS nodes, count(*) FILTER (x NOT IN (SELECT dst FROM e)) AS sources, count(*) FILTER (x NOT IN (SELECT src FROM e)) AS sinks, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE src = dst) AS loops FROM n)"
+
+
+@query("mermaid_summary", _FIGURES + " SELECT concat('flowchart LR', chr(10), '  graph --> nodes[', nodes, ' nodes]', chr(10), '  graph --> edges[', edges, ' edges]', chr(10), '  graph --> sources[', sources, ' sources]', chr(10), '  graph --> sinks[', sinks, ' sinks]', chr(10), '  graph --> loops[', loops, ' loops]') AS mermaid FROM s")
+def _(spark, sf):
+    return G.mermaid_summary(edges(spark, sf))
+
+
+_TESTS = "SELECT source AS project, concat(CASE doc_id % 3 WHEN 0 THEN 'tests/' ELSE 'src/' END, doc_id, '.', lang) AS path, lang AS ext, text AS content FROM documents"
 _SYMBOLS = "SELECT DISTINCT concat('th', lower(substr(n_name, 1, 1)), 'n') AS symbol FROM nation UNION SELECT 'the' UNION SELECT 'que' UNION SELECT 'tion'"
 
 
-@query("tests_for_symbol", f"WITH t AS ({_TESTS}), l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM t), s AS ({_SYMBOLS}), w AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '\\w+')) AS symbol FROM l) SELECT symbol, path, line_no::INTEGER AS line_no FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, line_no) AS n FROM w JOIN s USING (symbol)) WHERE n <= 10")
+@query("tests_for_symbol", f"WITH t AS (SELECT * FROM ({_TESTS}) x WHERE starts_with(path, 'tests/')), l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM t), s AS ({_SYMBOLS}), w AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '\\w+')) AS symbol FROM l) SELECT symbol, path, line_no::INTEGER AS line_no FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, line_no) AS n FROM w JOIN s USING (symbol)) WHERE n <= 10")
 def _(spark, sf):
     symbols = role(spark, sf, "SELECT DISTINCT concat('th', lower(substr(n_name, 1, 1)), 'n') AS symbol FROM nation").union(spark.createDataFrame([("the",), ("que",), ("tion",)], "symbol string"))
     return G.tests_for(symbols, S.lines(role(spark, sf, _TESTS))).select("symbol", "path", "line_no")

@@ -207,8 +207,8 @@ def _(spark, sf):
     return R.modules(role(spark, sf, _TREE))
 
 
-_MODULES = "SELECT DISTINCT concat('p', o_custkey % 20) AS project, CASE o_orderkey % 6 WHEN 0 THEN 'product' WHEN 1 THEN 'box' WHEN 2 THEN 'hero-banner' WHEN 3 THEN 'orders' WHEN 4 THEN concat('mod', o_orderkey % 30) ELSE 'agent' END AS module FROM orders"
-_ROUTES = "SELECT DISTINCT concat('p', o_custkey % 20) AS project, CASE o_orderkey % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'storefront' ELSE 'api' END AS kind, CASE o_orderkey % 7 WHEN 0 THEN '/products' WHEN 1 THEN '/boxes/[id]' WHEN 2 THEN '/hero_banner' WHEN 3 THEN '/order/x' WHEN 4 THEN concat('/mod', o_orderkey % 30, 's') WHEN 5 THEN '/agent-channels' ELSE '/store/auth/me' END AS path, CASE o_orderkey % 7 WHEN 1 THEN 'detail' ELSE 'page' END AS route_type FROM orders"
+_MODULES = "SELECT DISTINCT concat('p', o_custkey) AS project, CASE o_orderkey % 6 WHEN 0 THEN 'product' WHEN 1 THEN 'box' WHEN 2 THEN 'hero-banner' WHEN 3 THEN 'orders' WHEN 4 THEN concat('mod', o_orderkey % 30) ELSE 'agent' END AS module FROM orders"
+_ROUTES = "SELECT DISTINCT concat('p', o_custkey) AS project, CASE o_orderkey % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'storefront' ELSE 'api' END AS kind, CASE o_orderkey % 7 WHEN 0 THEN '/products' WHEN 1 THEN '/boxes/[id]' WHEN 2 THEN '/hero_banner' WHEN 3 THEN '/order/x' WHEN 4 THEN concat('/mod', o_orderkey % 30, 's') WHEN 5 THEN '/agent-channels' ELSE '/store/auth/me' END AS path, CASE o_orderkey % 7 WHEN 1 THEN 'detail' ELSE 'page' END AS route_type FROM orders"
 _MATCH = f"m AS ({_MODULES}), r AS ({_ROUTES}), seg AS (SELECT *, unnest(string_split(trim(path, '/'), '/')) AS s FROM r), b AS (SELECT project, module, unnest(CASE WHEN regexp_matches(module, '(ch|sh|s|x|z)$') THEN [module, replace(module, '-', '_'), module || 's', module || 'es'] ELSE [module, replace(module, '-', '_'), module || 's'] END) AS v FROM m), x AS (SELECT DISTINCT r.project, kind, path, route_type, module FROM seg r JOIN b ON r.project = b.project AND (r.s = b.v OR r.s = b.v || 's' OR b.v = r.s || 's'))"
 
 

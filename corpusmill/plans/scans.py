@@ -138,7 +138,9 @@ def _(spark, sf):
 def _secret_sql(regex: str, kind: str, blocking: bool) -> str:
     r = regex.replace("'", "''")
     test = "" if blocking else " AND NOT regexp_matches(path, '/tests/|^tests/|/test_|^test_|/fixtures/|/mock/|/__snapshots__/')"
-    return f"SELECT path, '{kind}' AS kind, {blocking} AS blocking, replace(unnest(regexp_extract_all(content, '(?s)(.{{0,20}})({r})(.{{0,20}})')), chr(10), '\\n') AS context FROM files WHERE regexp_matches(content, '{r}'){test}"
+    found = f"SELECT path, content, regexp_extract_all(content, '{r}') AS m, regexp_split_to_array(content, '{r}') AS p FROM files WHERE regexp_matches(content, '{r}'){test}"
+    place = "list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0)"
+    return f"SELECT path, '{kind}' AS kind, {blocking} AS blocking, replace(substr(content, greatest(place - 19, 1)::BIGINT, (place + size + 20 - greatest(place - 19, 1) + 1)::BIGINT), chr(10), '\\n') AS context FROM (SELECT path, content, length(m[i]) AS size, {place} AS place FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({found}) x) y) z"
 
 
 @query("secret_scan", f"WITH files AS ({FILES}) " + " UNION ALL ".join(_secret_sql(*s) for s in S.SECRETS))

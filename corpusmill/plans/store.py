@@ -82,8 +82,7 @@ def _(spark, sf):
 
 
 def scores(spark, sf):
-    t = terms(spark, sf)
-    return X.scored(t, X.query_terms(spark, QUERY), X.document_frequency(t), stats(spark, sf))
+    return X.searched(role(spark, sf, BASE), F.col("summary"), QUERY)
 
 
 @query("bm25_search", f"WITH {DUCK}, {_TERMS}, {_SCORES} SELECT id, round(score, 3) AS score FROM sc JOIN docs USING (id) ORDER BY sc.score DESC, saved_at DESC, id LIMIT 50")
@@ -110,7 +109,7 @@ _PLAN_TEXT = "SELECT item_id AS id, text AS summary FROM benchmark WHERE item_id
 )
 def _(spark, sf):
     plans = D.orphans(role(spark, sf, "SELECT item_id AS id, text AS summary FROM benchmark"), role(spark, sf, "SELECT item_id AS id FROM benchmark WHERE item_id % 2 = 0"))
-    return X.scored(X.term_table(plans, F.col("summary")), X.query_terms(spark, QUERY), X.document_frequency(terms(spark, sf)), stats(spark, sf)).select("id", F.round("score", 3).alias("score"))
+    return X.searched(role(spark, sf, BASE), F.col("summary"), QUERY, within=plans).select("id", F.round("score", 3).alias("score"))
 
 
 @query("all_terms_match", f"WITH {DUCK} SELECT id FROM docs WHERE contains(lower(summary), 'the') AND contains(lower(summary), 'attion') ORDER BY saved_at DESC, id LIMIT 5")
@@ -118,13 +117,21 @@ def _(spark, sf):
     return X.all_terms(docs(spark, sf), "The a attion", F.col("summary")).select("id")
 
 
-@query("relevance_top3", f"""WITH {DUCK}, a AS (SELECT conv_id, text FROM conversations WHERE role = 'user' AND turn = 0), s AS (SELECT conv_id, unnest(regexp_split_to_array(text, '\\s+')) AS x FROM a),
- w AS (SELECT DISTINCT conv_id, regexp_replace(lower(x), '^[.,!?;:()\\[\\]{{}}''"]+|[.,!?;:()\\[\\]{{}}''"]+$', '', 'g') AS word FROM s WHERE length(x) > 2 AND lower(x) NOT IN ({", ".join(repr(x) for x in X.STOP_WORDS)})),
- d AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(summary), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM docs),
- h AS (SELECT conv_id, id, count(*) AS matches FROM w JOIN d USING (word) WHERE word <> '' GROUP BY ALL) SELECT conv_id, id, matches::BIGINT AS matches, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY matches DESC, id) AS rank FROM h) WHERE rank <= 3""")
+_INTO = "SELECT doc_id AS id, CAST(floor(doc_id / 13) * 3 + CASE WHEN doc_id % 13 < 5 THEN 0 WHEN doc_id % 13 < 7 THEN 1 ELSE 2 END AS BIGINT) AS target, CAST(doc_id % 13 AS INT) AS pos FROM documents"
+
+
+@query("relevance_top3", f"""WITH {DUCK}, a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), s AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\\s+')) AS x FROM a),
+ w AS (SELECT DISTINCT conv_id, turn, regexp_replace(lower(x), '^[.,!?;:()\\[\\]{{}}''"]+|[.,!?;:()\\[\\]{{}}''"]+$', '', 'g') AS word FROM s WHERE length(x) > 2 AND lower(x) NOT IN ({", ".join(repr(x) for x in X.STOP_WORDS)})),
+ u AS (SELECT DISTINCT word FROM w WHERE word <> ''), m AS (SELECT word, id FROM u JOIN docs ON contains(lower(summary), word)),
+ h AS (SELECT conv_id, turn, id, count(*) AS matches FROM w JOIN m USING (word) GROUP BY ALL) SELECT conv_id, turn, id, matches::BIGINT AS matches, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY matches DESC, id) AS rank FROM h) WHERE rank <= 3""")
+def _(spark, sf):
+    asked = role(spark, sf, "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
+    return X.relevance(asked, docs(spark, sf), ["conv_id", "turn"], F.col("summary"))
+
+
+@query("merge_rejected", f"SELECT target, CASE WHEN count(*) < 2 THEN 'at least 2 documents are needed' ELSE 'at most 5 documents can be merged' END AS reason FROM ({_INTO}) i GROUP BY target HAVING count(*) NOT BETWEEN 2 AND 5")
 def _(spark, sf):
-    asked = role(spark, sf, "SELECT conv_id, text FROM conversations WHERE role = 'user' AND turn = 0")
-    return X.relevance(asked, docs(spark, sf), "conv_id", F.col("summary"))
+    return D.merge_rejected(role(spark, sf, _INTO))
 
 
 @query("dup_blocks", f"""WITH {LINES}, b AS (SELECT path, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS bare FROM lines), r AS (SELECT path, list(bare) OVER w AS run FROM b WHERE bare <> '' WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
@@ -223,10 +230,9 @@ def _(spark, sf):
     return D.first_seen(each, [], "url", ["id", "pos"]).select("url", "id", "pos")
 
 
-_INTO = "SELECT doc_id AS id, doc_id % 150 AS target, CAST((doc_id - doc_id % 150) / 150 AS INT) AS pos FROM documents"
 
 
-@query("doc_merge", f"""WITH {DUCK}, i AS ({_INTO}), d AS (SELECT * FROM docs JOIN i USING (id) WHERE pos < 5),
+@query("doc_merge", f"""WITH {DUCK}, i AS ({_INTO}), d AS (SELECT * FROM docs JOIN i USING (id) WHERE target IN (SELECT target FROM i GROUP BY target HAVING count(*) BETWEEN 2 AND 5)),
  f AS (SELECT target, pos, unnest(findings) AS x, unnest([0, 1]) AS k FROM d), f1 AS (SELECT target, string_agg(x, '|' ORDER BY pos, k) AS findings FROM (SELECT *, row_number() OVER (PARTITION BY target, x ORDER BY pos, k) AS n FROM f) WHERE n = 1 GROUP BY target),
  g AS (SELECT target, pos, unnest(tags) AS x, unnest([0, 1]) AS k FROM d), g1 AS (SELECT target, string_agg(x, '|' ORDER BY pos, k) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY target, x ORDER BY pos, k) AS n FROM g) WHERE n = 1 GROUP BY target)
  SELECT target, max(depth)::BIGINT AS depth, md5(string_agg(substr(summary, 1, 300), ' | ' ORDER BY pos)) AS summary, any_value(findings) AS findings, any_value(tags) AS tags FROM (SELECT target, depth, summary, pos FROM d) JOIN f1 USING (target) JOIN g1 USING (target) GROUP BY target""")
