@@ -4,12 +4,13 @@ A small tree is built from Python's HTML parser. Blocks with text of their own (
 length and commas to their parent, half to its parent and less further up. A container's points are discounted by its link
 density. The best container is kept whole, with all that stands beside it or its ancestors, up to the outermost article or main that it
 lies in and its siblings, or else up to the page; only what is mostly links is dropped there. Parts that are never article text
-(menus, adverts, forms and so on) are cut off first.
+(menus, adverts, forms and so on) are cut off first: by element and role, and by names that say nothing else and hold no article.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,52 +30,74 @@ NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments reply replies respond disqus cookie cookies consent gdpr notice alert popup modal overlay "
     "footer foot header masthead nav navbar navigation menu menus sidebar side widget related recommended share sharing social newsletter subscribe subscription login signup search pagination pager toolbar skip copyright".split()
 )
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())  # what readers wrote, even if in an article of its own
+FIRM_WORDS = frozenset("ad ads advert advertisement sponsor cookie".split()) | COMMENT_WORDS
+INLINE = frozenset("p span b i em strong h1 h2 h3 blockquote pre table figure".split())  # these are noise by firm words only
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
-KEEP_WORDS = frozenset("article body content main post entry text story".split())
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Words that say nothing of their own in a class name: "site-footer" is a footer, "has-sidebar" isn't a sidebar.
+PLAIN_WORDS = frozenset("site page global top bottom left right box block section wrap wrapper container area list item items inner outer bar slot unit links link button buttons icons posts post articles form main primary secondary sub panel column col row zone group id the and for google text thread message module".split())
+ASIDE = 0.3  #: a container with a noise word among others in its name counts so much less
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "noise", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "kids", "noise", "named", "share", "around", "points", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.named, self.share, self.around = False, 1.0, False  # noise by its name only; weight of its points; holds an article
         self.kids: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
 def _is_noise(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+    """Whether the element itself says that it isn't article text."""
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body"):
         return False
+    return any(
+        key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in NOISE_ROLES) or (key == "style" and value and _HIDDEN.search(value) is not None)
+        for key, value in attrs
+    )
+
+
+def _by_name(node: Node, attrs: list[tuple[str, str | None]]) -> None:
+    """Judges by class and id. A name made of noise words and plain ones is noise; a noise word among others only lowers the score."""
     for key, value in attrs:
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in NOISE_ROLES):
-            return True
-        if key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
         if key in ("class", "id") and value:
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & NOISE_WORDS and not (words & KEEP_WORDS and not words & {"comment", "comments", "ad", "ads", "footer", "sidebar"}):
-                return tag not in ("p", "span", "b", "i", "em", "strong", "h1") or bool(words & {"ad", "ads", "advert", "cookie", "comment", "comments"})
-    return False
+            for name in value.split():
+                words = [w.lower() for w in _WORDS.findall(name)]
+                if any(w in NOISE_WORDS for w in words):
+                    if all(w in NOISE_WORDS or w in PLAIN_WORDS for w in words) and (node.tag not in INLINE or not FIRM_WORDS.isdisjoint(words)):
+                        node.noise = node.named = True
+                        if not COMMENT_WORDS.isdisjoint(words):
+                            node.named = False
+                    else:
+                        node.share = ASIDE
 
 
 class _Tree(HTMLParser):
-    """Builds nodes; closes what HTML lets authors leave open, and ignores end tags that close nothing."""
+    """Builds nodes; closes what HTML lets authors leave open, and ignores end tags that close nothing. `open` counts the open elements of each
+    name, so nothing climbs in vain however deep a page is."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.at = self.root
-        self.articles = 0
+        self.open: Counter[str] = Counter()
 
     def _close(self, names: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
-        node = self.at
+        if not any(self.open[x] for x in names):
+            return
+        node, left = self.at, []
         while node.parent is not None and node.tag not in scope:
+            left.append(node.tag)
             if node.tag in names:
                 self.at = node.parent
+                self.open.subtract(left)
                 return
             node = node.parent
 
@@ -91,13 +114,19 @@ class _Tree(HTMLParser):
             return
         if tag in ("html", "body") and not attrs and self.at.tag == tag:
             return
-        within, up = False, self.at
-        if tag == "header":
-            while up is not None:
-                within, up = within or up.tag in ("article", "main"), up.parent
-        node = Node(tag, self.at, _is_noise(tag, attrs, within))
+        node = Node(tag, self.at, _is_noise(tag, attrs, bool(self.open["article"] or self.open["main"])))
+        if not node.noise and tag not in ("html", "body", "main"):
+            _by_name(node, attrs)
+        if tag in ("article", "main") and not node.noise:
+            up = self.at
+            while up is not None and not up.around:  # names don't take away what holds an article
+                up.around = True
+                if up.named:
+                    up.noise = up.named = False
+                up = up.parent
         self.at.kids.append(node)
         self.at = node
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,7 +181,7 @@ def _best(nodes: list[Node]) -> Node:
                     share = 0.5 if level == 0 else share * 0.5
                 up = up.parent
     found = [n for n in nodes if n.tag in CONTAINERS]
-    return max(found, key=lambda n: n.points * (1 - n.linked / max(1, n.chars)) * (1.25 if n.tag in ("article", "main") else 1)) if found else nodes[0]
+    return max(found, key=lambda n: n.points * n.share * (1 - n.linked / max(1, n.chars)) * (1.25 if n.tag in ("article", "main") else 1)) if found else nodes[0]
 
 
 def _flow(node: Node) -> str:
@@ -219,11 +248,18 @@ def main_text(html: str | None) -> str:
     """The article of a page: blocks joined by newlines, white space in a block made one space. Null, or no text: empty."""
     if not html:
         return ""
-    nodes = _in_order(_parse(html))
+    root = _parse(html)
+    nodes = _in_order(root)
     best = _best(nodes)
-    if not best.chars:
-        return ""
-    return "\n".join(_blocks(_around(best)))
+    if not best.chars:  # names have taken all away: go by elements only
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            node.noise = node.noise and not node.named
+            node.points = 0.0
+            todo.extend(k for k in node.kids if isinstance(k, Node))
+        best = _best(_in_order(root))
+    return "\n".join(_blocks(_around(best))) if best.chars else ""
 
 
 _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
