@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 GROUP = 512  #: documents whose words are sorted together
-CACHE = 80_000  #: words and pairs kept in a task; then it starts anew
+CACHE = 160_000  #: words kept in a task; then it starts anew
+PAIRS = 400_000  #: pairs of pieces kept in a task, as numbers
+LETTERS = 1 << 20  #: where the numbers of letters without a piece begin; vocabularies are smaller
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -41,6 +43,8 @@ def load_model(path: str = MODEL) -> dict:
     n = p.vocab_size()
     special = {i for i in range(n) if p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i)}
     pieces = [p.id_to_piece(i) for i in range(n)]
+    if n >= LETTERS:
+        raise ValueError(f"vocabularies of more than {LETTERS} pieces aren't supported")
     if any(MARK in x.lstrip(MARK) or ("\n" in x and len(x) > 1) for i, x in enumerate(pieces) if i not in special):
         raise ValueError("pieces that span words aren't supported")
     spelled = [b"" if p.is_control(i) or p.is_unknown(i) else bytes([int(x[3:5], 16)]) if p.is_byte(i) else x.encode() for i, x in enumerate(pieces)]
@@ -91,15 +95,18 @@ def merged(word: str, scores: dict[str, float]) -> list[str]:
 
 
 class Encoder:
-    """Encodes words, and keeps what it learns about words and pairs up to `CACHE` of each."""
+    """Encodes words, and keeps what it learns about up to `CACHE` words and `PAIRS` pairs."""
 
     def __init__(self, model: dict):
         self.scores, self.bytes = model["scores"], model["bytes"]
         self.ids: dict[str, int] = model["ids"]
-        self.longest = max(map(len, self.ids))
         self.known: dict[str, tuple[int, ...]] = {}
         self.feed = self._spell("\n")
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.stable: dict[int, bool] = {}
+        self.reach: dict[str, int] = {}  # length of the longest piece that ends in these two letters
+        for x in self.ids:
+            if len(x) > self.reach.get(x[-2:], 1):
+                self.reach[x[-2:]] = len(x)
 
     def _spell(self, pieces: Iterable[str]) -> tuple[int, ...]:
         get, out = self.ids.get, []
@@ -110,19 +117,20 @@ class Encoder:
                 out.extend(self.bytes[b] for b in p.encode())
         return tuple(out)
 
-    def _pair(self, a: str, b: str) -> bool:
+    def _pair(self, key: int, a: str, b: str) -> bool:
         """Whether BPE leaves `a` then `b` as they are; for a = "" whether it makes b one piece."""
-        if a and a + b in self.ids:  # neighbours that make a piece always merge
-            return False
-        if len(self.stable) >= CACHE:
+        if len(self.stable) >= PAIRS:
             self.stable.clear()
-        ok = self.stable[a, b] = merged(a + b, self.scores) == ([a, b] if a else [b])
+        # neighbours that make a piece always merge
+        ok = self.stable[key] = not (a and a + b in self.ids) and merged(a + b, self.scores) == ([a, b] if a else [b])
         return ok
 
     def learn(self, words: Iterable[str], into: dict[str, tuple[int, ...]]) -> None:
-        """Walks the trie of the words depth-first; `last[i]` is the forward state of the current word's first i letters."""
-        pieces, pair, stable, longest = self.ids, self._pair, self.stable.get, self.longest
-        last: list[str | None] = [""]
+        """Walks the trie of the words depth-first. `last[i]` is the forward state of the current word's first i letters: the number of the last piece of
+        their path, 1 up, and 0 for no letters; `size[i]` is that piece's length. Letters without a piece are numbered after the pieces."""
+        get, reach, stable, pair, none = self.ids.get, self.reach.get, self.stable.get, self._pair, LETTERS
+        last: list[int] = [0]
+        size: list[int] = [0]
         before = ""
         for word in sorted(words):
             if word.startswith(MARK * 2):  # runs of blanks: ties between pieces of one score
@@ -133,29 +141,41 @@ class Encoder:
                 if x != y:
                     break
                 n += 1
-            del last[n + 1 :]
+            del last[n + 1 :], size[n + 1 :]
             for i in range(n + 1, len(word) + 1):
-                for at in range(i - 1, max(-1, i - 1 - longest), -1):
+                least = max(0, i - reach(word[max(0, i - 2) : i], 1))
+                for at in range(i - 1, least - 1, -1):
+                    a = last[at]
+                    if a < 0:
+                        continue
                     p = word[at:i]
-                    if p in pieces or at == i - 1:
-                        prev = last[at]
-                        if prev is not None and ((ok := stable((prev, p))) or (ok is None and pair(prev, p))):
-                            last.append(p)
-                            break
+                    b = get(p, -1)
+                    if b < 0:
+                        if at < i - 1:
+                            continue
+                        b = none + ord(p)
+                    key = (a << 22) | b
+                    ok = stable(key)
+                    if ok is None:
+                        ok = pair(key, word[at - size[at] : at], p)
+                    if ok:
+                        last.append(b + 1)
+                        size.append(i - at)
+                        break
                 else:
-                    last.append(None)  # no path: not with models made by merging; then `merged` decides
-            path, i = [], len(word)
-            while i and (p := last[i]):
-                path.append(p)
-                i -= len(p)
+                    last.append(-1)  # no path: not with models made by merging; then `merged` decides
+                    size.append(0)
+            path, i, whole = [], len(word), True
+            while i and last[i] > 0:
+                path.append(last[i] - 1)
+                whole = whole and last[i] <= none
+                i -= size[i]
             if i:
-                path = merged(word, self.scores)
+                into[word] = self._spell(merged(word, self.scores))
+            elif whole:
+                into[word] = tuple(path[::-1])
             else:
-                path.reverse()
-            try:
-                into[word] = tuple([pieces[p] for p in path])
-            except KeyError:
-                into[word] = self._spell(path)
+                into[word] = tuple(chain.from_iterable((x,) if x < none else [self.bytes[c] for c in chr(x - none).encode()] for x in reversed(path)))
             before = word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
