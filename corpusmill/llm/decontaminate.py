@@ -17,13 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import alnum_words
+from .common import alnum_words, ascii_lower, saved
 
 TABLE_BITS = 18
 SEGMENT = 512
 GROUP = 1024
+PART = 100_000  #: words of an item that are taken together
 
 
 class WindowIndex:
@@ -131,24 +132,35 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     words and no hits; an empty benchmark hits nothing; equal windows of several items count for each of them; items
     whose id is null are ignored, and items that share an id count as one. A column of `docs` with the name of the new one is replaced.
     """
-    known = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t"))
-    total = known.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // (2 * max_words)))  # a word and what parts it are two characters at least
-    out, parts = docs, []
-    for b in range(blocks):
-        rows = known.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()  # bounded by max_words
-        handle = docs.sparkSession.sparkContext.broadcast([(r["id"], alnum_words(r["t"])) for r in sorted(rows, key=lambda r: (r["id"], r["t"] or ""))])
-
-        parts.append(f"{found}{b}" if b else found)
-        out = out.withColumn(parts[-1], _searcher(handle, size)(F.col(text)))
-    if blocks > 1:
-        merged = F.struct(
-            F.col(f"{found}.n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.hits") for p in parts])))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts])))).alias("items"),
-        )
-        out = out.withColumn(found, merged).drop(*parts[1:])
-    return out
+    known = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("id"), _words(F.col(item_text)).alias("w"))
+    cuts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)), F.lit(PART))
+    known = known.select("id", F.explode(F.transform(cuts, lambda at: F.array_join(F.slice("w", at, PART + size - 1), " "))).alias("t"))  # long items in overlapping parts
+    total = known.agg(F.sum(F.length("t") - F.length(F.replace(F.col("t"), F.lit(" "), F.lit(""))) + 1)).first()[0] or 0
+    blocks = max(1, -(-total // max_words))
+    if blocks == 1:
+        return docs.withColumn(found, _searcher(_items(docs, known), size)(F.col(text)))
+    base = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    out = None
+    for b in range(blocks):  # one pass each, so that a task holds the windows of one block only
+        rows = known.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
+        part = saved(base.select("__row", _searcher(_items(docs, rows), size)(F.col(text)).alias("part")), "found")
+        hit = part.select("__row", "part.n_words", "part.hits", "part.items")
+        if b:
+            hit = hit.where(F.size("items") > 0)
+        out = hit if out is None else out.union(hit)
+    merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = out.groupBy("__row").agg(F.struct(F.max("n_words").alias("n_words"), merge("hits").alias("hits"), merge("items").alias("items")).alias("__merged"))
+    return base.join(merged, "__row").withColumn(found, F.col("__merged")).select(*[c for c in docs.columns if c != found], found)
+
+
+def _items(docs: DataFrame, rows: DataFrame) -> Broadcast:
+    """The words of a block of items, to be broadcast; some `max_words`."""
+    got = rows.collect()
+    return docs.sparkSession.sparkContext.broadcast([(r["id"], alnum_words(r["t"])) for r in sorted(got, key=lambda r: (r["id"], r["t"] or ""))])
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:

@@ -109,8 +109,7 @@ def trained(docs: DataFrame, *, text: str = "text", templates: Mapping[str, Sequ
     cuts = named.select("label", "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(7), size - 1))).alias("k"))
     kept = F.when(F.col("k") % 2 == 0, F.slice("words", 1, F.greatest(F.lit(2), F.size("words") - F.expr("k div 2")))).otherwise(F.slice("words", F.expr("k div 2") + 1, F.greatest(F.lit(2), F.size("words") - F.expr("k div 2"))))
     positives = cuts.where((F.col("k") < 2) | (F.size("words") - F.expr("k div 2") >= 3)).select("label", kept.alias("words"), (F.col("k") % 4 == 3).alias("calibrates"))
-    lines = docs.select(F.explode(F.split(text, "\n", -1)).alias("p")).where(~F.col("p").rlike(MARKS) & (F.length(F.trim("p")) > 0))
-    least = saved(lines.select("p", F.xxhash64("p").alias("h")).distinct().orderBy("h", "p").limit(negatives), "negatives")
+    least = saved(_least(docs, text, negatives), "negatives")
     plain = least.select(F.lit(0.0).alias("label"), F.slice(_words(F.col("p")), 1, MAX_WORDS).alias("words"), (F.col("h") % 2 == 0).alias("calibrates"))
     fixed = spark.createDataFrame([(0.0, w.split(), c) for w in ("the quick brown fox", "see the terms of the work", "a version of the file") for c in (False, True)], "label double, words array<string>, calibrates boolean")
     draw = F.xxhash64("h", "p.words")
@@ -128,6 +127,17 @@ def trained(docs: DataFrame, *, text: str = "text", templates: Mapping[str, Sequ
     return LicenseModel(families, classifier, float(platt.coefficients[0]), float(platt.intercept))
 
 
+def _least(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """(p, h): the `n` lines without licence marks that have the least hashes. Only lines with hashes under a bound that leaves some 8 n of them are sorted; where
+    repeated lines leave fewer than n, all are."""
+    lines = docs.select(F.explode(F.split(text, "\n", -1)).alias("p")).select("p", F.xxhash64("p").alias("h"))
+    plain = (F.length(F.trim("p")) > 0) & ~F.col("p").rlike(MARKS)
+    total = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    bound = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * 8 * n / max(1, total)))
+    few = saved(lines.where((F.col("h") <= bound) & plain).distinct().orderBy("h", "p").limit(n), "negatives")
+    return few if bound == (1 << 63) - 1 or few.count() >= n else lines.where(plain).distinct().orderBy("h", "p").limit(n)
+
+
 def _margin(raw: str) -> Column:
     """The best family's score over that of "none"."""
     scores = vector_to_array(raw)

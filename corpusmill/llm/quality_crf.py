@@ -210,8 +210,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     known = known.join(docs.select(F.col(doc_id).alias("__id")), "__id", "left_semi")
     chosen = [(r["__id"], int(r["y"])) for r in known.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect()]
     ids = docs.sparkSession.createDataFrame(chosen, "id long, y int")
-    got = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").select("id", "y", _sample_features("t").alias("f")).limit(2 * sample).collect()
-    rows = sorted(((r["id"], r["y"], r["f"]) for r in got), key=lambda r: (r[0], len(r[2])))
+    got = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").select("id", "y", F.xxhash64("t").alias("h"), _sample_features("t").alias("f"))
+    got = got.groupBy("id").agg(F.min("y").alias("y"), F.min_by("f", "h").alias("f")).collect()  # of rows that repeat an id, one
+    rows = sorted(((r["id"], r["y"], r["f"]) for r in got), key=lambda r: r[0])
     return fit([np.array(f, np.float32).reshape(-1, WIDTH) for _, _, f in rows], [y for _, y, _ in rows])
 
 

@@ -8,6 +8,8 @@ whose bucket fits. Buckets still too large after a directory's bits get a direct
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import saved
@@ -16,11 +18,11 @@ BITS = 60
 STEP = 12
 
 
-def hashed(docs: DataFrame, key: list[str], text: str) -> DataFrame:
-    """The key columns, `h` (first 60 bits of an MD5 over key and text) and `bytes` of each row."""
+def hashed(docs: DataFrame, key: list[str], text: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The key columns, those in `carry`, `h` (first 60 bits of an MD5 over key and text) and `bytes` of each row."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*key, text]]
     h = F.conv(F.substring(F.md5(F.concat_ws("\n", *parts)), 1, 15), 16, 10).cast("long")
-    return docs.select(*key, h.alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    return docs.select(*key, *carry, h.alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
 
 
 def _directory(rows: DataFrame, start: int, limit: int) -> DataFrame:
@@ -34,8 +36,8 @@ def _directory(rows: DataFrame, start: int, limit: int) -> DataFrame:
     return cells.select("cell").join(fits, "cell", "left")
 
 
-def sharded(docs: DataFrame, *, key: list[str] | None = None, text: str = "text", limit: int = 16 << 20) -> DataFrame:
-    """The key columns with `shard`, `depth`, `page`, `n_bytes` and `oversized`, one row per row of `docs`.
+def sharded(docs: DataFrame, *, key: list[str] | None = None, text: str = "text", limit: int = 16 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """The key columns and those in `carry` with `shard`, `depth`, `page`, `n_bytes` and `oversized`, one row per row of `docs`.
 
     shard is the hash prefix as a string of bits ("" while one bucket holds all), depth its length, n_bytes the UTF-8
     length of the text (null: 0). Rows that agree in key and text can't be told apart by any bit; where such copies
@@ -43,7 +45,7 @@ def sharded(docs: DataFrame, *, key: list[str] | None = None, text: str = "text"
     that is larger than the limit is alone in its shard and page, with oversized true. An empty table gives an empty one.
     """
     key = key or ["doc_id"]
-    todo, done = saved(hashed(docs, key, text), "sizes"), []
+    todo, done = saved(hashed(docs, key, text, carry), "sizes"), []
     for start in range(0, BITS, STEP):
         cell = F.shiftright("h", BITS - start - STEP)
         dealt = todo.withColumn("cell", cell).join(_directory(todo, start, limit), "cell", "left").drop("cell")
@@ -62,7 +64,7 @@ def sharded(docs: DataFrame, *, key: list[str] | None = None, text: str = "text"
     if "page" not in out.columns:
         out = out.withColumn("page", F.lit(0).cast("long"))
     bits = F.lpad(F.conv(F.col("h").cast("string"), 10, 2), BITS, "0")
-    return out.select(*key, F.substring(bits, F.lit(1), F.col("depth")).alias("shard"), F.col("depth").cast("int").alias("depth"), F.coalesce("page", F.lit(0)).cast("long").alias("page"), F.col("bytes").alias("n_bytes"), (F.col("bytes") > limit).alias("oversized"))
+    return out.select(*key, *carry, F.substring(bits, F.lit(1), F.col("depth")).alias("shard"), F.col("depth").cast("int").alias("depth"), F.coalesce("page", F.lit(0)).cast("long").alias("page"), F.col("bytes").alias("n_bytes"), (F.col("bytes") > limit).alias("oversized"))
 
 
 def _paged(copies: DataFrame, limit: int) -> DataFrame:
@@ -78,7 +80,8 @@ def _paged(copies: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, *, key: list[str] | None = None, text: str = "text", limit: int = 16 << 20) -> None:
-    """Writes `docs` as Parquet, one folder per shard and page. Rows find their shard by key; keys must be unique."""
+    """Writes every row of `docs` as Parquet, one folder per shard and page. Keys may be null or repeat; columns that `sharded` adds must not be in `docs`."""
     key = key or ["doc_id"]
-    to = sharded(docs, key=key, text=text, limit=limit).select(*key, F.concat_ws("-", F.concat(F.lit("s"), "shard"), F.when(F.col("page") > 0, F.col("page").cast("string"))).alias("shard_file"))
-    docs.join(to, key).repartition("shard_file").write.partitionBy("shard_file").parquet(path)
+    out = sharded(docs, key=key, text=text, limit=limit, carry=[c for c in docs.columns if c not in key])
+    name = F.concat_ws("-", F.concat(F.lit("s"), "shard"), F.when(F.col("page") > 0, F.col("page").cast("string")))
+    out.select(*docs.columns, name.alias("shard_file")).repartition("shard_file").write.partitionBy("shard_file").parquet(path)

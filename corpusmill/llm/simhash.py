@@ -139,10 +139,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits: int = 2) -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest; rows with a null id stay. Columns are those of `docs`."""
-    kept = near_duplicates(docs, doc_id=doc_id, text=text, bits=bits).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = kept.withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    """One document of each component: that with the smallest id, null ids last; of rows that repeat an id, that whose text has the smallest hash.
+
+    Rows that repeat both id and text are copies of one document and stay or go together. Columns are those of `docs`.
+    """
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("version"))
+    found = near_duplicates(docs.select(key.alias("key"), F.col(text).alias("text")), doc_id="key", text="text", bits=bits)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.version").alias("__version")).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__version")), "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]], bits: int = 2) -> list[tuple[int, str, int]]:

@@ -93,7 +93,7 @@ def filtered(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", gener
     table = spark.createDataFrame(listed, "id int, name string, verdict string, length int, regex string, tokens array<string>, named boolean")
     rest = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     target = F.concat("host", "path")
-    urls = rest.where("host <> ''").select(target.alias("target")).distinct()
+    urls = rest.select(target.alias("target")).where("target <> ''").distinct()
     met = urls.select("target", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("target", F.lit(_TOKEN), 0)))).alias("token"))
     asked = table.select("id", F.explode("tokens").alias("token"))
     often = met.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").count()
