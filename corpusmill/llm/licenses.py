@@ -9,6 +9,7 @@ confirmed if enough of a template's word pairs of that family occur in the parag
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -16,7 +17,7 @@ from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, saved
+from .common import saved
 
 # Notices of public licences, as their authors ask them to be written.
 TEMPLATES: Mapping[str, Sequence[str]] = {
@@ -71,7 +72,7 @@ MAX_WORDS = 120  #: a paragraph is judged by windows of so many words, all of th
 
 
 def _words(c: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(c), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0)
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0)
 
 
 def _pairs(words: Column) -> Column:
@@ -121,7 +122,7 @@ def trained(docs: DataFrame, *, text: str = "text", templates: Mapping[str, Sequ
     weights = ready.groupBy("label").count()
     ready = ready.join(F.broadcast(weights), "label").withColumn("w", 1.0 / F.sqrt("count"))
     classifier = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1e-4, maxIter=60, family="multinomial").fit(ready.where("not calibrates").coalesce(1))
-    held = classifier.transform(ready.where("calibrates")).select((F.col("label") > 0).cast("double").alias("y"), _margin("rawPrediction").alias("m"))
+    held = classifier.transform(ready.where("calibrates")).select((F.col("label") > 0).cast("double").alias("y"), _margin(vector_to_array("rawPrediction")).alias("m"))
     platt = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-3, maxIter=50).fit(VectorAssembler(inputCols=["m"], outputCol="x").transform(held).coalesce(1))
     sample.unpersist()
     return LicenseModel(families, classifier, float(platt.coefficients[0]), float(platt.intercept))
@@ -138,9 +139,8 @@ def _least(docs: DataFrame, text: str, n: int) -> DataFrame:
     return few if bound == (1 << 63) - 1 or few.count() >= n else lines.where(plain).distinct().orderBy("h", "p").limit(n)
 
 
-def _margin(raw: str) -> Column:
+def _margin(scores: Column) -> Column:
     """The best family's score over that of "none"."""
-    scores = vector_to_array(raw)
     return F.array_max(F.slice(scores, 2, F.size(scores) - 1)) - F.get(scores, F.lit(0))
 
 
@@ -150,24 +150,31 @@ def scanned(docs: DataFrame, model: LicenseModel, *, keys: Sequence[str] = ("doc
     family is the predicted one if a template confirms it, else "unknown". Long paragraphs are judged by windows of MAX_WORDS words that
     overlap by half; each family has the largest probability and similarity of its windows. Neighbouring lines without a blank
     one between them are judged together by such windows too: what a template confirms there and in none of the window's lines
-    is a row of the window's first line, and stands for the window's unconfirmed lines of that family. Null and empty texts have no paragraphs.
+    is a row of the window's first line, and stands for the window's unconfirmed lines of that family; blocks with too few words of each
+    template to be confirmed by it have no such windows. Words are lower-cased, whatever their alphabet. Null and empty texts have no paragraphs.
     """
     numbered = F.array_join(F.transform(F.split(text, "\n", -1), lambda x, i: F.concat(i.cast("string"), F.lit("\x01"), x)), "\n")
     blocks = docs.select(*keys, F.explode(F.split(numbered, r"(?<=\n)(?=[0-9]+\x01[ \t\r\f\x0B]*(?:\n|\z))", -1)).alias("block"))
     parted = blocks.select(*keys, F.transform(F.split("block", "\n", -1), _words).alias("all"))
     parted = parted.select(*keys, F.get("all", F.lit(0))[0].cast("int").alias("block"), F.filter("all", lambda w: F.size(w) > 1).alias("all"))  # the first word is the line's number
-    parted = parted.where(F.size("all") > 0).select(*keys, "block", F.transform("all", lambda w: F.struct(w[0].cast("int").alias("no"), F.slice(w, 2, F.size(w) - 1).alias("w"))).alias("lines"))
+    # no filter on the words here: it would be pushed below and cut the texts twice; blocks without words give no windows
+    parted = parted.select(*keys, "block", F.transform("all", lambda w: F.struct(w[0].cast("int").alias("no"), F.slice(w, 2, F.size(w) - 1).alias("w"))).alias("lines"))
     single = F.flatten(F.transform("lines", lambda x: F.transform(_starts(x["w"]), lambda s: F.struct(x["no"].alias("paragraph"), x["no"].alias("last"), F.slice(x["w"], s, MAX_WORDS).alias("words")))))
-    near = parted.select(*keys, "block", single.alias("single"), F.when(F.size("lines") > 1, F.flatten(F.transform("lines", lambda x: x["w"]))).alias("w"), F.flatten(F.transform("lines", lambda x: F.array_repeat(x["no"], F.size(x["w"])))).alias("no"))
+    near = parted.select(*keys, "block", "lines", single.alias("single"), F.when(F.size("lines") > 1, F.flatten(F.transform("lines", lambda x: x["w"]))).alias("w"))
+    known = sorted({w for ws, _ in _bounds(templates, confirm) for w in ws})
+    near = near.select(*keys, "block", "lines", "single", "w", F.array_intersect("w", F.lit(known)).alias("known"))
+    near = near.select(*keys, "block", "lines", "single", F.when(_may_confirm(F.col("known"), templates, confirm), F.col("w")).alias("w"))
+    near = near.select(*keys, "block", "single", "w", F.when(F.col("w").isNotNull(), F.flatten(F.transform("lines", lambda x: F.array_repeat(x["no"], F.size(x["w"]))))).alias("no"))
     joined = F.transform(_starts(F.col("w")), lambda s: F.struct(F.get("no", s - 1).alias("paragraph"), F.get("no", F.least(s + MAX_WORDS - 1, F.size("no")) - 1).alias("last"), F.slice("w", s, MAX_WORDS).alias("words")))
-    joined = F.when(F.arrays_overlap("w", F.lit(_needed(templates, confirm))), F.filter(joined, lambda x: x["paragraph"] < x["last"]))
+    joined = F.when(F.col("w").isNotNull(), F.filter(joined, lambda x: x["paragraph"] < x["last"]))
     windows = near.select(*keys, "block", F.explode(F.concat("single", F.coalesce(joined, F.slice("single", 1, 0)))).alias("x")).select(*keys, "block", "x.*")
     seen = model.classifier.transform(_vectors(windows.withColumn("grams", _grams(F.col("words")))))
     probability = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("m") + F.lit(model.offset))))
     families = F.array(*[F.lit(f) for f in model.families])
     best = F.expr("array_position(slice(s, 2, size(s) - 1), array_max(slice(s, 2, size(s) - 1)))").cast("int")
     place = [*keys, "block", "paragraph", "last"]
-    hits = seen.select(*place, "words", _margin("rawPrediction").alias("m"), vector_to_array("rawPrediction").alias("s"))
+    # filters aren't pushed below the array of one that explode opens, so each window is hashed and scored once
+    hits = seen.select(*place, "words", F.explode(F.array(vector_to_array("rawPrediction"))).alias("s")).select(*place, "words", "s", _margin(F.col("s")).alias("m"))
     hits = hits.select(*place, "words", probability.alias("probability"), F.get(families, best).alias("predicted")).where("probability >= 0.5")
     own = _pairs(F.col("words"))
     shares = {f: F.greatest(*_shares(own, ts), F.lit(0.0)) for f, ts in templates.items()}
@@ -193,16 +200,23 @@ def _starts(words: Column) -> Column:
     return F.when(F.size(words) <= MAX_WORDS, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size(words) - half, F.lit(half)))
 
 
-def _needed(templates: Mapping[str, Sequence[str]], confirm: float) -> list[str]:
-    """Words of which a text must have one to be confirmed: without them, less than `confirm` of any template's pairs are left."""
-    parts = [(f, _template_pairs(t)) for f, ts in templates.items() for t in ts]
-    families = {w: {f for f, ps in parts if any(w in p.split() for p in ps)} for _, ps in parts for p in ps for w in p.split()}
-    out: set[str] = set()
-    for _, pairs in parts:
-        words = sorted({w for p in pairs for w in p.split()}, key=lambda w: (not re.search(MARKS, w), len(families[w]), -len(w), w))
-        while sum(not out & set(p.split()) for p in pairs) >= confirm * len(pairs) and words:
-            out.add(words.pop(0))
-    return sorted(out)
+def _bounds(templates: Mapping[str, Sequence[str]], confirm: float) -> list[tuple[list[str], int]]:
+    """For each template its words, and how many of them a text must have at least for the share `confirm` of the template's pairs."""
+    out = []
+    for t in (t for ts in templates.values() for t in ts):
+        pairs = [p.split() for p in _template_pairs(t)]
+        ends = Counter(w for p in pairs for w in (p * 2 if len(p) == 1 else p))  # each pair has two ends, and k words hold at most the k largest counts
+        need = next(n for n in range(len(pairs) + 1) if n / len(pairs) >= confirm)
+        most = sorted(ends.values(), reverse=True)
+        out.append((sorted(ends), next(k for k in range(len(most) + 1) if sum(most[:k]) >= 2 * need)))
+    return out
+
+
+def _may_confirm(known: Column, templates: Mapping[str, Sequence[str]], confirm: float) -> Column:
+    """Whether a text with these template words, and no others, can be confirmed by any template."""
+    bounds = _bounds(templates, confirm)
+    each = F.array(*[F.struct(F.lit(ws).alias("words"), F.lit(k).alias("least")) for ws, k in bounds])
+    return (F.size(known) >= min(k for _, k in bounds)) & F.exists(each, lambda t: F.size(F.array_intersect(known, t["words"])) >= t["least"])
 
 
 def _template_pairs(t: str) -> list[str]:

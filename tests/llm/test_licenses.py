@@ -1,8 +1,10 @@
 """License scans on the corpus's own notices, on prose, and on edge cases."""
 
 import random
+import re
 
 from corpusmill.llm import licenses
+from pyspark.sql import functions as F
 
 
 def test_families_and_edges(spark):
@@ -40,3 +42,19 @@ def test_several_notices_in_a_line_and_wrapped_notices(spark):
     assert confirmed == {(1, 0, "Apache-2.0"), (1, 0, "MIT"), (2, 0, "MIT"), (3, 2, "GPL-3.0"), (4, 0, "Apache-2.0"), (4, len(apache.split()) // 5 + (len(apache.split()) % 5 > 0), "MIT")}
     got = {r.doc_id: (r.n_paragraphs, r.n_confirmed) for r in licenses.by_document(df, hits).collect()}
     assert got[1] == (1, 1) and got[5] == (0, 0)
+
+
+def test_texts_that_a_template_confirms_pass_the_test_of_words(spark):
+    rng = random.Random(3)
+    rows = []
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        words = re.findall(r"[a-z0-9]+", t.lower())
+        for _ in range(12):
+            at, keep = rng.randrange(len(words)), rng.random()
+            rows.append((["so"] + words[at:] + ["it"] + words[:at] if keep < 0.3 else [w for w in words if rng.random() < keep] + ["end"],))
+    df = spark.createDataFrame(rows, "w array<string>")
+    known = sorted({w for ws, _ in licenses._bounds(licenses.TEMPLATES, licenses.CONFIRM) for w in ws})
+    shares = F.greatest(*[s for ts in licenses.TEMPLATES.values() for s in licenses._shares(licenses._pairs(F.col("w")), ts)])
+    out = df.withColumn("known", F.array_intersect("w", F.lit(known))).select((shares >= licenses.CONFIRM).alias("confirmed"), licenses._may_confirm(F.col("known"), licenses.TEMPLATES, licenses.CONFIRM).alias("may")).collect()
+    assert sum(r.confirmed for r in out) > 50 and not all(r.may for r in out)
+    assert all(r.may for r in out if r.confirmed)
