@@ -1,10 +1,12 @@
 """Exact BM25 top-k search: an inverted index per shard, block-max WAND pruning, and an exact merge.
 
 Each task takes its documents in shards of about `SHARD_POSTINGS` postings, and holds one shard's inverted index at a time: for
-each term the documents and their term weights, and for each block of BLOCK documents the largest weight. The queries come
-in broadcast blocks of at most QUERY_TERMS terms; each block is one pass over the documents, and no document is shuffled.
-WAND's test, whether the bounds of a query's terms can add up to the worst score that is still in the top k, is made
-for all blocks at once; blocks are scored from the largest bound down, and those below the threshold are skipped.
+each term the documents, their term weights and the largest one, and for frequent terms the largest weight of each block of
+BLOCK documents. The queries come in broadcast blocks of at most QUERY_TERMS terms; no document is shuffled.
+A query's threshold is the worst score that is still in its top k. It comes first from one document in `SAMPLE` (the k-th best
+score of some documents is never above that of all, so nothing is lost), then also from the task's earlier shards. The pivot parts a query's
+terms: frequent ones whose largest weights can't reach the threshold together make no candidates, and the documents of the others are scored by these;
+a candidate is passed over if the largest weights of its block, for the terms before the pivot, don't lift it to the threshold, and scored fully otherwise.
 idf and average length come from all documents, so scores of different shards compare, and the k best of the shards'
 k best are the k best of all.
 """
@@ -21,9 +23,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import saved
 from .words import NOT_ALNUM, cut, hashes
 
-SHARD_POSTINGS = 1_000_000
+SHARD_POSTINGS = 2_000_000
 QUERY_TERMS = 2_000_000
 BLOCK = 32
+SAMPLE = 16  #: one document in so many gives the first thresholds
+FREQUENT = 8  #: terms that one document of a shard in so many has are frequent
+LEFT = 0.5  #: terms that add at most this share of the threshold make no candidates
 K1, B = 1.2, 0.75
 DIGITS = 6
 
@@ -53,7 +58,8 @@ def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 class Shard:
-    """The inverted index of some documents."""
+    """The inverted index of some documents: posting lists by term, and the largest weight of each list. Terms that one in `FREQUENT` documents
+    has are kept as rows of a table besides (so it has at most FREQUENT cells a posting), with the largest weight of each block of documents."""
 
     def __init__(self, docs: np.ndarray, lengths: np.ndarray, terms: np.ndarray, tfs: np.ndarray, sizes: np.ndarray, mean: float, k1: float, b: float):
         self.docs = docs
@@ -69,56 +75,52 @@ class Shard:
         new[:1] = True
         np.not_equal(terms[1:], terms[:-1], out=new[1:])
         self.terms = terms[new]
-        cut = new.copy()  # where a term's next block begins
-        cut[1:] |= (doc[1:] // BLOCK) != (doc[:-1] // BLOCK)
-        self.start = np.append(np.flatnonzero(cut), len(terms))
-        self.block = doc[self.start[:-1]] // BLOCK
-        self.top = np.maximum.reduceat(self.weight, self.start[:-1]) if len(terms) else np.zeros(0)
-        self.first = np.append(np.searchsorted(self.start, np.flatnonzero(new)), len(self.block))  # a term's first block
-        self.n_blocks = -(-len(docs) // BLOCK)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.first = np.append(np.flatnonzero(new), len(terms))  # a term's first posting
+        self.best = np.maximum.reduceat(weight, self.first[:-1]) if len(terms) else np.zeros(0)
+        counts = np.diff(self.first)
+        frequent = np.flatnonzero(counts * FREQUENT >= len(docs))
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.table = np.zeros((len(frequent), len(docs)))
+        post = _ranges(self.first[frequent], self.first[frequent + 1])
+        self.table[np.repeat(np.arange(len(frequent)), counts[frequent]), doc[post]] = weight[post]
+        self.tops = np.maximum.reduceat(self.table, np.arange(0, len(docs), BLOCK), axis=1) if len(docs) else self.table
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document ids, scores) of the k best of those given and of the shard's documents with a score above 0; ties after rounding go to the
-        smaller id. The worst of those given is the threshold from the start."""
+        smaller id. Documents whose scores are below `least`, or below the worst of k given ones, are passed over."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         have = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, idf = at[have], idf[have]
-        a, b = self.first[at], self.first[at + 1]
-        entry = _ranges(a, b)  # (term, block) pairs, term by term
-        weight = np.repeat(idf, b - a)
-        block = self.block[entry]
-        bound = np.bincount(block, weights=self.top[entry] * weight, minlength=self.n_blocks)
-        by_bound = np.argsort(-bound, kind="stable")
-        by_bound = by_bound[bound[by_bound] > 0]
-        done, step = 0, max(1, -(-2 * k // BLOCK))
-        while done < len(by_bound):
-            least = scores[k - 1] - 2 * 10.0**-DIGITS if len(scores) >= k else 0.0  # equal after rounding counts as equal
-            left = by_bound[done:]
-            left = left[bound[left] >= least]
-            if not len(left):
-                break
-            now = left[:step]
-            done += len(now)
-            if len(now) == len(left):
-                done = len(by_bound)
-            step *= 4
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[now] = True
-            use = chosen[block]
-            post = _ranges(self.start[entry[use]], self.start[entry[use] + 1])
-            w = np.repeat(weight[use], self.start[entry[use] + 1] - self.start[entry[use]])
-            total = np.bincount(self.doc[post], weights=self.weight[post] * w, minlength=len(self.docs))
-            found = np.flatnonzero(total > 0)
-            ids = np.concatenate([ids, self.docs[found]])
-            scores = np.concatenate([scores, np.round(total[found], DIGITS)])
-            if len(scores) > k:
-                edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-                keep = scores >= edge
-                ids, scores = ids[keep], scores[keep]
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores
+        least = max(least, scores[k - 1] if len(scores) >= k else 0.0) - 2 * 10.0**-DIGITS  # equal after rounding counts as equal
+        # the pivot: frequent terms that can't reach the threshold together make no candidates
+        bound = np.where(self.row[at] >= 0, self.best[at] * idf, np.inf)
+        order = np.argsort(bound, kind="stable")
+        at, idf = at[order], idf[order]
+        reach = np.cumsum(bound[order])
+        n = int(np.searchsorted(reach, LEFT * least)) if least > 0 else 0
+        left = reach[n - 1] if n else 0.0
+        a, b = self.first[at[n:]], self.first[at[n:] + 1]
+        post = _ranges(a, b)
+        total = np.bincount(self.doc[post], weights=self.weight[post] * np.repeat(idf[n:], b - a), minlength=len(self.docs))
+        found = np.flatnonzero((total > 0) & (total >= least - left))
+        total = total[found]
+        if n and len(found):
+            row = self.row[at[:n]]
+            keep = total + (idf[:n] @ self.tops[row])[found // BLOCK] >= least  # what their largest weights in a block can add
+            found, total = found[keep], total[keep]
+            total = total + idf[:n] @ self.table[row[:, None], found]
+            keep = total >= least
+            found, total = found[keep], total[keep]
+        ids = np.concatenate([ids, self.docs[found]])
+        scores = np.concatenate([scores, np.round(total, DIGITS)])
+        if len(scores) > k:
+            edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+            keep = scores >= edge
+            ids, scores = ids[keep], scores[keep]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,7 +132,7 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _HITS = "query_id long, asked long, doc_id long, score double"
 
 
-def _searcher(queries: Broadcast, k: int, mean: float, k1: float, b: float):
+def _searcher(queries: Broadcast, least: Broadcast, k: int, mean: float, k1: float, b: float):
     schema = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def _searcher(queries: Broadcast, k: int, mean: float, k1: float, b: float):
             docs, lengths, terms, tfs = (pa.chunked_array([r.column(i) for r in rows]).combine_chunks() for i in range(4))
             shard = Shard(np.asarray(docs), np.asarray(lengths).astype(np.float64), np.asarray(terms.flatten()), np.asarray(tfs.flatten()), np.asarray(terms.value_lengths()), mean, k1, b)
             for i in range(len(ids)):
-                best[i] = shard.search(q_terms[offsets[i] : offsets[i + 1]], idfs[offsets[i] : offsets[i + 1]], k, *best[i])
+                best[i] = shard.search(q_terms[offsets[i] : offsets[i + 1]], idfs[offsets[i] : offsets[i + 1]], k, least.value[i], *best[i])
 
         held, postings = [], 0
         for batch in batches:
@@ -187,12 +189,38 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "do
     weighed = saved(weighed.withColumn("t", F.array_sort("t")).select("id", "asked", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")), "weighed")
     total = weighed.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = -(-total // QUERY_TERMS)
-    hits = docs.sparkSession.createDataFrame([], _HITS)
-    for i in range(blocks):
-        some = weighed.where(F.pmod(F.hash("asked"), F.lit(blocks)) == i).toArrow()  # about QUERY_TERMS terms
-        if some.num_rows:
-            handle = docs.sparkSession.sparkContext.broadcast(_block(some))
-            hits = hits.union(saved(index.mapInArrow(_searcher(handle, k, words / n, k1, b), _HITS), "hits"))
-            handle.destroy()
+    spark = docs.sparkSession
+    hits = spark.createDataFrame([], _HITS)
     rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "doc_id"))
+    some_docs = index.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    first = saved(some_docs.coalesce(max(1, index.rdd.getNumPartitions() // SAMPLE)), "first") if blocks else None
+    for i in range(blocks):
+        rows = weighed.where(F.pmod(F.hash("asked"), F.lit(blocks)) == i).toArrow()  # about QUERY_TERMS terms
+        if not rows.num_rows:
+            continue
+        asked_block = _block(rows)
+        handle = spark.sparkContext.broadcast(asked_block)
+
+        def searched(some: DataFrame, least: np.ndarray) -> DataFrame:
+            floor = spark.sparkContext.broadcast(least)
+            out = saved(some.mapInArrow(_searcher(handle, floor, k, words / n, k1, b), _HITS), "hits")
+            floor.destroy()
+            return out
+
+        worst = searched(first, np.zeros(rows.num_rows)).withColumn("rank", rank).where(F.col("rank") == k).select("asked", "score").toArrow()  # a row a query of the block
+        hits = hits.union(searched(index, _floors(asked_block[1], worst)))
+        handle.destroy()
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def _floors(asked: np.ndarray, worst: pa.Table) -> np.ndarray:
+    """The k-th best score known of each query, 0 where fewer documents are known."""
+    keys, scores = worst["asked"].to_numpy(), worst["score"].to_numpy()
+    order = np.argsort(keys)
+    least = np.zeros(len(asked))
+    if len(keys):
+        at = np.searchsorted(keys, asked, sorter=order)
+        at[at == len(keys)] = 0
+        known = keys[order[at]] == asked
+        least[known] = scores[order[at]][known]
+    return least

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from corpusmill.llm import bm25_topk
 from corpusmill.llm.common import alnum_words
@@ -33,6 +34,7 @@ def test_top_k(spark, monkeypatch, small):
     if small:  # many shards, many blocks of documents, many query blocks
         monkeypatch.setattr(bm25_topk, "SHARD_POSTINGS", 50)
         monkeypatch.setattr(bm25_topk, "BLOCK", 2)
+        monkeypatch.setattr(bm25_topk, "SAMPLE", 2)
         monkeypatch.setattr(bm25_topk, "QUERY_TERMS", 20)
     rng = random.Random(8)
     docs = [(i, " ".join(f"w{int(rng.expovariate(0.08))}" for _ in range(rng.randrange(0, 40)))) for i in range(150)]
@@ -51,3 +53,27 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a")], "query_id long, text string")
     assert bm25_topk.top_k(none, some).count() == 0
     assert bm25_topk.top_k(some.withColumnRenamed("query_id", "doc_id"), some.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("left", [0.1, 0.9])
+def test_thresholds_lose_nothing(monkeypatch, left):
+    """A shard's search with a threshold finds what a search without one finds at or above it."""
+    monkeypatch.setattr(bm25_topk, "LEFT", left)
+    rng = np.random.default_rng(3)
+    bags = [np.unique(rng.zipf(1.3, rng.integers(1, 60)) % 500) for _ in range(400)]
+    sizes = np.array([len(b) for b in bags])
+    terms = np.concatenate(bags)
+    shard = bm25_topk.Shard(np.arange(400) * 7, sizes.astype(float), terms, rng.integers(1, 5, len(terms)), sizes, sizes.mean(), 1.2, 0.75)
+    found, df = np.unique(terms, return_counts=True)
+    none = np.zeros(0, np.int64), np.zeros(0)
+    pruned = 0
+    for bag in bags[:60]:
+        idf = np.log(1 + (400 - df[np.searchsorted(found, bag)] + 0.5) / (df[np.searchsorted(found, bag)] + 0.5))
+        ids, scores = shard.search(bag, idf, 400, 0.0, *none)
+        for least in (scores[len(scores) // 2], scores[min(9, len(scores) - 1)], scores[0], scores[0] + 1):
+            some, high = shard.search(bag, idf, 400, least, *none)
+            want = scores >= least
+            assert some[: want.sum()].tolist() == ids[want].tolist()
+            assert np.allclose(high[: want.sum()], scores[want], atol=2e-6)
+            pruned += len(ids) - len(some)
+    assert pruned > 0
