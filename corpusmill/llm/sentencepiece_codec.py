@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 GROUP = 512  #: documents whose words are sorted together
-CACHE = 160_000  #: words kept in a task; then it starts anew
+CACHE = 150_000  #: words in each of the two generations that a task keeps
 PAIRS = 400_000  #: pairs of pieces kept in a task, as numbers
 LETTERS = 1 << 20  #: where the numbers of letters without a piece begin; vocabularies are smaller
 _UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -95,12 +96,14 @@ def merged(word: str, scores: dict[str, float]) -> list[str]:
 
 
 class Encoder:
-    """Encodes words, and keeps what it learns about up to `CACHE` words and `PAIRS` pairs."""
+    """Encodes words, and keeps what it learns about up to `PAIRS` pairs and two generations of `CACHE` words: when the younger is full it
+    becomes the older, and words that are still met move on."""
 
     def __init__(self, model: dict):
         self.scores, self.bytes = model["scores"], model["bytes"]
         self.ids: dict[str, int] = model["ids"]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}
         self.feed = self._spell("\n")
         self.stable: dict[int, bool] = {}
         self.reach: dict[str, int] = {}  # length of the longest piece that ends in these two letters
@@ -194,16 +197,19 @@ class Encoder:
             else:
                 chunks.append(spaced.split(" "))
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         new = set(chain.from_iterable(chunks)).difference(known)
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new -= again
         found: dict[str, tuple[int, ...]] = {}
         heads = {c: c[1:] for c in new if c.startswith("\n")}
         self.learn({*heads.values(), *(MARK + c for c in new.difference(heads)), *chain.from_iterable(odd.values())}, found)
         for c in new:
-            known[c] = self.feed + found[heads[c]] if c in heads else found[MARK + c]
+            known[c] = array("i", self.feed + found[heads[c]] if c in heads else found[MARK + c]).tobytes()
         ids, of = known.__getitem__, found.__getitem__
-        return [None if t is None else np.fromiter(chain.from_iterable(map(of, odd[k]) if k in odd else map(ids, chunks[k])), np.int32) for k, t in enumerate(texts)]
+        return [None if t is None else np.fromiter(chain.from_iterable(map(of, odd[k])), np.int32) if k in odd else np.frombuffer(b"".join(map(ids, chunks[k])), np.int32) for k, t in enumerate(texts)]
 
 
 def decode(ids: Iterable[int] | None, spelled: list[bytes]) -> str | None:
