@@ -35,11 +35,15 @@ LANGUAGES = (
 )
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def deduced(evidence: Column) -> Column:
     """Struct of query and name: by the first context that fits, else the first identifier as a call. Empty evidence: both empty."""
-    ev = F.trim(F.coalesce(evidence, F.lit("")))
+    ev = _stripped(F.coalesce(evidence, F.lit("")))
     out = F.struct(F.concat(F.regexp_extract(ev, r"([a-zA-Z_]\w*)", 1), F.lit(r"\(")).alias("query"), F.regexp_extract(ev, r"([a-zA-Z_]\w*)", 1).alias("name"))
-    out = F.when(~ev.rlike("[a-zA-Z_]"), F.struct(F.regexp_replace(F.substring(ev, 1, 50), r"([^\p{L}\p{N}_])", r"\\$1").alias("query"), F.substring(ev, 1, 30).alias("name"))).otherwise(out)
+    out = F.when(~ev.rlike("[a-zA-Z_]"), F.struct(F.regexp_replace(_stripped(F.substring(ev, 1, 50)), r"([^\p{L}\p{N}_])", r"\\$1").alias("query"), F.substring(ev, 1, 30).alias("name"))).otherwise(out)
     for look, query, name in reversed(CONTEXTS):
         out = F.when(ev.rlike("(?i)" + look), F.struct(F.lit(query).alias("query"), F.lit(name).alias("name"))).otherwise(out)
     return out

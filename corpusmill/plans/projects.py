@@ -258,10 +258,9 @@ def _(spark, sf):
 
 _EVIDENCE = "CASE l_partkey % 7 WHEN 0 THEN 'try: x except: pass' WHEN 1 THEN ' console.log (1)' WHEN 2 THEN 'y = eval (z)' WHEN 3 THEN concat('foo_', l_partkey, '(1)') WHEN 4 THEN '123 456' WHEN 5 THEN 'setTimeout(f)' ELSE '' END"
 _FOUND = f"SELECT * FROM (SELECT id, file, severity, category, title, pattern_id, created_at, {_EVIDENCE.replace('l_partkey', 'part')} AS evidence, part FROM (SELECT f.*, CAST(substr(evidence, 6) AS INT) AS part FROM ({FINDINGS}) f) g) h"
-_CASES = "CASE part % 7 WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '{2}' WHEN 3 THEN {3} WHEN 4 THEN '123 456' WHEN 5 THEN '{4}' ELSE '{5}' END"
-_QUERY = _CASES.format(U.CONTEXTS[1][1], U.CONTEXTS[2][1], U.CONTEXTS[7][1], "concat('foo_', part, '\\(')", U.CONTEXTS[5][1], "\\(")
-_NAME = _CASES.format("Bare Except", "Console Log", "eval Call", "concat('foo_', part)", "setTimeout", "")
-_QUERY = _QUERY.replace("ELSE '\\('", "ELSE ''")
+_CASES = "CASE part % 7 WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '{2}' WHEN 3 THEN {3} WHEN 4 THEN '{4}' WHEN 5 THEN '{5}' ELSE '' END"
+_QUERY = _CASES.format(U.CONTEXTS[1][1], U.CONTEXTS[2][1], U.CONTEXTS[7][1], "concat('foo_', part, '\\(')", "123\\ 456", U.CONTEXTS[5][1])
+_NAME = _CASES.format("Bare Except", "Console Log", "eval Call", "concat('foo_', part)", "123 456", "setTimeout")
 
 
 @query("rule_deduce", f"WITH f AS ({_FOUND}) SELECT id, {_QUERY} AS query, {_NAME} AS name FROM f")

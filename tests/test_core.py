@@ -257,9 +257,11 @@ def test_evidence_without_a_name_becomes_a_valid_pattern(spark):
 
     from corpusmill.operators import deduce
 
-    df = spark.createDataFrame([("((((",), ("1 + (2",)], "e string")
-    for r in df.select(deduce.deduced(df["e"]).alias("d"), "e").collect():
+    df = spark.createDataFrame([("((((",), ("1 + (2",), ("\t" + "7" * 49 + " 8",)], "e string")
+    got = df.select(deduce.deduced(df["e"]).alias("d"), "e").collect()
+    for r in got:
         assert re.search(r.d.query, r.e)
+    assert got[2].d.query == "7" * 49  # a blank at the cut goes
 
 
 def test_numbers_run_on_over_ranges(spark):
