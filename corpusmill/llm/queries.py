@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import bm25_topk, decontaminate, html_text, licenses, line_dedup, quality_crf, sentencepiece_codec, sharding, simhash, url_filter
+from . import bm25_topk, conversation_trie, decontaminate, divergence, html_text, licenses, line_dedup, quality_crf, quality_rules, sentencepiece_codec, sharding, simhash, url_filter
 from .common import table
 
 URL_RULES = (
@@ -144,6 +144,105 @@ SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+#: crc32 of a text of digits, a byte and then eight shifts at a time.
+_CRC = "xor(4294967295, list_reduce(flatten(list_transform(range(1, length({0}) + 1), lambda i: [ascii(substr({0}, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295::BIGINT))"
+OP11_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(t ORDER BY pos) AS own FROM c GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - conv_id % 20 AS base, {_CRC.format("conv_id::VARCHAR")} % 4 AS h FROM l),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS seq FROM h LEFT JOIN l b ON b.conv_id = h.base),
+n AS (
+  SELECT d AS depth, seq[1:d] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(seq) = d), '') AS ends
+  FROM r, unnest(range(0, len(seq) + 1)) AS t(d) GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+w AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS tokens
+  FROM n LEFT JOIN k USING (depth, path)),
+s AS (SELECT up AS depth, path[1:up] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(tokens) AS saved_tokens FROM w, unnest(range(0, depth + 1)) AS t(up) GROUP BY ALL)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s USING (depth, path) LEFT JOIN n p ON p.depth = w.depth - 1 AND p.path = w.path[1:w.depth - 1]
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS n_terms FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * n_terms))::BIGINT AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * n_terms))::BIGINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) USING (lang) JOIN v USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = quality_rules.judged(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def _op13_sql() -> str:
+    """The rules one after the other: their certified cutoffs, and the one that gains most among bad documents that no earlier rule rejects."""
+    rules, steps = quality_rules.RULES, quality_rules.STEPS
+    levels = ", ".join(f"(({r.part} * {steps} + greatest({r.whole}, 1) - 1) // greatest({r.whole}, 1))::INTEGER AS l{i}" for i, r in enumerate(rules))
+    risk, error = quality_rules.RISK / len(rules), quality_rules.ERROR / len(rules)
+    tail = f"list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))))"
+    chosen = ""
+    for i, _ in enumerate(rules):
+        earlier = "".join(f" LEFT JOIN c{j} ON c{j}.stratum = h.stratum" for j in range(i))
+        free = "".join(f" AND (c{j}.k IS NULL OR l{j} <= c{j}.k)" for j in range(i))
+        chosen += f"""
+h{i} AS (SELECT h.stratum, g.k, count(*) FILTER (label = 1) AS n, count(*) FILTER (label = 1 AND l{i} > g.k) AS x, count(*) FILTER (label = 0 AND l{i} > g.k{free}) AS caught FROM held h{earlier}, (SELECT unnest(range(0, {steps + 1})) AS k) g GROUP BY h.stratum, g.k),
+c{i} AS (SELECT stratum, arg_max(k, (caught - x, k)) AS k FROM h{i} WHERE n > 0 AND x < n * {risk} AND {tail} <= {error} / (SELECT count(DISTINCT stratum) FROM held) AND caught > x GROUP BY stratum),"""
+    over = " ".join(f"WHEN l{i} > c{i}.k THEN '{r.name}'" for i, r in enumerate(rules))
+    joined = " ".join(f"LEFT JOIN c{i} ON c{i}.stratum = b.stratum" for i, _ in enumerate(rules))
+    word = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+win AS (SELECT rid, i, list_slice(w, i, i + 2) AS win FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
+twice AS (SELECT rid, win FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM win JOIN twice USING (rid, win), unnest(range(0, 3)) AS t(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d) y WHERE regexp_matches(x, '{word}') GROUP BY rid),
+m AS (
+  SELECT rid, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines
+  FROM d LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {levels} FROM m),
+said AS (SELECT doc_id, min(quality) AS label FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL AND {_CRC.format("doc_id::VARCHAR")} % 3 <> 1 GROUP BY doc_id HAVING min(quality) = max(quality)),
+held AS (SELECT b.*, label FROM b JOIN said USING (doc_id) WHERE NOT base_failed),{chosen}
+o AS (SELECT b.*, CASE WHEN base_failed THEN 'base' {over} END AS rejected_by FROM b {joined})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by IS NULL AS kept, rejected_by FROM o
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
@@ -157,9 +256,13 @@ def queries() -> dict:
         "op4_sharding": op4_sharding,
         "op8_html_text": op8_html_text,
         "op9_decontaminate": op9_decontaminate,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {"op2_url_filter": OP2_SQL, "op4_sharding": OP4_SQL, "op7_line_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_bm25_topk": OP10_SQL}
+    sql |= {"op11_conversation_trie": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_quality_rules": OP13_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
