@@ -1,7 +1,7 @@
 """How the sources of a language differ in their words: in-mapper stripes, merged by key, that emit divergences.
 
-Each partition folds whole documents into stripes, term -> (document frequency, occurrences by source), in a hash table that is
-written out (spilled) whenever it holds `CELLS` numbers. Sorted by language and term, the partial stripes of a term meet and are
+Each partition folds whole documents into stripes, term -> (document frequency, occurrences by source), in hash tables that are
+written out (spilled) whenever they hold `CELLS` numbers. Sorted by language and term, the partial stripes of a term meet and are
 added up one after the other; a frequent term comes once for each spill, never once for each document. A merged stripe, with its
 language's totals beside it, gives its part of every divergence: of each pair of sources, added up in the same way as the stripes, and
 of each source against its language, of which a partition keeps the largest.
@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import saved
 
 UNIT = 1_000_000_000
-CELLS = 400_000  #: numbers that a task's stripes, or its pairs of sources, may hold before they are written out
+CELLS = 1_000_000  #: numbers that a task's stripes, or its pairs of sources, may hold before they are written out
 ROWS = 20_000  #: rows of an output batch
 
 #: For bytes.translate: A-Z to a-z, other ASCII but letters to a space; bytes of non-ASCII characters stay.
@@ -39,78 +40,103 @@ def terms(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
 
 
-def _written(stripes: dict[tuple[str, bytes], list]) -> Iterator[pa.RecordBatch]:
-    items = list(stripes.items())
-    for at in range(0, len(items), ROWS):
-        part = items[at : at + ROWS]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k, _ in part], pa.string()),
-                pa.array([k[1] for k, _ in part], pa.binary()),
-                pa.array([s[0] for _, s in part], pa.int64()),
-                pa.array([list(s[1]) for _, s in part], pa.list_(pa.string())),
-                pa.array([list(s[1].values()) for _, s in part], pa.list_(pa.int64())),
-            ],
-            schema=_STRIPES,
-        )
+def _stripes(lang: list[str] | pa.Array, term: pa.Array, df: np.ndarray, group: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """A batch of stripes from their cells: `group` (ascending) says whose stripe a cell (source, count) belongs to."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(df)))])
+    listed = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), term, pa.array(df, pa.int64()), listed(sources), listed(pa.array(counts, pa.int64()))], schema=_STRIPES)
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
+def _spilled(df: dict[str, Counter], counts: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+    """A hash table as stripes, language by language."""
+    for lang, docs in df.items():
+        place = dict(zip(docs, range(len(docs)), strict=True))
+        mine = [(source, c) for (of, source), c in counts.items() if of == lang]
+        group = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for _, c in mine])
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for _, c in mine])
+        who = np.repeat(np.arange(len(mine)), [len(c) for _, c in mine])
+        order = np.argsort(group, kind="stable")
+        names = pa.array([source for source, _ in mine], pa.string()).take(pa.array(who[order]))
+        yield from _sliced(_stripes([lang] * len(docs), pa.array(list(docs), pa.binary()), np.fromiter(docs.values(), np.int64, len(docs)), group[order], names, n[order]))
 
 
 def _folded(cells: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[tuple[str, bytes], list] = {}
+        df: dict[str, Counter] = {}
+        counts: dict[tuple[str, str], Counter] = {}
         held = 0
         for batch in batches:
             for text, lang, source in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                of_doc = Counter(terms(text.as_py()))
-                of_doc[b""] = 1
-                for term, n in of_doc.items():
-                    stripe = stripes.get((lang, term))
-                    if stripe is None:
-                        stripes[lang, term] = [1, {source: n}]
-                        held += 1
-                        continue
-                    stripe[0] += 1
-                    by = stripe[1]
-                    if source in by:
-                        by[source] += n
-                    else:
-                        by[source] = n
-                        held += 1
+                words = terms(text.as_py())
+                words.append(b"")
+                docs, occurrences = df.setdefault(lang, Counter()), counts.setdefault((lang, source), Counter())
+                held -= len(docs) + len(occurrences)
+                docs.update(set(words))
+                occurrences.update(words)
+                held += len(docs) + len(occurrences)
                 if held >= cells:
-                    yield from _written(stripes)
-                    stripes, held = {}, 0
-        yield from _written(stripes)
+                    yield from _spilled(df, counts)
+                    df, counts, held = {}, {}, 0
+        yield from _spilled(df, counts)
 
     return fold
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up neighbouring stripes of one term; they come sorted."""
-    now, df, by = None, 0, {}
-    out: dict[tuple[str, bytes], list] = {}
-    for batch in batches:
-        for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (lang, term) != now:
-                if now is not None:
-                    out[now] = [df, by]
-                    if len(out) >= ROWS:
-                        yield from _written(out)
-                        out = {}
-                now, df, by = (lang, term), 0, {}
-            df += n
-            for source, c in zip(sources, counts, strict=True):
-                by[source] = by.get(source, 0) + c
-    if now is not None:
-        out[now] = [df, by]
-    yield from _written(out)
-
-
-def stripes(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", cells: int = CELLS) -> DataFrame:
-    """(lang, term, df, sources, counts): a merged stripe for every term of every language; the empty term's counts documents. Nulls are empty strings."""
+def _merged(least: int):
+    """Adds up neighbouring stripes of one term, which come sorted; those of fewer than `least` documents go, but for the empty term's."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the last term's stripe so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            new = np.ones(batch.num_rows, bool)
+            lang, term = (pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            new[1:] = lang | term
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from _sliced(_summed(batch.slice(0, last), new[:last], least))
+            rest = _summed(batch.slice(last), new[last:], 0)
+        if rest is not None:
+            yield _summed(rest, np.ones(1, bool), least)
+
+    return merge
+
+
+def _summed(rows: pa.RecordBatch, new: np.ndarray, least: int) -> pa.RecordBatch:
+    """One stripe for each run of rows; `new` marks where runs begin."""
+    start, run = np.flatnonzero(new), np.cumsum(new) - 1
+    df = np.add.reduceat(rows.column(2).to_numpy(), start)
+    empty = pc.equal(pc.binary_length(rows.column(1).take(pa.array(start))), 0).to_numpy(zero_copy_only=False)
+    kept = (df >= least) | empty
+    run = np.cumsum(kept)[run] - 1  # as numbered among the kept
+    some = np.repeat(kept, np.diff(np.append(start, rows.num_rows)))
+    run, inside = run[some], rows.filter(pa.array(some))
+    cell = np.repeat(run, pc.list_value_length(inside.column(3)).to_numpy(zero_copy_only=False))
+    named = inside.column(3).flatten().dictionary_encode()
+    width = max(1, len(named.dictionary))
+    key = cell * width + named.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(inside.column(4).flatten().to_numpy(zero_copy_only=False)[order], first) if len(first) else np.zeros(0, np.int64)
+    heads = pa.array(start[kept])
+    return _stripes(rows.column(0).take(heads), rows.column(1).take(heads), df[kept], key[first] // width, named.dictionary.take(pa.array(key[first] % width)), counts)
+
+
+def stripes(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", least: int = 1, cells: int = CELLS) -> DataFrame:
+    """(lang, term, df, sources, counts): a merged stripe for every term of at least `least` of a language's documents; the empty term's counts documents. Nulls are empty strings."""
     plain = docs.select(F.col(text).alias("text"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))])
     kind = "lang string, term binary, df long, sources array<string>, counts array<long>"
     parts = plain.mapInArrow(_folded(cells), kind)
-    return parts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merged, kind)
+    return parts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merged(least), kind)
 
 
 def _emitted(top: int, cells: int):
@@ -202,7 +228,7 @@ def divergences(docs: DataFrame, *, text: str = "text", lang: str = "lang", sour
     descending and item ascending by its bytes. Null text, lang and source are empty strings; rows that repeat count again; a group without terms has
     pairs; a source that is alone in its language has none; an empty table gives an empty one; other columns of `docs` aren't read.
     """
-    kept = saved(stripes(docs, text=text, lang=lang, source=source, cells=cells).where((F.col("term") == F.lit(b"")) | (F.col("df") >= least)), "stripes")
+    kept = saved(stripes(docs, text=text, lang=lang, source=source, least=least, cells=cells), "stripes")
     each = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
     groups = each.groupBy("lang", F.col("s.sources").alias("source")).agg(F.sum(F.when(F.col("term") != F.lit(b""), F.col("s.counts")).otherwise(0)).alias("n"))
     v = kept.groupBy("lang").agg((F.count(F.lit(1)) - 1).alias("n_terms"))
