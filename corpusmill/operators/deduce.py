@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .literals import matched
+
 # What evidence looks like, the query for it, and its name; the first that fits counts.
 CONTEXTS = (
     (r"except\s+\w*\s*:\s*pass", r"except.*?:\s*pass", "Silent Catch"),
@@ -86,10 +88,7 @@ def discovered(lines: DataFrame, candidates: Sequence[tuple[str, str, str, str]]
     """Candidate rules (name, query, description, fix) whose query isn't in the library and that hit at least `least` lines: the most frequent,
     with a confidence that grows with frequency, description and fix."""
     new = [c for c in candidates if c[1] not in library]
-    if not new:
-        new = [("", "(?!)", "", "")]
-    hits = F.array(*[F.when(F.col("line").rlike(c[1]), F.lit(i)) for i, c in enumerate(new)])
-    counts = lines.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("frequency"))
+    counts = matched(lines.select("line"), [c[1] for c in new], name="i").groupBy("i").agg(F.count(F.lit(1)).alias("frequency"))
     table = lines.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(new)], "i int, name string, query string, description string, fix string")
     f = F.col("frequency")
     confidence = 0.5 + F.when(f > 10, 0.3).when(f > 5, 0.15).otherwise(0.0) + F.when(F.col("description") != "", 0.1).otherwise(0.0) + F.when(F.col("fix") != "", 0.1).otherwise(0.0)

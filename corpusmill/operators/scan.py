@@ -1,7 +1,7 @@
 """Rule scans over the lines of a corpus, and detectors of secrets, conflicts, debug statements and markers.
 
-All rules are tried in one pass: one alternation of all patterns drops most lines, and only the rest are tried rule by
-rule, with literal patterns that stay compiled.
+All rules are tried in one pass: an automaton finds the literals that rules can't match without, and a line is tried with
+those rules only; a library may hold any number of rules.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .literals import holds, matched, needed
 from .rules import SEVERITIES
 
 EVIDENCE = 200
@@ -97,21 +100,15 @@ def evidence(line: Column) -> Column:
     return F.substring(F.trim(line), 1, EVIDENCE)
 
 
-def _fits(r: Rule) -> Column:
-    hit = F.col("line").rlike(r.scan_query)
-    return hit & F.col("path").rlike(glob_regex(r.scan_file_glob)) if r.scan_file_glob else hit
-
-
 def batch(source: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All grep rules against all lines: one row per rule and line. Works on a stream too, as it keeps no state."""
     greps = [r for r in rules if r.scan_type == "grep" and r.scan_query]
-    one = lambda r: F.struct(*[F.lit(getattr(r, c)).alias(a) for c, a in (("id", "pattern_id"), ("severity", "severity"), ("name", "title"), ("category", "category"))])
-    if not greps:
-        hits = source.where("false").withColumn("r", one(Rule("", "", "", "", "", "")))
-    else:
-        some = source.where(F.col("line").rlike("|".join(f"(?:{r.scan_query})" for r in greps)))
-        hits = some.withColumn("r", F.explode(F.filter(F.array(*[F.when(_fits(r), one(r)) for r in greps]), lambda x: x.isNotNull())))
-    return hits.select("project", "r.pattern_id", "r.severity", "r.title", "r.category", F.col("path").alias("file"), F.col("line_no").alias("line"), evidence(F.col("line")).alias("evidence"))
+    which = F.col("__rule") + 1
+    of_rule = lambda field: F.element_at(F.lit([getattr(r, field) for r in greps] or [""]), which)
+    hits = matched(source.select("project", "path", "line_no", "line"), [r.scan_query for r in greps], name="__rule")
+    globs = F.element_at(F.lit([glob_regex(r.scan_file_glob) for r in greps] or [""]), which)
+    hits = hits.where((globs == "") | F.rlike("path", globs))
+    return hits.select("project", of_rule("id").alias("pattern_id"), of_rule("severity").alias("severity"), of_rule("name").alias("title"), of_rule("category").alias("category"), F.col("path").alias("file"), F.col("line_no").alias("line"), evidence(F.col("line")).alias("evidence"))
 
 
 def capped(findings: DataFrame, limit: int = 20) -> DataFrame:
@@ -168,8 +165,11 @@ def _around(at: Column, size: Column, reach: int = 20) -> Column:
 def secrets(files: DataFrame) -> DataFrame:
     """(path, kind, blocking, context) for each secret, with 20 characters around it. Test files only count for blocking kinds. One pass over the files."""
     test = F.col("path").rlike(r"/tests/|^tests/|/test_|^test_|/fixtures/|/mock/|/__snapshots__/")
-    text = files.where(~F.lower("ext").isin(*BINARY)).where(F.col("content").rlike("|".join(f"(?:{regex})" for regex, _, _ in SECRETS)))
-    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(blocking).alias("blocking"), (_contexts(regex) if blocking else F.when(~test, _contexts(regex))).alias("contexts")) for regex, kind, blocking in SECRETS])
+    low = files.where(~F.lower("ext").isin(*BINARY)).withColumn("low", F.lower("content"))
+    look = {regex: holds(F.col("low"), literals) if (literals := needed(regex)) else F.lit(True) for regex, _, _ in SECRETS}  # cheap, before any regular expression
+    wanted = {regex: look[regex] if blocking else look[regex] & ~test for regex, _, blocking in SECRETS}
+    text = low.where(reduce(or_, wanted.values()))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(blocking).alias("blocking"), F.when(wanted[regex], _contexts(regex)).alias("contexts")) for regex, kind, blocking in SECRETS])
     each = text.select("path", F.explode(kinds).alias("k")).where("k.contexts is not null")
     return each.select("path", "k.kind", "k.blocking", F.explode("k.contexts").alias("context")).withColumn("context", F.replace("context", F.lit("\n"), F.lit("\\n")))
 
