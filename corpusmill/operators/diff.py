@@ -4,7 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SHOWN = ("tool", "path", "depth", "symbol")
+from ..sources.shared import kept
+
+SHOWN = ("tool", "path", "depth", "symbol")  #: reported even if unchanged
+GROUPS = {"summary": ("summary",), "findings": ("findings", "sections"), "layers": ("layers",)}  #: compared key by key, missing ones as empty
+_MAP = "map<string, variant>"
+
+
+def _is_object(c: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+
+
+def _map(c: Column) -> Column:
+    """An object's entries; null for other values."""
+    return F.try_variant_get(c, "$", _MAP)
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Equal values: numbers by value, others by their JSON, in which keys are sorted."""
+    number = lambda c: F.when(F.schema_of_variant(c).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(c, "$", "double"))
+    return F.coalesce(number(a) == number(b), F.lit(False)) | F.to_json(a).eqNullSafe(F.to_json(b))
+
+
+def _entries(prefix: Column) -> Column:
+    """For maps `o` and `n`: a struct for each key of either, named after the prefix."""
+    name = lambda k: F.when(prefix == "", k).otherwise(F.concat(prefix, F.lit("."), k))
+    each = lambda k: F.struct(name(k).alias("key"), F.col("o")[k].alias("old"), F.col("n")[k].alias("new"), F.map_contains_key("o", k).alias("had"), F.map_contains_key("n", k).alias("has"), F.lit(False).alias("shown"))
+    return F.transform(F.array_union(F.map_keys("o"), F.map_keys("n")), each)
+
+
+def nested_diff(old: DataFrame, new: DataFrame, by: str = "report_id", report: str = "report") -> DataFrame:
+    """(by, key, status, old, new) of reports that are JSON objects of any depth; keys are dotted, values JSON.
+
+    Where both sides have an object under a key, it is compared key by key; else a key is added, removed or changed as a whole, and what is
+    below it isn't listed again. The keys in SHOWN are listed unchanged, too, and never as added or removed; those in GROUPS start from an empty object where they are missing or empty.
+    Reports are joined once; each level below is an explode of the objects of the level before, so work follows the size of the objects.
+    A report that one side lacks, or that isn't a JSON object, is an empty one; of ids that repeat, every pair is compared; null ids have no partner.
+    """
+    read = lambda df, to: df.select(by, F.try_parse_json(report).alias("v")).select(by, _map(F.col("v")).alias(to))
+    nothing = F.create_map().cast(_MAP)
+    both = read(old, "o").join(read(new, "n"), by, "full_outer").select(by, F.coalesce("o", nothing).alias("o"), F.coalesce("n", nothing).alias("n"))
+
+    def of_group(side: str, names: tuple[str, ...]) -> Column:
+        some = [F.when(_is_object(F.col(side)[k]) & (F.to_json(F.col(side)[k]) != "{}"), F.col(side)[k]) for k in names]
+        return F.coalesce(*some, F.parse_json(F.lit("{}")))
+
+    some = lambda side, k: F.when(~F.is_variant_null(F.col(side)[k]), F.col(side)[k])  # noqa: E731  # null is like a missing one
+    known = [*SHOWN, *(k for names in GROUPS.values() for k in names)]
+    shown = [F.struct(F.lit(k).alias("key"), some("o", k).alias("old"), some("n", k).alias("new"), F.lit(True).alias("had"), F.lit(True).alias("has"), (F.map_contains_key("o", k) | F.map_contains_key("n", k)).alias("shown")) for k in map(F.lit, SHOWN)]
+    groups = [F.struct(F.lit(g).alias("key"), of_group("o", names).alias("old"), of_group("n", names).alias("new"), F.lit(True).alias("had"), F.lit(True).alias("has"), F.lit(False).alias("shown")) for g, names in GROUPS.items()]
+    other = F.filter(_entries(F.lit("")), lambda e: ~e["key"].isin(*known))
+    rows = both.select(by, F.inline(F.concat(F.filter(F.array(*shown), lambda e: e["shown"]), F.array(*groups), other)))
+    out = None
+    while True:
+        rows = kept(rows.withColumn("both", _is_object(F.col("old")) & _is_object(F.col("new")) & ~F.col("shown")), "reports")
+        status = F.when(~F.col("had"), "added").when(~F.col("has"), "removed").when(_same(F.col("old"), F.col("new")), "unchanged").otherwise("changed")
+        found = rows.where("not both").select(by, "key", status.alias("status"), F.to_json("old").alias("old"), F.to_json("new").alias("new"), "shown").where("shown or status <> 'unchanged'").drop("shown")
+        out = found if out is None else out.union(found)
+        deeper = rows.where("both")
+        if deeper.isEmpty():
+            return out
+        rows = deeper.select(by, "key", _map(F.col("old")).alias("o"), _map(F.col("new")).alias("n")).select(by, F.inline(_entries(F.col("key"))))
 
 
 def report_diff(old: DataFrame, new: DataFrame, by: str = "report_id") -> DataFrame:

@@ -208,19 +208,34 @@ def _(spark, sf):
 
 # ---- diffs and pages
 
-_OLD = "SELECT o_orderkey AS report_id, 'tool' AS key, 'a' AS value FROM orders UNION ALL SELECT o_orderkey, 'sum.x', concat('v', o_custkey % 3) FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'same', 's' FROM orders"
-_NEW = "SELECT o_orderkey AS report_id, 'tool' AS key, 'a' AS value FROM orders UNION ALL SELECT o_orderkey, 'sum.x', concat('v', o_custkey % 2) FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'same', 's' FROM orders"
-_DIFF = f"o AS ({_OLD}), n AS ({_NEW}), d AS (SELECT report_id, key, CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'removed' WHEN o.value <> n.value THEN 'changed' ELSE 'unchanged' END AS status, o.value AS old, n.value AS new FROM o FULL JOIN n USING (report_id, key)), x AS (SELECT * FROM d WHERE status <> 'unchanged' OR key IN ('tool', 'path', 'depth', 'symbol'))"
+def _report(a, b):
+    return f"""SELECT o_orderkey AS report_id, concat('{{"depth":2,"findings":{{"a":{{"n":', o_orderkey % {a}, ',"open":true}}',
+ CASE o_orderkey % {b} WHEN 0 THEN concat(',"b":{{"c":{{"d":{{"e":[1,', o_custkey % {a}, ']}}}}}}') WHEN 1 THEN ',"b":7' ELSE '' END, '}}',
+ CASE WHEN o_orderkey % {a} = 0 THEN ',"layers":{{}}' ELSE concat(',"layers":{{"l', o_custkey % {b}, '":null}}') END,
+ ',"score":{{"x":{{"y":"', o_orderstatus, '"}},"z":', o_orderkey % 3, '}},"summary":{{"total":', o_custkey % {b}, '}},"tool":"t', o_orderkey % {a}, '"}}') AS report FROM orders"""
+
+
+_OLD, _NEW = _report(3, 4), _report(2, 5)
+_OBJECTS = "coalesce(json_type(old), '') = 'OBJECT' AND coalesce(json_type(new), '') = 'OBJECT' AND NOT shown"
+_SIDES = "list_contains(json_keys({0}), k), list_contains(json_keys({1}), k)"
+_DIFF = f"""RECURSIVE b AS (SELECT report_id, o.report::JSON AS o, n.report::JSON AS n FROM ({_OLD}) o FULL JOIN ({_NEW}) n USING (report_id)),
+ r(report_id, key, old, new, had, has, shown) AS (
+ SELECT report_id, k, o->k, n->k, TRUE, TRUE, TRUE FROM b, (SELECT unnest(['tool', 'path', 'depth', 'symbol']) AS k) s WHERE list_contains(json_keys(o), k) OR list_contains(json_keys(n), k)
+ UNION ALL SELECT report_id, k, coalesce(o->k, '{{}}'::JSON), coalesce(n->k, '{{}}'::JSON), TRUE, TRUE, FALSE FROM b, (SELECT unnest(['summary', 'findings', 'layers']) AS k) g
+ UNION ALL SELECT report_id, k, o->k, n->k, {_SIDES.format('o', 'n')}, FALSE FROM (SELECT *, unnest(list_distinct(list_concat(json_keys(o), json_keys(n)))) AS k FROM b) x WHERE k NOT IN ('tool', 'path', 'depth', 'symbol', 'summary', 'findings', 'sections', 'layers')
+ UNION ALL SELECT report_id, concat(key, '.', k), old->k, new->k, {_SIDES.format('old', 'new')}, FALSE FROM (SELECT *, unnest(list_distinct(list_concat(json_keys(old), json_keys(new)))) AS k FROM r WHERE {_OBJECTS}) y),
+ x AS (SELECT report_id, key, CASE WHEN NOT had THEN 'added' WHEN NOT has THEN 'removed' WHEN old::VARCHAR = new::VARCHAR THEN 'unchanged' ELSE 'changed' END AS status, old::VARCHAR AS old, new::VARCHAR AS new, shown FROM r WHERE NOT ({_OBJECTS})),
+ z AS (SELECT * EXCLUDE (shown) FROM x WHERE shown OR status <> 'unchanged')"""
 
 
 def report_diff(spark, sf):
-    return D.report_diff(role(spark, sf, _OLD), role(spark, sf, _NEW))
+    return D.nested_diff(role(spark, sf, _OLD), role(spark, sf, _NEW))
 
 
-query("report_diff", f"WITH {_DIFF} SELECT * FROM x")(report_diff)
+query("report_diff", f"WITH {_DIFF} SELECT * FROM z")(report_diff)
 
 
-@query("report_diff_summary", f"WITH {_DIFF} SELECT report_id, status, count(*)::BIGINT AS n FROM x GROUP BY ALL")
+@query("report_diff_summary", f"WITH {_DIFF} SELECT report_id, status, count(*)::BIGINT AS n FROM z GROUP BY ALL")
 def _(spark, sf):
     return D.summary(report_diff(spark, sf))
 
@@ -273,7 +288,7 @@ def _(spark, sf):
     return E.ttl_dedupe(calls(spark, sf), ["event_type"], ttl=3000).select("event_id", "event_type")
 
 
-_GAP = "o AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM ({0}) c WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o)".format(_CALLS)
+_GAP = "o AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM ({0}) c WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o)".format(_CALLS)
 
 
 @query("session_track", f"WITH {_GAP} SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*)::BIGINT AS tools, count(DISTINCT path)::BIGINT AS paths FROM s GROUP BY user_id, g")
@@ -307,7 +322,7 @@ def _(spark, sf):
     return E.error_rate(e).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-# ---- streams: no SQL; tests hold them against their batch twins
+# ---- streams: what they give after one batch, as SQL
 
 
 def table_stream(spark, sf, name, schema):
@@ -322,25 +337,48 @@ def event_stream(spark, sf):
     return s.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("f"), F.col("event_id") % 23).alias("path"), F.col("value").alias("duration"), "props")
 
 
-@query("ttl_dedupe_stream")
+GAP_S = 6 * 3600
+_PASSED = "p AS (SELECT to_timestamp((epoch_ms(max(ts)) - 600000) / 1000.0)::TIMESTAMP AS passed FROM events)"  # what the watermark has passed after one batch
+_TEXT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _texts(df, *columns):
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+
+
+@query("ttl_dedupe_stream", _TTL)
 def _(spark, sf):
-    return E.ttl_dedupe_stream(event_stream(spark, sf), ["event_type"], ttl=3000).select("event_id", "event_type")
+    s = event_stream(spark, sf).withWatermark("ts", E.WATERMARK)
+    return E.ttl_dedupe_stream(s, ["event_type"], ttl=3000).select("event_id", "event_type")
+
+
+@query("session_track_stream", f"WITH {_GAP}, {_PASSED} SELECT user_id, {_TEXT.format('min(ts)')} AS start, {_TEXT.format('max(ts)')} AS last, count(*)::BIGINT AS tools, count(DISTINCT path)::BIGINT AS paths FROM s, p GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOUR <= any_value(passed)")
+def _(spark, sf):
+    s = event_stream(spark, sf).withWatermark("ts", E.WATERMARK)
+    return _texts(E.drained(E.session_stream(s, gap_s=GAP_S), "sessions"), "start", "last").drop("end")
+
+
+_SUMMARY = "CASE WHEN greatest(n1, n2, n4) = 0 THEN 'no findings' ELSE concat_ws(', ', CASE WHEN n1 > 0 THEN concat('P1=', n1) END, CASE WHEN n2 > 0 THEN concat('P2=', n2) END, CASE WHEN n4 > 0 THEN concat('INFO=', n4) END) END"
+_CLOSED = f"""{_GAP}, e AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end_ts, count(*)::BIGINT AS calls, count(*) FILTER (event_type = 'error')::BIGINT AS errors, count(*) FILTER (event_type = 'purchase') AS saved,
+ count(*) FILTER (event_type = 'error') AS n1, count(*) FILTER (event_type = 'signup') AS n2, count(*) FILTER (event_type = 'view') AS n4 FROM s GROUP BY user_id, g),
+ c AS (SELECT user_id, {_TEXT.format('start')} AS start, {_TEXT.format('end_ts')} AS "end", calls, errors, CASE WHEN saved > 0 THEN 'closed' ELSE 'partial' END AS state, {_SUMMARY} AS summary, end_ts FROM e)"""
 
 
-@query("session_track_stream")
+@query("closeout", f"WITH {_CLOSED} SELECT * EXCLUDE (end_ts) FROM c")
 def _(spark, sf):
-    return E.drained(E.sessions(event_stream(spark, sf).withWatermark("ts", E.WATERMARK), gap="6 hours", exact=False), "sessions")
+    return _texts(E.closed_out(calls(spark, sf), gap="6 hours"), "start", "end")
 
 
-@query("closeout_stream")
+@query("closeout_stream", f"WITH {_CLOSED}, {_PASSED} SELECT c.* EXCLUDE (end_ts) FROM c, p WHERE end_ts <= passed")
 def _(spark, sf):
-    return E.drained(E.closed_out(event_stream(spark, sf).withWatermark("ts", E.WATERMARK), gap="6 hours"), "closeout")
+    s = event_stream(spark, sf).withWatermark("ts", E.WATERMARK)
+    return _texts(E.drained(E.closeout_stream(s, gap_s=GAP_S), "closeout"), "start", "end")
 
 
-@query("error_rate_stream")
+@query("error_rate_stream", f"WITH {_PASSED}, z AS (SELECT ts, 200 + (event_id * 37) % 400 AS status FROM events) SELECT {_TEXT.format("date_trunc('hour', ts)")} AS start, CASE WHEN status >= 500 THEN 'P1' ELSE 'P2' END AS severity, count(*)::BIGINT AS n FROM z, p WHERE status >= 400 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= passed GROUP BY ALL")
 def _(spark, sf):
     s = event_stream(spark, sf).withWatermark("ts", E.WATERMARK).withColumn("raw", F.expr("concat('x [', 200 + (event_id * 37) % 400, ']')"))
-    return E.drained(E.error_rate(S.network_errors(s).select("ts", "severity")), "rates")
+    return _texts(E.drained(E.error_rate(S.network_errors(s).select("ts", "severity")), "rates"), "start")
 
 
 @query("scan_stream", f"WITH {HITS} SELECT pattern_id, file, line FROM hits")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.rules import SEVERITIES
 from ..sources.shared import folder
 
 TTL = 300
@@ -53,10 +57,9 @@ def _folder(width: int, ttl: int):
     return fold
 
 
-def sessions(events: DataFrame, by: str = "user_id", gap: str = "30 minutes", ts: str = "ts", exact: bool = True) -> DataFrame:
-    """(by, start, end, tools, paths, last) of runs of activity; streams count distinct paths approximately."""
-    distinct = F.countDistinct("path") if exact else F.approx_count_distinct("path", 0.01)
-    out = events.groupBy(by, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("tools"), distinct.alias("paths"), F.max(ts).alias("last"))
+def sessions(events: DataFrame, by: str = "user_id", gap: str = "30 minutes", ts: str = "ts") -> DataFrame:
+    """(by, start, end, tools, paths, last) of runs of activity."""
+    out = events.groupBy(by, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("tools"), F.countDistinct("path").alias("paths"), F.max(ts).alias("last"))
     return out.select(by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "tools", "paths", "last")
 
 
@@ -68,10 +71,32 @@ def progress(events: DataFrame, by: str = "user_id", ts: str = "ts", order: str
     return jobs.withColumn("calls", calls).withColumn("percent", F.when(F.col("calls") == 0, 5).otherwise(F.least(F.col("calls") * 20, F.lit(95))))
 
 
+SEVERITY_OF = {"error": "P1", "signup": "P2", "view": "INFO"}  #: what an event of a type counts as in a session's summary; others don't
+
+
+def severity_of(kind: Column, severities: dict[str, str] = SEVERITY_OF) -> Column:
+    out = F.lit(None).cast("string")
+    for k, s in severities.items():
+        out = F.when(kind == k, F.lit(s)).otherwise(out)
+    return out
+
+
+def summary(counts: Sequence[Column]) -> Column:
+    """Counts per severity that aren't zero, as "P0=1, P2=3"; "no findings" if all are."""
+    said = F.concat_ws(", ", *[F.when(n > 0, F.concat(F.lit(f"{s}="), n.cast("string"))) for s, n in zip(SEVERITIES, counts, strict=True)])
+    return F.when(said == "", "no findings").otherwise(said)
+
+
 def closed_out(events: DataFrame, by: str = "user_id", gap: str = "30 minutes", ts: str = "ts", saved: str = "purchase") -> DataFrame:
-    """Sessions that ended without saving: (by, end, calls, errors)."""
-    out = events.groupBy(by, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max((F.col("event_type") == saved).cast("int")).alias("saved"))
-    return out.where("saved = 0").select(by, F.col("s.end").alias("end"), "calls", "errors")
+    """Sessions that ended: (by, start, end, calls, errors, state, summary). state: "partial" if nothing was saved, else "closed"; `summary` counts severities."""
+    kind = severity_of(F.col("event_type"))
+    counts = [F.count_if(kind == s).alias(f"n{i}") for i, s in enumerate(SEVERITIES)]
+    out = events.groupBy(by, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max(F.col("event_type") == saved).alias("saved"), *counts)
+    return _ended(out.withColumns({"start": F.col("s.start"), "end": F.col("s.end")}), by)
+
+
+def _ended(out: DataFrame, by: str) -> DataFrame:
+    return out.select(by, "start", "end", "calls", "errors", F.when(F.col("saved"), "closed").otherwise("partial").alias("state"), summary([F.col(f"n{i}") for i in range(len(SEVERITIES))]).alias("summary"))
 
 
 def relevant(events: DataFrame, prefixes: Sequence[str], tool: str = "event_type", result: str = "props") -> DataFrame:
@@ -95,32 +120,152 @@ def stream(spark: SparkSession, folder_path: str, schema, name_glob: str, per_ba
     return reader.parquet(folder_path)
 
 
-def drained(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, into Parquet files, and reads these."""
+def drained(out: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now, into Parquet files, and reads these. `at`: a folder that keeps rows and state; a later run with it goes on where this one ended."""
     spark = out.sparkSession
-    to = folder(spark, name)
-    started = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", folder(spark, f"{name}-state")).option("path", to).trigger(availableNow=True).start()
+    at = at or folder(spark, name)
+    started = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").trigger(availableNow=True).start()
     started.awaitTermination()
-    return spark.read.schema(out.schema).parquet(to)
-
-
-def ttl_dedupe_stream(events: DataFrame, keys: Sequence[str], name: str = "ttl", ts: str = "ts", ttl: int = TTL, order: str = "event_id") -> DataFrame:
-    """The events a stream accepts. Each batch is folded onto the last accepted time of each key, which is kept as a table."""
-    spark = events.sparkSession
-    to, states = folder(spark, name), [None]
-
-    def batch(df: DataFrame, number: int) -> None:
-        last = spark.read.parquet(states[0]) if states[0] else None
-        path = f"{to}/batch={number}"
-        ttl_dedupe(df, keys, ts, ttl, order, last).write.mode("overwrite").parquet(path)
-        new = spark.read.parquet(path).groupBy(*keys).agg(F.max(F.col(ts).cast("timestamp")).alias("last_ts"))
-        state = f"{to}-state/{number}"
-        (new.unionByName(last) if last is not None else new).groupBy(*keys).agg(F.max("last_ts").alias("last_ts")).write.mode("overwrite").parquet(state)
-        states[0] = state
-
-    run = events.writeStream.foreachBatch(batch).option("checkpointLocation", folder(spark, f"{name}-log")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{to}/batch=*")
+    return spark.read.schema(out.schema).parquet(f"{at}/rows")
+
+
+def _stateful(spark: SparkSession) -> None:
+    """State with timers is kept in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Ttl(StatefulProcessor):
+    """Keeps the last accepted time of a key, until no event can be too near to it. The last two columns are an event's time and its place among equal times."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        each = pd.concat(rows, ignore_index=True)
+        *columns, t, order = each.columns
+        each = each.sort_values([t, order], kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
+        before, taken = last, []
+        for now in each[t].tolist():
+            ok = last is None or now - last >= self.ttl
+            last = now if ok else last
+            taken.append(ok)
+        if last != before:
+            self.last.update((last,))
+            if before is not None:
+                self.handle.deleteTimer(_due(before + self.ttl))
+            self.handle.registerTimer(_due(last + self.ttl))
+        yield each.loc[taken, columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _due(micros: int) -> int:
+    """The first whole millisecond at or after a time."""
+    return -(-micros // 1000)
+
+
+def ttl_deduped(events: DataFrame, keys: Sequence[str], ts: str = "ts", ttl: int = TTL, order: str = "event_id") -> DataFrame:
+    """The stream of accepted events: those `ttl` seconds or more after the last accepted one of their key; within a batch in order of time.
+
+    A key's state is one time, in the stream's checkpoint, so a restarted stream goes on as if it had never stopped; it goes once the watermark
+    has passed it by `ttl`. `events` must have a watermark on `ts`. Of a batch, the rows of one key are held together by one task; bound batches at the source.
+    """
+    _stateful(events.sparkSession)
+    plain = {c: f"c{i}" for i, c in enumerate(events.columns)}  # state functions rename columns that aren't Python names
+    timed = events.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()], F.unix_micros(F.col(ts).cast("timestamp")).alias("at_micros"), F.col(order).alias("at_place"))
+    kind = ", ".join(f"{plain[f.name]} {f.dataType.simpleString()}" for f in events.schema.fields)
+    return timed.groupBy(*[plain[k] for k in keys]).transformWithStateInPandas(_Ttl(ttl * 1_000_000), kind, "append", "eventTime").toDF(*events.columns)
+
+
+def ttl_dedupe_stream(events: DataFrame, keys: Sequence[str], name: str = "ttl", ts: str = "ts", ttl: int = TTL, order: str = "event_id", at: str | None = None) -> DataFrame:
+    """The events that a stream accepts of what is there now; see `ttl_deduped` and `drained`."""
+    return drained(ttl_deduped(events, keys, ts, ttl, order), name, at=at)
+
+
+_OPEN = "start long, last long, calls long, errors long, saved boolean, " + ", ".join(f"n{i} long" for i in range(len(SEVERITIES))) + ", paths array<string>"
+_FIELDS = [f.split()[0] for f in _OPEN.split(", ")]
+
+
+class _Sessions(StatefulProcessor):
+    """A key's open sessions as a list; a session ends when the watermark is `gap` after its last event."""
+
+    def __init__(self, by: str, gap: int) -> None:
+        self.by, self.gap = by, gap
+
+    def init(self, handle) -> None:
+        self.handle, self.open = handle, handle.getListState("open", _OPEN)
+
+    def _kept(self) -> list[list]:
+        return [list(r) for r in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        before = self._kept()
+        parts = list(before)
+        for pdf in rows:
+            pdf = pdf.sort_values("at_micros")
+            t = pdf["at_micros"].to_numpy()
+            run = np.cumsum(np.append(0, np.diff(t) > self.gap))
+            for _, x in pdf.groupby(run):
+                said = x["severity"].value_counts()
+                parts.append([int(x["at_micros"].iloc[0]), int(x["at_micros"].iloc[-1]), len(x), int(x["is_error"].sum()), bool(x["is_saved"].any()), *[int(said.get(s, 0)) for s in SEVERITIES], sorted(set(x["path"].dropna()))])
+        now: list[list] = []
+        for s in sorted(parts, key=lambda s: s[:2]):
+            if now and s[0] - now[-1][1] <= self.gap:  # as session_window merges
+                o = now[-1]
+                now[-1] = [o[0], max(o[1], s[1]), o[2] + s[2], o[3] + s[3], o[4] or s[4], *[a + b for a, b in zip(o[5:-1], s[5:-1], strict=True)], sorted({*o[-1], *s[-1]})]
+            else:
+                now.append(s)
+        for end in {s[1] for s in before} - {s[1] for s in now}:
+            self.handle.deleteTimer(_due(end + self.gap))
+        for end in {s[1] for s in now} - {s[1] for s in before}:
+            self.handle.registerTimer(_due(end + self.gap))
+        self.open.put([tuple(s) for s in now])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        now = self._kept()
+        over = [s for s in now if s[1] + self.gap <= passed]
+        left = [tuple(s) for s in now if s[1] + self.gap > passed]
+        self.open.put(left) if left else self.open.clear()
+        yield pd.DataFrame([(key[0], *s[:-1], len(s[-1])) for s in over], columns=[self.by, *_FIELDS[:-1], "paths"])
+
+    def close(self) -> None:
+        pass
+
+
+def sessions_ended(events: DataFrame, by: str = "user_id", gap_s: int = 1800, ts: str = "ts", saved: str = "purchase") -> DataFrame:
+    """The stream of sessions (by, start, end, last, calls, errors, saved, n0.., paths) that the watermark has passed by the gap: with exact numbers of distinct paths and counts per severity.
+
+    Open sessions are a list in the state of their key, merged when an event between two of them comes late, and each has a timer on event time.
+    `events` must have a watermark on `ts`, and a column `path`.
+    """
+    _stateful(events.sparkSession)
+    kind = F.col("event_type")
+    flags = events.select(by, ts, F.unix_micros(ts).alias("at_micros"), F.coalesce(kind == "error", F.lit(False)).alias("is_error"), F.coalesce(kind == saved, F.lit(False)).alias("is_saved"), severity_of(kind).alias("severity"), F.col("path").alias("path"))
+    schema = f"{by} {dict(events.dtypes)[by]}, " + ", ".join(_OPEN.split(", ")[:-1]) + ", paths long"
+    out = flags.groupBy(by).transformWithStateInPandas(_Sessions(by, gap_s * 1_000_000), schema, "append", "eventTime")
+    time = lambda c: F.timestamp_micros(c)
+    return out.withColumns({"start": time(F.col("start")), "end": time(F.col("last") + gap_s * 1_000_000), "last": time(F.col("last"))})
+
+
+def session_stream(events: DataFrame, by: str = "user_id", gap_s: int = 1800) -> DataFrame:
+    """The columns of `sessions`, from a stream, distinct paths exactly."""
+    return sessions_ended(events, by, gap_s).select(by, "start", "end", F.col("calls").alias("tools"), "paths", "last")
+
+
+def closeout_stream(events: DataFrame, by: str = "user_id", gap_s: int = 1800) -> DataFrame:
+    """The columns of `closed_out`, from a stream."""
+    return _ended(sessions_ended(events, by, gap_s), by)
 
 
 def scan_stream(files: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -202,20 +202,11 @@ def test_ttl_stream_over_several_batches(spark, event_table, tmp_path):
         rows = sorted(event_rows(), key=lambda r: r[1])[lo:hi]
         spark.createDataFrame(rows, event_table.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         assert i < 3
-    s = events.stream(spark, str(tmp_path / "in"), event_table.schema, "*.parquet", per_batch=1)
+    s = events.stream(spark, str(tmp_path / "in"), event_table.schema, "*.parquet", per_batch=1).withWatermark("ts", events.WATERMARK)
     got = {r.event_id for r in events.ttl_dedupe_stream(s, ["event_type"], ttl=300).collect()}
     assert got == fold(event_rows(), 300)
 
 
-def test_session_stream_gives_the_closed_sessions_of_its_batch_twin(spark, event_table, tmp_path):
-    event_table.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = events.stream(spark, str(tmp_path / "in"), event_table.schema, "*.parquet").withWatermark("ts", events.WATERMARK)
-    streamed = {(r.user_id, r.start, r.tools, r.paths) for r in events.drained(events.sessions(s, gap="4 minutes", exact=False), "t").collect()}
-    batch = {(r.user_id, r.start, r.tools, r.paths): r.end for r in events.sessions(event_table, gap="4 minutes").collect()}
-    last = max(r[1] for r in event_rows()) - dt.timedelta(minutes=10)
-    assert streamed and streamed == {k for k, end in batch.items() if end <= last}
-
-
 def test_streams_read_tables_of_several_part_files(spark, tmp_path):
     from corpusmill.plans.queries import queries
 
