@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import saved
 from .words import NOT_ALNUM, cut, hashes
@@ -177,13 +177,22 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "do
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased; a query's repeated words count once. The score is
     BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), N and the mean length over documents with words, rounded to six digits;
     ties go to the smaller id. Null and empty texts are never found and find nothing; rows with a null id are left out on
-    either side; documents that repeat an id are documents of their own. Queries with equal id and text are asked once.
+    either side; documents that repeat an id are documents of their own. Queries with equal id and text are asked once. Ids may be of any type that sorts; those that aren't whole numbers are numbered first.
     """
+    if not all(isinstance(df.schema[c].dataType, T.IntegralType) for df, c in ((docs, doc_id), (queries, query_id))):
+        d, q = _keys(docs, doc_id), _keys(queries, query_id)
+        mine = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(d, "id")
+        theirs = queries.select(F.col(query_id).alias("id"), F.col(query_text).alias("text")).join(q, "id")
+        found = top_k(mine, theirs, k=k, doc_id="key", text="text", query_id="key", query_text="text", k1=k1, b=b)
+        named = lambda keys, c: keys.select(F.col("id").alias(f"{c}_named"), F.col("key").alias(c))
+        found = found.join(named(d, "doc_id"), "doc_id").join(named(q, "query_id"), "query_id")
+        return found.select(F.col("query_id_named").alias("query_id"), "rank", F.col("doc_id_named").alias("doc_id"), "score")
     index = saved(term_counts(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("len > 0"), "index")
     n, words = index.agg(F.count(F.lit(1)), F.sum("len")).first()
     asked = term_counts(queries.where(F.col(query_id).isNotNull()), query_id, query_text).select("id", "terms", F.xxhash64("id", F.array_sort("terms")).alias("asked"))
     asked = saved(asked.where(F.size("terms") > 0).dropDuplicates(["asked"]), "asked")
-    df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    df = index.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.select("id", "asked", F.explode("terms").alias("term")).join(df, "term").groupBy("id", "asked").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("t"))
     weighed = saved(weighed.withColumn("t", F.array_sort("t")).select("id", "asked", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")), "weighed")
@@ -213,6 +222,12 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, doc_id: str = "do
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
+def _keys(df: DataFrame, c: str) -> DataFrame:
+    """(id, key): a long for each id that isn't one, in the order of ids."""
+    ids = df.select(F.col(c).alias("id")).where(F.col("id").isNotNull()).distinct()
+    return saved(ids.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("key")), "keys")
+
+
 def _floors(asked: np.ndarray, worst: pa.Table) -> np.ndarray:
     """The k-th best score known of each query, 0 where fewer documents are known."""
     keys, scores = worst["asked"].to_numpy(), worst["score"].to_numpy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import deleted, saved
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = saved(small.where("a <> b").distinct(), "edges")
+        old, now = now, saved(small.where("a <> b").distinct(), "edges")
+        deleted(old)
     else:
         raise RuntimeError(f"components: {max_rounds} rounds are not enough")
     roots = now.groupBy("a").agg(F.min("b").alias("root"))

@@ -172,7 +172,7 @@ def trie(turns: DataFrame, ids: DataFrame, block: int = BLOCK) -> DataFrame:
     paths = blocks.groupBy("conv_id").agg(F.sum(F.size("turns")).cast("long").alias("depth"), F.bit_xor("b1").alias("q1"), F.bit_xor("b2").alias("q2"), F.sum("bw").alias("path_words"))
     paths = ids.join(paths, "conv_id", "left").na.fill(0, ["depth", "q1", "q2", "path_words"])
 
-    nodes = _refined(groups, [])
+    nodes = saved(_refined(groups, []).select("depth", "q1", "q2", "pq1", "pq2", "words", "conv"), "members")
     children = saved(nodes.groupBy((F.col("depth") - 1).alias("depth"), F.col("pq1").alias("q1"), F.col("pq2").alias("q2")).agg(F.count(F.lit(1)).alias("n_children")), "children")
     at = ["depth", "q1", "q2"]
     owned = nodes.join(children, at, "left").groupBy(F.col("conv").alias("conv_id")).agg(F.sum("words").alias("own"), F.count_if(F.col("n_children").isNull()).alias("leaf"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import alnum_words, ascii_lower, saved
+from .common import alnum_words, ascii_lower, free, named, saved
 
 TABLE_BITS = 18
 SEGMENT = 512
@@ -139,18 +139,19 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     blocks = max(1, -(-total // max_words))
     if blocks == 1:
         return docs.withColumn(found, _searcher(_items(docs, known), size)(F.col(text)))
-    base = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    (row,) = free(docs, "row_number")
+    base = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     out = None
     for b in range(blocks):  # one pass each, so that a task holds the windows of one block only
         rows = known.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b)
-        part = saved(base.select("__row", _searcher(_items(docs, rows), size)(F.col(text)).alias("part")), "found")
-        hit = part.select("__row", "part.n_words", "part.hits", "part.items")
+        part = saved(base.select(F.col(row).alias("row"), _searcher(_items(docs, rows), size)(F.col(text)).alias("part")), "found")
+        hit = part.select("row", "part.n_words", "part.hits", "part.items")
         if b:
             hit = hit.where(F.size("items") > 0)
         out = hit if out is None else out.union(hit)
     merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    merged = out.groupBy("__row").agg(F.struct(F.max("n_words").alias("n_words"), merge("hits").alias("hits"), merge("items").alias("items")).alias("__merged"))
-    return base.join(merged, "__row").withColumn(found, F.col("__merged")).select(*[c for c in docs.columns if c != found], found)
+    merged = out.groupBy(F.col("row").alias(row)).agg(F.struct(F.max("n_words").alias("n_words"), merge("hits").alias("hits"), merge("items").alias("items")).alias(found))
+    return base.drop(found).join(merged, row).select(*named([c for c in docs.columns if c != found]), found)
 
 
 def _items(docs: DataFrame, rows: DataFrame) -> Broadcast:
@@ -165,24 +166,26 @@ def _words(text: Column) -> Column:
 
 def judged(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:
     """`docs` with n_words, n_hit, n_items, items_sha256 and contaminated: some word is hit, and at least one in `share`."""
-    f = find_windows(docs, benchmark, **options)
-    n_words, n_hit = F.col("found.n_words"), F.size("found.hits").cast("long")
+    (found,) = free(docs, "found")
+    f = find_windows(docs, benchmark, found=found, **options)
+    n_words, n_hit = F.col(f"{found}.n_words"), F.size(f"{found}.hits").cast("long")
     return f.withColumns(
         {
             "n_words": n_words,
             "n_hit": n_hit,
-            "n_items": F.size("found.items").cast("long"),
-            "items_sha256": F.sha2(F.array_join("found.items", ","), 256),
+            "n_items": F.size(f"{found}.items").cast("long"),
+            "items_sha256": F.sha2(F.array_join(f"{found}.items", ","), 256),
             "contaminated": (n_hit > 0) & (share * n_hit >= n_words),
         }
-    ).drop("found")
+    ).drop(found)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **options) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with the columns of `docs`."""
-    f = find_windows(docs, benchmark, found="__found", **options)
-    n_hit = F.size("__found.hits")
-    return f.where(~((n_hit > 0) & (share * n_hit >= F.col("__found.n_words")))).select(*docs.columns)
+    (found,) = free(docs, "found")
+    f = find_windows(docs, benchmark, found=found, **options)
+    n_hit = F.size(f"{found}.hits")
+    return f.where(~((n_hit > 0) & (share * n_hit >= F.col(f"{found}.n_words")))).select(*named(docs.columns))
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], size: int = 13, share: int = 20) -> list[tuple]:

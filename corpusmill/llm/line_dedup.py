@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import deleted, saved
+from .common import deleted, free, saved
 from .words import BLANK, LOWERED as _LOW, between, cut, hashes, runs
 
 COUNTERS = 22
@@ -434,12 +434,13 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows that repeat id and text are copies of one document: a line isn't earlier than itself in the other copy, and all copies lose the
     same lines. An empty table gives an empty one.
     """
-    gone = removed_lines(docs, doc_id=doc_id, text=text, **options).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("__gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "__id", "version": "__version"})
-    out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__version")), "left")
+    gone = removed_lines(docs, doc_id=doc_id, text=text, **options).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
+    i, v, numbers = free(docs, "gone_id", "gone_version", "gone")
+    gone = gone.select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("gone").alias(numbers))
+    out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(v)), "left")
     n = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    out = out.withColumns({"n_lines": n.cast("long"), "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")})
-    return out.withColumn(text, _without(F.col(text), F.col("__gone"))).drop("__id", "__version", "__gone")
+    out = out.withColumns({"n_lines": n.cast("long"), "n_removed": F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers)).cast("long")})
+    return out.withColumn(text, _without(F.col(text), F.col(numbers))).drop(i, v, numbers)
 
 
 def brute_force(docs: list[tuple[int, str | None]], num: int = 4, den: int = 5) -> dict[int, list[int]]:

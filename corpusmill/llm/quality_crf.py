@@ -209,7 +209,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("y"), F.max(label).alias("other")).where("y = other")
     known = known.join(docs.select(F.col(doc_id).alias("__id")), "__id", "left_semi")
     chosen = [(r["__id"], int(r["y"])) for r in known.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect()]
-    ids = docs.sparkSession.createDataFrame(chosen, "id long, y int")
+    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("y", T.IntegerType())]))
     got = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").select("id", "y", F.xxhash64("t").alias("h"), _sample_features("t").alias("f"))
     got = got.groupBy("id").agg(F.min("y").alias("y"), F.min_by("f", "h").alias("f")).collect()  # of rows that repeat an id, one
     rows = sorted(((r["id"], r["y"], r["f"]) for r in got), key=lambda r: r[0])

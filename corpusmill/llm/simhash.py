@@ -17,9 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import LOWER, UPPER, saved
+from .common import LOWER, UPPER, free, saved
 from .components import components
 
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -99,8 +99,9 @@ def links(fps: DataFrame, bits: int = 2, pair_limit: int = 64) -> DataFrame:
     """
     if bits != 2:
         pair_limit = 1 << 60
-    here = Window.partitionBy("slot", "part")
-    met = saved(_filed(fps, bits).withColumn("n", F.count(F.lit(1)).over(here)).where("n > 1"), "met")
+    filed = _filed(fps, bits)
+    counts = filed.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = saved(filed.join(counts, ["slot", "part"]), "met")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     lone = met.where("n = 2").groupBy("slot", "part").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(near).select("a", "b")
     some = met.where(F.col("n").between(3, pair_limit)).select("slot", "part", "fp")
@@ -145,8 +146,9 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("version"))
     found = near_duplicates(docs.select(key.alias("key"), F.col(text).alias("text")), doc_id="key", text="text", bits=bits)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.version").alias("__version")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__version")), "left_anti")
+    i, v = free(docs, "gone_id", "gone_version")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id.id").alias(i), F.col("doc_id.version").alias(v)).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(v)), "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]], bits: int = 2) -> list[tuple[int, str, int]]:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, free
 
 _SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|\z)"
 _TOKEN = r"[A-Za-z0-9]+"
@@ -101,5 +101,6 @@ def filtered(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", gener
     filed = table.join(rarest, "id", "left").withColumn("token", F.coalesce("token", F.lit("")))
     fits = met.join(filed, "token").where(F.expr("target rlike regex"))
     best = fits.groupBy("target").agg(F.min_by(F.struct("name", F.col("verdict").alias("v")), F.struct(~F.col("named"), -F.col("length"), "name", "verdict")).alias("best"))
-    out = rest.withColumn("__target", target).join(best.withColumnRenamed("target", "__target"), "__target", "left").drop("__target")
-    return out.withColumns({"rule": F.col("best.name"), "verdict": F.coalesce("best.v", F.lit(default))}).drop("best")
+    at, found = free(rest, "target", "best")
+    out = rest.withColumn(at, target).join(best.select(F.col("target").alias(at), F.col("best").alias(found)), at, "left")
+    return out.withColumns({"rule": F.col(f"{found}.name"), "verdict": F.coalesce(f"{found}.v", F.lit(default))}).drop(at, found)
