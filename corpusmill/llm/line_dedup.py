@@ -17,7 +17,8 @@ shared and aren't filed.
 Words whose counter is above HOT aren't sent to the task of their word, but dealt out evenly; their lists, and all others of more
 than LONG lines, are joined by Spark, whose skew join parts the large ones. There the first LEAD lines are compared with the rest, and
 only lines that are still unmatched are then compared with the earlier lines of the list that are of like length. So a large
-group of near copies costs work in proportion to its size, and no task holds a list.
+group of near copies costs work in proportion to its size, and no task holds a list. Where that would be more than PAIRS pairs
+(many lines of common words that match nothing), lines meet only if they share two or three of their rarest words.
 
 Words are known by 48-bit and sets by 64-bit hashes.
 """
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,7 @@ MAP_BITS = 25
 LEAD = 16
 LONG = 256
 HOT = 20_000
+PAIRS = 1_000_000  #: pairs of a list beyond which lines meet under tuples of words
 BUCKET = 250_000  #: filed words that are sorted together
 TEXT_BYTES = 4 << 20  #: texts that are taken apart at a time
 _WORD = np.uint64((1 << 48) - 1)
@@ -366,6 +369,54 @@ def _paired(left: DataFrame, right: DataFrame, num: int, den: int, on: tuple[str
     return x.join(y, list(on)).where((F.col("x_first") < F.col("y_first")) & fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
 
+def _tuple_size(kind: int, num: int, den: int) -> int:
+    """How many shared words are looked up together among sets of some (den / num) ** kind words: three for short sets, else two, and never more than a match must share."""
+    least = -(-num // (den - num))
+    return max(1, min(3 if (den / num) ** kind <= 32 else 2, -(-num * least // den)))
+
+
+def _tupler(rarity: Broadcast, num: int, den: int):
+    """Sets (id, kind, toks, n, sig, words) filed under tuples of their rarest words, the first of which is one of `toks`."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = rarity.value
+        for batch in batches:
+            ids, kinds, tuples = [], [], []
+            size, words = _unpacked(batch.column(5))
+            end = np.cumsum(size)
+            order = (counts[_counter(words)].astype(np.uint64) << np.uint64(32)) | (words & np.uint64(0xFFFFFFFF))
+            for row, (kind, toks) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                k, n, wanted = _tuple_size(kind, num, den), int(size[row]), set(toks)
+                first = n - -(-num * n // den) + 1  # where the first shared word may stand
+                low = (np.sort(order[end[row] - n : end[row]])[: first + k - 1] & np.uint64(0xFFFFFFFF)).tolist()
+                mine = {hash((low[i], *rest)) for i in range(min(first, len(low))) if low[i] in wanted for rest in combinations(low[i + 1 :], k - 1)}
+                ids += [row] * len(mine)
+                kinds += [kind] * len(mine)
+                tuples += mine
+            taken = batch.take(pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(tuples, pa.int64()), pa.array(kinds, pa.int32()), *(taken.column(c) for c in (0, 3, 4))], names=["tuple", "kind", "id", "n", "sig"])
+
+    return file
+
+
+def _in_tuples(rest: DataFrame, open_: DataFrame, sets: DataFrame, rarity: Broadcast, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the sets of crowded lists, of `rest` with `open_`: only sets that share two or three of their rarest words meet.
+
+    Sets that match share at least ceil(t n) words, so the first k that they share stand among the first n - ceil(t n) + k of either.
+    """
+    words = sets.join(rest.select("id").union(open_.select("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+
+    def filed(some: DataFrame) -> DataFrame:
+        each = some.groupBy("id", "kind").agg(F.collect_set("tok").alias("toks"), F.first("n").alias("n"), F.first("sig").alias("sig"))  # a set's filed words
+        return each.join(words, "id").select("id", "kind", "toks", "n", "sig", "words").mapInArrow(_tupler(rarity, num, den), "tuple long, kind int, id long, n int, sig long")
+
+    x, y = (filed(some).select("tuple", "kind", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "sig")]) for some, s in ((rest, "x"), (open_, "y")))
+    total = F.col("x_n") + F.col("y_n")
+    fits = (den * F.col("x_n") >= num * F.col("y_n")) & (den * F.col("y_n") >= num * F.col("x_n")) & (F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig"))) * (num + den) <= (den - num) * total)
+    fits |= (F.col("x_n") == TOP) | (F.col("y_n") == TOP)
+    return x.join(y, ["tuple", "kind"]).where((F.col("x_id") != F.col("y_id")) & fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
+
 def _matched(sets: DataFrame, firsts: DataFrame, rarity: Broadcast, words: int, num: int, den: int) -> DataFrame:
     """The ids of the sets that match a set seen earlier."""
     spark = sets.sparkSession
@@ -383,7 +434,13 @@ def _matched(sets: DataFrame, firsts: DataFrame, rarity: Broadcast, words: int,
     kind = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
     rest = longer.withColumn("kind", kind)
     open_ = rest.join(gone, "id", "left_anti").withColumn("kind", F.explode(F.array(kind - 1, kind, kind + 1)))
-    two = saved(_paired(rest, open_, num, den, ("tok", "kind")).distinct(), "pairs")
+    on = ["tok", "kind"]
+    both = rest.groupBy(*on).agg(F.count(F.lit(1)).alias("x")).join(open_.groupBy(*on).agg(F.count(F.lit(1)).alias("y")), on)
+    crowded = saved(both.where(F.col("x").cast("double") * F.col("y") > PAIRS).select(*on), "crowded")
+    two = _paired(rest, open_, num, den, ("tok", "kind"))
+    if not crowded.isEmpty():
+        two = _paired(rest.join(crowded, on, "left_anti"), open_, num, den, ("tok", "kind")).union(_in_tuples(rest.join(crowded, on), open_.join(crowded, on), sets, rarity, num, den))
+    two = saved(two.distinct(), "pairs")
     deleted(longer)
     return gone if two.isEmpty() else saved(gone.union(_later(two, sets, firsts, num, den)).distinct(), "gone")
 

@@ -73,3 +73,39 @@ def test_very_long_lines_and_many_lines():
     assert sets.n.tolist() == [70_000] + [1] * 70_000 + [2]
     assert sets.no.tolist() == [0, *range(70_001)] and sets.text.tolist() == [0] + [1] * 70_001
     assert len(set(sets.id.tolist())) == 3
+
+
+def test_many_lines_of_common_words(spark, monkeypatch):
+    """Lines that share hot words and match nothing meet under tuples of words; the result is that of comparing all."""
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(25)]
+    line = lambda: " ".join(rng.sample(words, rng.choice([4, 5, 6, 6, 6, 9, 12])))
+    docs = [(d, "\n".join(line() for _ in range(40))) for d in range(30)]
+    want = {i: n for i, n in line_dedup.brute_force(docs).items() if n}
+    for name, value in (("PAIRS", 10), ("LONG", 4), ("LEAD", 2)):
+        monkeypatch.setattr(line_dedup, name, value)
+    monkeypatch.setattr(line_dedup, "_pairer", _low_limit(line_dedup._pairer))
+    used, inner = [], line_dedup._in_tuples
+    monkeypatch.setattr(line_dedup, "_in_tuples", lambda *a: used.append(1) or inner(*a))
+    got = line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, []).append(r.line_no)
+    assert {i: sorted(n) for i, n in found.items()} == want and sum(map(len, want.values())) > 20 and used
+
+
+def _low_limit(pairer):
+    """Workers import the module anew: the limit goes with the function."""
+
+    def made(num, den):
+        pair = pairer(num, den)
+
+        def low(batches):
+            line_dedup.LONG = 4
+            yield from pair(batches)
+
+        return low
+
+    return made
