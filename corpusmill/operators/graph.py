@@ -42,10 +42,80 @@ def trimmed(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return now
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(length, cycle) of all simple cycles of up to `longest` nodes, each written from its smallest node on."""
-    e = trimmed(edges)
-    out = e.where("src = dst").select(F.lit(1).alias("length"), F.array("src").alias("nodes"))
+def _highest(edges: DataFrame) -> DataFrame:
+    """(node, top): the largest node from which each node can be reached, itself included.
+
+    Each round takes the largest top of the nodes before, and that of an ancestor twice as far as in the round before; so a long chain takes
+    as many rounds as its length has binary digits.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    before = edges.groupBy(F.col("dst").alias("node")).agg(F.max("src").alias("far"))
+    now = kept(nodes.join(before, "node", "left").select("node", F.col("node").alias("top"), F.coalesce("far", "node").alias("far"), F.lit(True).alias("moved")), "tops")
+    while not now.where("moved").isEmpty():
+        near = edges.join(now.select(F.col("node").alias("src"), "top"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("top").alias("near"))
+        jump = now.select(F.col("node").alias("far"), F.col("top").alias("far_top"), F.col("far").alias("farther"))
+        top = F.greatest("top", "near", "far_top")  # nulls are passed over
+        now = kept(now.join(near, "node", "left").join(jump, "far").select("node", top.alias("top"), F.col("farther").alias("far"), (top != F.col("top")).alias("moved")), "tops")
+    return now.select("node", "top")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that lie on a cycle of two nodes or more; component is its largest node.
+
+    Forward and backward colouring: nodes with the same largest ancestor form a class, components never cross classes, and those nodes of a class that reach
+    that ancestor are its component. What is left of each class goes into the next round, without nodes that nothing enters or leaves.
+    """
+    rest, out = trimmed(edges.where("src <> dst")), None
+    while not rest.isEmpty():
+        colour = kept(_highest(rest), "colours")
+        side = lambda c: colour.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
+        inside = kept(rest.join(side("src"), "src").join(side("dst"), "dst").where("src_top = dst_top").select("src", "dst"), "classes")
+        back = _highest(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = kept(colour.join(back.withColumnRenamed("top", "low"), "node").where("top = low").select("node", F.col("top").alias("component")), "components")
+        found = found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "component", "left_semi").select("node", "component")
+        out = found if out is None else out.union(found)
+        left = lambda df, c: df.join(found.select(F.col("node").alias(c)), c, "left_anti")
+        rest = trimmed(left(left(inside, "src"), "dst").select("src", "dst"))
+    return out if out is not None else edges.where("false").select(F.col("src").alias("node"), F.col("src").alias("component"))
+
+
+def _within(edges: DataFrame) -> DataFrame:
+    """(component, src, dst): the edges inside strong components."""
+    c = strong_components(edges)
+    side = lambda n: c.select(F.col("node").alias(n), F.col("component").alias(f"{n}_c"))
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    return kept(e.join(side("src"), "src").join(side("dst"), "dst").where("src_c = dst_c").select(F.col("src_c").alias("component"), "src", "dst"), "inside")
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """(component, nodes, edges, ring) of the strong components of two nodes or more; a ring has as many edges as nodes and is one cycle."""
+    out = _within(edges).groupBy("component").agg(F.countDistinct("src").alias("nodes"), F.count(F.lit(1)).alias("edges"))
+    return out.withColumn("ring", F.col("nodes") == F.col("edges"))
+
+
+def rings(edges: DataFrame) -> DataFrame:
+    """(length, cycle) of the components that are one cycle, of any length, written from its smallest node on.
+
+    A node's place is found by doubling: each round adds up the steps to a node twice as far ahead.
+    """
+    inside = _within(edges)
+    sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("src").alias("n"), F.min("src").alias("first")).where("m = n")
+    ring = inside.join(sizes.select("component", "first"), "component")
+    now = kept(ring.select("component", "first", F.col("src").alias("node"), F.when(F.col("dst") != F.col("first"), F.col("dst")).alias("ahead"), F.lit(0).alias("steps")).withColumn("steps", F.when(F.col("ahead").isNull(), 0).otherwise(1)), "rings")
+    while not now.where("ahead is not null").isEmpty():
+        far = now.select(F.col("node").alias("ahead"), F.col("ahead").alias("farther"), F.col("steps").alias("more"))
+        now = kept(now.join(far, "ahead", "left").select("component", "first", "node", F.col("farther").alias("ahead"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "rings")
+    places = now.groupBy("component").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("place"), "node"))).alias("nodes"))  # one row a cycle, as long as the cycle
+    return places.select(F.size("nodes").alias("length"), F.array_join(F.col("nodes.node"), " -> ").alias("cycle"))
+
+
+def cycles(edges: DataFrame, longest: int = 4, exact: bool = False) -> DataFrame:
+    """(length, cycle) of all simple cycles of up to `longest` nodes, each written from its smallest node on; see `rings` for cycles of any length.
+
+    `exact`: follow paths inside strong components only, which pays where `longest` is large; else the graph is only trimmed.
+    """
+    out = edges.where("src = dst").select("src").distinct().select(F.lit(1).alias("length"), F.array("src").alias("nodes"))
+    e = _within(edges).select("src", "dst") if exact else trimmed(edges)
     paths = e.where("src < dst").select(F.array("src", "dst").alias("nodes"))
     for length in range(2, longest + 1):
         first, last = F.get("nodes", F.lit(0)), F.element_at("nodes", -1)

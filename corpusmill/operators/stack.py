@@ -69,14 +69,39 @@ def overridden(builtin: DataFrame, rules: DataFrame) -> DataFrame:
     return builtin.join(rules.select("tech").distinct(), "tech", "left_anti").unionByName(rules)
 
 
+def _filed(glob: str) -> list[str]:
+    """Under what names of files a glob is looked up: `n:` an exact name, `e:` the extensions of its last part, or "" for any file."""
+    name = glob.rsplit("/", 1)[-1]
+    if name and not set(name) & set("*?{["):
+        return [f"n:{name}"]
+    tail = name.rsplit(".", 1)[-1] if "." in name else ""
+    choices = tail[1:-1].split(",") if tail[:1] == "{" and tail[-1:] == "}" else [tail]
+    return [f"e:{c}" for c in choices] if all(c and not set(c) & set("*?{}[],") for c in choices) and not set(name.rsplit(".", 1)[0]) & set("{}") else [""]
+
+
 def detected(files: DataFrame, markers: Sequence[Marker]) -> DataFrame:
-    """(project, category, name, confidence, n_evidence, first_evidence): markers tried against each file in one pass, as literal conditions."""
-    hit = lambda m: F.col("path").rlike(glob_regex(m[2])) & (F.contains("content", F.lit(m[3])) if m[3] else F.lit(True))
-    found = F.array(*[F.when(hit(m), F.struct(F.lit(m[0]).alias("name"), F.lit(m[1]).alias("category"), F.lit(-list(CONFIDENCE).index(m[4])).alias("c"))) for m in markers])
-    each = files.select("project", "path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("m"))
+    """(project, category, name, confidence, n_evidence, first_evidence) of the technologies whose markers fit a project's files.
+
+    Markers are filed by exact name or extension; a file looks up its own, and only these are tried, so a catalogue may be long. One pass, no join.
+    """
+    index: dict[str, list[int]] = {}
+    for i, m in enumerate(markers):
+        for key in _filed(m[2]):
+            index.setdefault(key, []).append(i)
+    if not markers:
+        index = {"": []}
+    filed = F.map_from_arrays(F.lit(list(index)), F.array(*[F.lit(v) if v else F.array().cast("array<int>") for v in index.values()]))
+    name = F.element_at(F.split("path", "/"), -1)
+    mine = lambda key: F.coalesce(F.try_element_at(filed, key), F.array().cast("array<int>"))
+    candidates = F.concat(mine(F.concat(F.lit("n:"), name)), mine(F.concat(F.lit("e:"), F.element_at(F.split(name, r"\."), -1))), mine(F.lit("")))
+    pick = lambda values, i: F.element_at(F.lit(list(values) or [""]), i + 1)
+    fits = lambda i: F.rlike(F.col("path"), pick((glob_regex(m[2]) for m in markers), i)) & F.contains(F.coalesce("content", F.lit("")), pick((m[3] for m in markers), i))
+    found = files.select("project", "path", F.explode(F.filter(candidates, fits)).alias("i"))
+    c = F.element_at(F.lit([list(CONFIDENCE).index(m[4]) for m in markers] or [0]), F.col("i") + 1)
+    each = found.select("project", "path", pick((m[0] for m in markers), F.col("i")).alias("name"), pick((m[1] for m in markers), F.col("i")).alias("category"), c.alias("c"))
     names = F.array(*[F.lit(c) for c in CONFIDENCE])
-    out = each.groupBy("project", "m.category", "m.name").agg(F.max("m.c").alias("c"), F.count(F.lit(1)).alias("n_evidence"), F.min("path").alias("first_evidence"))
-    return out.select("project", "category", "name", F.get(names, -F.col("c")).alias("confidence"), "n_evidence", "first_evidence")
+    out = each.groupBy("project", "category", "name").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n_evidence"), F.min("path").alias("first_evidence"))
+    return out.select("project", "category", "name", F.get(names, F.col("c")).alias("confidence"), "n_evidence", "first_evidence")
 
 
 def fast(markers: Sequence[Marker]) -> list[Marker]:

@@ -48,6 +48,22 @@ def _(spark, sf):
     return G.cycles(edges(spark, sf))
 
 
+_REACH = f"RECURSIVE e AS ({EDGES}), r(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), c AS (SELECT x.a AS node, max(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+
+
+@query("cycle_components", f"WITH {_REACH}, i AS (SELECT s.component, src FROM e JOIN c s ON s.node = src JOIN c d ON d.node = dst AND d.component = s.component WHERE src <> dst) SELECT component, count(DISTINCT src)::BIGINT AS nodes, count(*)::BIGINT AS edges, count(DISTINCT src) = count(*) AS ring FROM i GROUP BY component")
+def _(spark, sf):
+    return G.component_sizes(edges(spark, sf))
+
+
+_NEXT = "SELECT concat('o', o_orderkey) AS src, concat('o', coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey))) AS dst, o_custkey FROM orders"
+
+
+@query("cycle_rings", "WITH n AS (SELECT o_custkey, list(concat('o', o_orderkey) ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey), m AS (SELECT x, list_position(x, list_min(x))::INTEGER AS i FROM n WHERE len(x) > 1) SELECT len(x)::INTEGER AS length, array_to_string(list_concat(x[i:], x[1:i - 1]), ' -> ') AS cycle FROM m")
+def _(spark, sf):
+    return G.rings(role(spark, sf, _NEXT).select("src", "dst"))
+
+
 @query("unused", f"WITH e AS ({EDGES}) SELECT 'function' AS kind, concat('n', c_custkey) AS name FROM customer WHERE concat('n', c_custkey) NOT IN (SELECT dst FROM e)")
 def _(spark, sf):
     return G.unused(role(spark, sf, "SELECT 'function' AS kind, concat('n', c_custkey) AS name FROM customer"), edges(spark, sf))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import deduce as U, deps as V, routes as R, stack as S
 from ..operators.scan import lines
+from ..sources import files as files_of
 from .base import FILES, FINDINGS, query, role
-from .scans import LINES
+from .scans import LINES, written
 
 _V = "concat(p_size, '.', p_partkey % 10, '.0')"
 _P = "concat('p', p_partkey) AS project"
@@ -87,6 +88,21 @@ def _(spark, sf):
     return S.load_markers(marker_rules(spark, sf))
 
 
+@query("marker_files", f"SELECT tech, category, r.\"glob\", coalesce(search, '') AS search, 'medium' AS confidence FROM ({_RULES}) r WHERE category <> 'nope'")
+def _(spark, sf):
+    path = written(marker_rules(spark, sf).withColumn("pos", F.col("tech")), spark, "markers")
+    return S.load_markers(files_of.marker_files(spark, path, ("txt",)))
+
+
+_ADVISORIES = "SELECT p_partkey AS pos, concat('pkg', p_partkey) AS package, 'npm' AS ecosystem, concat('<', p_size, '.0') AS r1, concat('>=', p_size + 1, '.0,<', p_size + 2) AS r2, 'high' AS severity FROM part"
+
+
+@query("advisory_files", f"WITH a AS ({_ADVISORIES}) SELECT package, ecosystem, r1 AS range, severity FROM a UNION ALL SELECT package, ecosystem, r2, severity FROM a")
+def _(spark, sf):
+    rows = role(spark, sf, _ADVISORIES).select("pos", "package", "ecosystem", F.array("r1", "r2").alias("vulnerable_versions"), "severity")
+    return files_of.advisory_files(spark, written(rows, spark, "advisories"), ("txt",)).select("package", "ecosystem", "range", "severity")
+
+
 @query("marker_override", f"WITH r AS (SELECT tech, category, \"glob\", coalesce(search, '') AS search, 'medium' AS confidence FROM ({_RULES}) r WHERE category <> 'nope'), b AS (SELECT concat('t', n_nationkey) AS tech, 'build' AS category, 'x' AS glob, '' AS search, 'high' AS confidence FROM nation) SELECT * FROM r UNION ALL SELECT * FROM b WHERE tech NOT IN (SELECT tech FROM r)")
 def _(spark, sf):
     built_in = role(spark, sf, "SELECT concat('t', n_nationkey) AS tech, 'build' AS category, 'x' AS glob, '' AS search, 'high' AS confidence FROM nation")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import findings as O, rules as R, scan as S
+from ..sources import files as files_of
+from ..sources.shared import folder
 from .base import FILES, FINDINGS, RULES, SESSIONS, query, role, values
 
 # The library's own small rule set; words and shapes that occur in ordinary text.
@@ -213,6 +215,30 @@ def _(spark, sf):
     return R.load(role(spark, sf, _TWICE)).select("id", "name", "severity")
 
 
+def written(rows, spark, name):
+    """Rows as entries of YAML lists, in files whose names sort as `pos` does."""
+    path = folder(spark, name)
+    entry = F.concat(F.lit("- "), F.to_json(F.struct(*[c for c in rows.columns if c != "pos"])))
+    rows.repartitionByRange(4, "pos").sortWithinPartitions("pos").select(entry.alias("value")).write.text(path)
+    return path
+
+
+@query("rule_files", f"WITH r AS ({_TWICE}) SELECT id, name AS title, severity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS n FROM r WHERE {_ERRORS} = '') WHERE n = 1")
+def _(spark, sf):
+    path = written(role(spark, sf, _TWICE).withColumnRenamed("name", "title"), spark, "rules")
+    return files_of.rules(spark, path, ("txt",)).select("id", "title", "severity")
+
+
+@query("corpus_walk", f"WITH f AS ({FILES}) SELECT project, sum(strlen(content) + 1)::BIGINT AS size, sum(len(string_split(content, chr(10))))::BIGINT AS lines FROM f WHERE project <> 'src3' GROUP BY project")
+def _(spark, sf):
+    path = folder(spark, "tree")
+    files(spark, sf).select("project", F.col("content").alias("value")).write.partitionBy("project").text(path)
+    tree = files_of.walk(spark, path, ignored=("project=src3",), globs=("*.txt",))
+    by = F.regexp_extract("path", "project=([^/]+)", 1)
+    ends = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    return tree.groupBy(by.alias("project")).agg(F.sum("size").alias("size"), F.sum(ends).cast("long").alias("lines"))
+
+
 @query("rule_filter", f"WITH r AS ({RULES}) SELECT id FROM r WHERE category IN ('security', 'testing') AND scan_language IN ('go', 'python') AND severity IN ('high', 'low', 'critical') AND confidence IN ('medium', 'high')")
 def _(spark, sf):
     return R.filtered(rules(spark, sf), ("security", "testing"), ("go", "python"), ("high", "low", "critical"), "medium").select("id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_folded, tokens
 from ..operators import docs as D, intent as I, search as X
 from ..sources import store
+from ..sources.shared import folder
 from .base import DOCS, FILES, MESSAGES, query, role
 from .scans import LINES
 
@@ -90,6 +90,15 @@ def _(spark, sf):
     return X.top(docs(spark, sf), scores(spark, sf), 50).select("id", "score")
 
 
+@query("bm25_indexed", f"WITH {DUCK}, {_TERMS}, {_SCORES} SELECT id, round(score, 3) AS score FROM sc")
+def _(spark, sf):
+    name = f"corpus_{uuid.uuid4().hex}"
+    base = role(spark, sf, BASE)
+    X.index_documents(base.where("id % 3 > 0"), F.col("summary"), name)
+    X.index_documents(base.where("id % 3 = 0"), F.col("summary"), name)
+    return X.index_searched(spark, name, QUERY).select("id", F.round("score", 3).alias("score"))
+
+
 @query("bm25_faceted", f"WITH {DUCK}, {_TERMS}, {_SCORES} SELECT id, round(score, 3) AS score FROM sc JOIN docs USING (id) WHERE lang IN ('en', 'fr') AND status = 'completed' ORDER BY sc.score DESC, saved_at DESC, id LIMIT 10")
 def _(spark, sf):
     return X.top(X.faceted(docs(spark, sf), [" EN ", "fr"], "Completed"), scores(spark, sf), 10).select("id", "score")
@@ -298,14 +307,9 @@ def _(spark, sf):
     return d.select("id", F.md5(D.markdown(d)).alias("md"))
 
 
-def _folder(spark, name):
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("sink_json_roundtrip", f"WITH {DUCK} SELECT id, status, md5(summary) AS summary, lang FROM docs")
 def _(spark, sf):
-    path = _folder(spark, "json")
+    path = folder(spark, "json")
     store.write_json(docs(spark, sf).select("id", "status", "summary", "lang"), path, "lang")
     store.write_json(docs(spark, sf).where("lang = 'de'").select("id", "status", "summary", "lang"), path, "lang")
     return spark.read.schema("id long, status string, summary string, lang string").json(path).select("id", "status", F.md5("summary").alias("summary"), "lang")
@@ -313,7 +317,7 @@ def _(spark, sf):
 
 @query("docs_from_json", f"WITH {DUCK} SELECT id, status FROM docs WHERE id % 3 > 0")
 def _(spark, sf):
-    path = _folder(spark, "texts")
+    path = folder(spark, "texts")
     rows = docs(spark, sf).select(F.when(F.col("id") % 3 == 0, F.lit('{"id": oops')).otherwise(F.to_json(F.struct("id", "status"))).alias("value"))
     rows.write.text(path)
     return store.read_json(spark, path, "id long, status string")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.rules import SEVERITIES
+from ..operators.scan import Rule, batch, lines
 from ..sources.shared import folder
 
 TTL = 300
@@ -271,3 +272,19 @@ def closeout_stream(events: DataFrame, by: str = "user_id", gap_s: int = 1800) -
 def scan_stream(files: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stateless scan finds in arriving files."""
     return drained(scan(files), "scan")
+
+
+def scan_changing(files: DataFrame, rules: Callable[[], Sequence[Rule]], name: str = "scans", at: str | None = None) -> DataFrame:
+    """What the rules find in arriving files, with the number of the batch: `rules` is read anew before each batch, so a rule counts from the batch after it was added.
+
+    A batch that is run again replaces its own rows. `at`: a folder that keeps rows and state, see `drained`.
+    """
+    spark = files.sparkSession
+    at = at or folder(spark, name)
+
+    def one(df: DataFrame, number: int) -> None:
+        batch(lines(df), rules()).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    files.writeStream.foreachBatch(one).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = batch(lines(spark.createDataFrame([], files.schema)), []).schema
+    return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, batch int").parquet(f"{at}/rows")
