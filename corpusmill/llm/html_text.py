@@ -3,8 +3,9 @@
 A small tree is built from Python's HTML parser. Blocks with text of their own (paragraphs) give points for their
 length and commas to their parent, half to its parent and less further up. A container's points are discounted by its link
 density. The best container is kept whole, with all that stands beside it or its ancestors, up to the outermost article or main that it
-lies in and its siblings, or else up to the page; only what is mostly links is dropped there. Parts that are never article text
-(menus, adverts, forms and so on) are cut off first: by element and role, and by names that say nothing else and hold no article.
+lies in and its siblings, or else up to the page; outside that article, what is mostly links is dropped. Parts that are never article text
+(menus, adverts, forms and so on) are cut off first: by element and role, and by names that say nothing else and hold no article. Inside an article
+only the names of adverts, comments, menus and the like count. A form around the page's paragraphs is no form.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body figcaption h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td blockquote html".split())
 CLOSES_P = BLOCKS - frozenset("html body caption tbody thead tfoot tr td th legend".split())
+WRITTEN = frozenset("p pre blockquote h1 h2 article main".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tr", "td", "th", "tbody", "thead", "tfoot")}
 SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 NOISE_WORDS = frozenset(
@@ -36,6 +38,9 @@ INLINE = frozenset("p span b i em strong h1 h2 h3 blockquote pre table figure".s
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 # Words that say nothing of their own in a class name: "site-footer" is a footer, "has-sidebar" isn't a sidebar.
 PLAIN_WORDS = frozenset("site page global top bottom left right box block section wrap wrapper container area list item items inner outer bar slot unit links link button buttons icons posts post articles form main primary secondary sub panel column col row zone group id the and for google text thread message module".split())
+# Parts of a page that articles have too: inside an article these words take nothing away.
+SHARED_WORDS = frozenset("header footer foot masthead notice alert banner side search copyright widget toolbar overlay skip".split())
+_NOISE_INSIDE = NOISE_WORDS - SHARED_WORDS
 ASIDE = 0.3  #: a container with a noise word among others in its name counts so much less
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -64,14 +69,18 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]], inside_article: boo
     )
 
 
-def _by_name(node: Node, attrs: list[tuple[str, str | None]]) -> None:
-    """Judges by class and id. A name made of noise words and plain ones is noise; a noise word among others only lowers the score."""
+def _by_name(node: Node, attrs: list[tuple[str, str | None]], inside_article: bool) -> None:
+    """Judges by class and id. A name made of noise words and plain ones is noise; a noise word among others only lowers the score.
+
+    Inside an article, words that articles use for parts of their own don't count.
+    """
+    noise = _NOISE_INSIDE if inside_article else NOISE_WORDS
     for key, value in attrs:
         if key in ("class", "id") and value:
             for name in value.split():
                 words = [w.lower() for w in _WORDS.findall(name)]
-                if any(w in NOISE_WORDS for w in words):
-                    if all(w in NOISE_WORDS or w in PLAIN_WORDS for w in words) and (node.tag not in INLINE or not FIRM_WORDS.isdisjoint(words)):
+                if any(w in noise for w in words):
+                    if all(w in noise or w in PLAIN_WORDS for w in words) and (node.tag not in INLINE or not FIRM_WORDS.isdisjoint(words)):
                         node.noise = node.named = True
                         if not COMMENT_WORDS.isdisjoint(words):
                             node.named = False
@@ -116,7 +125,7 @@ class _Tree(HTMLParser):
             return
         node = Node(tag, self.at, _is_noise(tag, attrs, bool(self.open["article"] or self.open["main"])))
         if not node.noise and tag not in ("html", "body", "main"):
-            _by_name(node, attrs)
+            _by_name(node, attrs, bool(self.open["article"] or self.open["main"]))
         if tag in ("article", "main") and not node.noise:
             up = self.at
             while up is not None and not up.around:  # names don't take away what holds an article
@@ -144,9 +153,31 @@ def _parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _unwrap_forms(tree.root)
     return tree.root
 
 
+def _unwrap_forms(root: Node) -> None:
+    """A form that holds more than half of the page's text, in paragraphs or headings, is a wrapper around the page and no form."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "form" or not node.noise:
+            nodes.append(node)
+            todo.extend(k for k in node.kids if isinstance(k, Node))
+    if not any(n.tag == "form" and n.noise for n in nodes):
+        return
+    chars: dict[int, int] = {}
+    texts: dict[int, int] = {}  # paragraphs and headings
+    for node in reversed(nodes):
+        here = [k for k in node.kids if isinstance(k, Node) and id(k) in chars]
+        chars[id(node)] = sum(len(k.strip()) for k in node.kids if isinstance(k, str)) + sum(chars[id(k)] for k in here)
+        texts[id(node)] = (node.tag in WRITTEN) + sum(texts[id(k)] for k in here)
+    for node in nodes:
+        if node.tag == "form" and 2 * chars[id(node)] > chars[id(root)] and texts[id(node)] > 1:
+            node.noise = False
+
+
 def _in_order(root: Node) -> list[Node]:
     """Nodes that aren't noise, parents first; without recursion, as pages may nest deeply."""
     out, todo = [], [root]
@@ -220,7 +251,7 @@ def _blocks(node: Node) -> Iterator[str]:
 
 
 def _around(best: Node) -> Node:
-    """The node whose text is the article; takes from it what is mostly links beside the best container and its ancestors."""
+    """The node whose text is the article; takes from it what is mostly links beside the best container and its ancestors, but not inside an article."""
     path, top = [best], None
     while path[-1].parent is not None:
         if path[-1].tag in ("article", "main"):
@@ -228,7 +259,7 @@ def _around(best: Node) -> Node:
         path.append(path[-1].parent)
     if top is not None:
         path = path[: top + 1]
-    for node, own in zip(path[1:], path, strict=False):
+    for node, own in list(zip(path[1:], path, strict=False))[max(0, (top or 1) - 1) :]:
         kids: list[Node | str] = []
         run: list[Node | str] = []
         for k in [*node.kids, None]:
