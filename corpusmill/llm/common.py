@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,6 +45,13 @@ def deleted(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied() -> None:
+    """Gives back to the system what a Python worker has freed; workers live on after a task and would keep it from the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to differ from all columns of `df`."""
     taken, out = {c.lower() for c in df.columns}, []

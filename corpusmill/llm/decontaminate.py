@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import alnum_words, ascii_lower, free, named, saved
+from .common import alnum_words, ascii_lower, free, named, saved, tidied
 
 TABLE_BITS = 18
 SEGMENT = 512
@@ -121,6 +121,7 @@ def _searcher(items: Broadcast, size: int):
         for s in batches:
             got = [scan(index, s.iloc[i : i + GROUP].tolist()) for i in range(0, len(s), GROUP)]
             yield pd.DataFrame([(n, sorted(h), sorted(i)) for part in got for n, h, i in part], columns=["n_words", "hits", "items"])
+        tidied()
 
     return F.pandas_udf(found, _FOUND)
 

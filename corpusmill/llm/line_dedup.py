@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import deleted, free, saved
+from .common import deleted, free, saved, tidied
 from .words import BLANK, LOWERED as _LOW, between, cut, hashes, runs
 
 COUNTERS = 22
@@ -149,6 +149,7 @@ def _scanner(id_type: pa.DataType):
             if part.any():
                 none = [pa.nulls(1, schema.types[i]) for i in range(6)]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([chunk], pa.int32()), pa.array([np.minimum(part, TOP).astype("<u2").tobytes()], pa.binary())], schema=schema)
+        tidied()
 
     return lines
 
@@ -215,6 +216,7 @@ def _filer(rarity: Broadcast, buckets: int, num: int, den: int):
                 held, many = [], 0
         if held:
             yield packed(held)
+        tidied()
 
     return file
 
@@ -283,6 +285,7 @@ def _pairer(num: int, den: int):
             last = bucket[-1]
         if count:
             yield from settle(np.concatenate(held))
+        tidied()
 
     return pair
 
@@ -303,6 +306,7 @@ def _fetcher(wanted: Broadcast):
             part = (words >> np.uint64(6)) & np.uint64(3)
             sigs = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), np.cumsum(n) - n).view(np.int64) if len(n) else np.zeros(0, np.int64) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n.astype(np.int32)), *[pa.array(x) for x in sigs]], names=["id", "words", "n", *_SIGS])
+        tidied()
 
     return fetch
 
@@ -321,6 +325,7 @@ def _alike(num: int, den: int):
                 same = key[1:][key[1:] == key[:-1]]
                 shared[part] = np.bincount((same >> np.uint64(48)).astype(np.int64), minlength=len(shared[part]))
             yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(den * shared >= num * (x[0] + y[0] - shared)))], names=["id"])
+        tidied()
 
     return compare
 

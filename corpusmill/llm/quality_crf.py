@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import tidied
+
 SAMPLE = 3000  #: labelled documents the field is fitted on, at most
 SAMPLE_LINES = 256  #: lines of each of these, from a place chosen by the text's length
 ROUNDS = 120
@@ -175,6 +177,7 @@ def quality(text: Column, model: dict) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([v for i in range(0, len(s), GROUP) for v in scores(model, s.iloc[i : i + GROUP].tolist())], dtype="float64")
+        tidied()
 
     return F.pandas_udf(scored, T.DoubleType())(text)
 

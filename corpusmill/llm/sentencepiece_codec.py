@@ -27,6 +27,8 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .common import tidied
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 GROUP = 512  #: documents whose words are sorted together
@@ -264,7 +266,7 @@ def encoded(docs: DataFrame, model: Broadcast, *, text: str = "text", ids: str |
                     out.append(pa.array([None if x is None else np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64) for x in found], pa.int64()))
                     out.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *out], names=[*rows.schema.names, *[f.name for f in added]])
-        pa.default_memory_pool().release_unused()
+        tidied()
 
     return kept.mapInArrow(encode, T.StructType([*kept.schema.fields, *added]))
 

@@ -19,7 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import LOWER, UPPER, free, saved
+from .common import LOWER, UPPER, free, saved, tidied
 from .components import components
 
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -54,6 +54,7 @@ def fingerprint(text: str | None, n: int = 3) -> int:
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield pd.Series(np.array([fingerprint(t) for t in s], dtype=np.uint64).astype(np.int64))
+    tidied()
 
 
 def fingerprints(text: Column) -> Column:
