@@ -151,6 +151,13 @@ def _(spark, sf):
     return X.duplicate_blocks(lines(role(spark, sf, FILES)), 3)
 
 
+@query("near_dup_blocks")
+def _(spark, sf):
+    from ..operators.scan import lines
+
+    return X.near_duplicate_blocks(lines(role(spark, sf, FILES)), 3, 0.7, n=None)
+
+
 @query("near_dup_docs", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
  g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS g FROM w, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
  s AS (SELECT doc_id, list_sort(list(g)) AS s FROM g GROUP BY doc_id), k AS (SELECT min(doc_id) AS k, s, len(s) AS n FROM s GROUP BY s),
