@@ -15,9 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import LOWER, UPPER, free, saved, tidied
 from .components import components
@@ -50,10 +50,10 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * total > count))
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in s], dtype=np.uint64).astype(np.int64))
+@F.arrow_udf(T.LongType())
+def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:  # one text at a time is a Python string
+        yield pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))
     tidied()
 
 
@@ -100,9 +100,8 @@ def links(fps: DataFrame, bits: int = 2, pair_limit: int = 64) -> DataFrame:
     """
     if bits != 2:
         pair_limit = 1 << 60
-    filed = _filed(fps, bits)
-    counts = filed.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = saved(filed.join(counts, ["slot", "part"]), "met")
+    here = Window.partitionBy("slot", "part")  # nearly all keys differ, so counting first and joining back only shuffles all of them twice
+    met = saved(_filed(fps, bits).withColumn("n", F.count(F.lit(1)).over(here)).where("n > 1"), "met")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     lone = met.where("n = 2").groupBy("slot", "part").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where(near).select("a", "b")
     some = met.where(F.col("n").between(3, pair_limit)).select("slot", "part", "fp")
