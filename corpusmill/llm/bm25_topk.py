@@ -1,4 +1,7 @@
-"""Exact BM25 top-k search: an inverted index per shard, block-max WAND pruning, and an exact merge.
+"""Exact BM25 top-k search: an inverted index per shard, pruning by pivot and block maxima, and an exact merge.
+
+Block-max WAND moves a cursor for each term from document to document, with a pivot found anew at each. Cursors that step in Python took far longer than
+scoring everything, so its two bounds are used on whole lists here, in NumPy: a pivot once for each query and shard (as in MaxScore), and block maxima for each candidate.
 
 Each task takes its documents in shards of about `SHARD_POSTINGS` postings, and holds one shard's inverted index at a time: for
 each term the documents, their term weights and the largest one, and for frequent terms the largest weight of each block of

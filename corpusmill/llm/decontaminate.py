@@ -126,7 +126,7 @@ def _searcher(items: Broadcast, size: int):
     return F.pandas_udf(found, _FOUND)
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, max_words: int = 2_000_000, found: str = "found") -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, max_words: int = 500_000, found: str = "found") -> DataFrame:
     """`docs` with a column (`found`, or of that name): struct of `n_words`, `hits` (sorted positions of hit words), `items` (sorted ids as strings).
 
     A window is `size` consecutive words of an item, or all words of an item with fewer. A null or empty text has no

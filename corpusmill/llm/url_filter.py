@@ -2,9 +2,9 @@
 
 A rule is a pattern over host and path: `||` starts at the host or at any subdomain's dot, `|` at the very start or end,
 `*` is any run and `^` a separator. Its literal tokens are the runs of letters and digits that can't be longer in a
-matching URL. The rule is filed under the one token of them that fewest URLs have. The tokens of each
+matching URL; of a run that goes on in a `*` its first BEGIN letters count. The rule is filed under the one token of them that fewest URLs have. The tokens of each
 distinct URL fetch rules by an equality join, and only for these pairs is the rule's regular expression run.
-Rules without a whole token are filed under the empty token, which every URL has.
+Only rules without any token are filed under the empty token, which every URL then has.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .common import ascii_lower, free
 
 _SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|\z)"
 _TOKEN = r"[A-Za-z0-9]+"
+BEGIN = 4  #: letters by which tokens that go on are looked up
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ def regex(pattern: str) -> str:
 
 
 def tokens(pattern: str) -> list[str]:
-    """Runs of letters and digits with a literal other character, a separator or an anchor on both sides."""
+    """Runs of letters and digits with a literal other character, a separator or an anchor on both sides; of those that go on in a `*`, how they begin."""
     anchored = pattern.startswith("|")
     body = pattern.lstrip("|") if anchored else pattern
     last = body.endswith("|")
@@ -68,6 +69,8 @@ def tokens(pattern: str) -> list[str]:
         right = m.end() == len(body) and last or m.end() < len(body) and body[m.end()] != "*"
         if left and right:
             found.append(m[0])
+        elif left and len(m[0]) >= BEGIN and m.end() < len(body):
+            found.append(f"{m[0][:BEGIN]}*")
     return list(dict.fromkeys(found))
 
 
@@ -94,7 +97,13 @@ def filtered(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", gener
     rest = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     target = F.concat("host", "path")
     urls = rest.select(target.alias("target")).where("target <> ''").distinct()
-    met = urls.select("target", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("target", F.lit(_TOKEN), 0)))).alias("token"))
+    found = F.regexp_extract_all("target", F.lit(_TOKEN), 0)
+    keys = [found]
+    if any(t.endswith("*") for *_, asked, _ in listed for t in asked):
+        keys.append(F.transform(F.filter(found, lambda t: F.length(t) >= BEGIN), lambda t: F.concat(F.substring(t, 1, BEGIN), F.lit("*"))))
+    if not all(asked for *_, asked, _ in listed):
+        keys.append(F.array(F.lit("")))
+    met = urls.select("target", F.explode(F.array_distinct(F.concat(*keys))).alias("token"))
     asked = table.select("id", F.explode("tokens").alias("token"))
     often = met.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     rarest = asked.join(often, "token", "left").groupBy("id").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))

@@ -80,3 +80,11 @@ def test_stages_take_any_rows(spark, tmp_path, stage):
     assert 0 < out.count() <= docs.count()
     empty = f(spark, docs.limit(0), str(tmp_path))
     assert empty.collect() == [] and empty.columns == out.columns
+
+
+def test_a_rule_whose_only_token_goes_on_is_found_by_its_beginning(spark):
+    assert url_filter.tokens("||casino*^") == ["casi*"] and url_filter.tokens("||cas*^") == [] and url_filter.tokens("/ads/banner*x") == ["ads", "bann*"]
+    urls = ["http://www.casinoroyal.net/x", "http://casino/", "http://a.b/casino/", "http://mycasino.com/", "http://cas.com/"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: r.verdict for r in url_filter.filtered(pages, [], general=[url_filter.Rule("||casino*^"), url_filter.Rule("||xyz*q")]).collect()}
+    assert [got[u] for u in urls] == ["block", "block", "allow", "allow", "allow"]
