@@ -58,3 +58,74 @@ def test_texts_that_a_template_confirms_pass_the_test_of_words(spark):
     out = df.withColumn("known", F.array_intersect("w", F.lit(known))).select((shares >= licenses.CONFIRM).alias("confirmed"), licenses._may_confirm(F.col("known"), licenses.TEMPLATES, licenses.CONFIRM).alias("may")).collect()
     assert sum(r.confirmed for r in out) > 50 and not all(r.may for r in out)
     assert all(r.may for r in out if r.confirmed)
+
+
+def brute(model, docs, hashed, confirm=licenses.CONFIRM):
+    """The rows of `scanned` in plain Python: every window of every line and of every block of lines, scored with the model's coefficients."""
+    import math
+
+    matrix, intercept = model.classifier.coefficientMatrix.toArray(), model.classifier.interceptVector.toArray()
+    half, size = licenses.MAX_WORDS // 2, licenses.MAX_WORDS
+    words_of = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.lower())
+    starts = lambda n: [0] if n <= size else range(0, n - half, half)
+
+    def judge(words):
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        at = sorted({hashed(g) for g in words + pairs})
+        s = matrix[:, at].sum(axis=1) + intercept
+        p = 1 / (1 + math.exp(-(model.slope * (s[1:].max() - s[0]) + model.offset)))
+        family = model.families[1 + int(s[1:].argmax())]
+        own = set(pairs or words)
+        return p, family, max(len(own & set(licenses._template_pairs(t))) / len(licenses._template_pairs(t)) for t in licenses.TEMPLATES[family])
+
+    out = set()
+    for doc_id, text in docs:
+        blocks, now = [], []
+        for no, line in enumerate((text or "").split("\n")):
+            if not line.strip(" \t\r\f\x0b"):
+                blocks.append(now)
+                now = []
+            elif words_of(line):
+                now.append((no, words_of(line)))
+        for block in [*blocks, now]:
+            windows = [(no, no, w[s : s + size]) for no, w in block for s in starts(len(w))]
+            if len(block) > 1:
+                flat = [(no, x) for no, w in block for x in w]
+                joined = [flat[s : s + size] for s in starts(len(flat))]
+                windows += [(x[0][0], x[-1][0], [w for _, w in x]) for x in joined if x[0][0] < x[-1][0]]
+            best = {}
+            for first, last, words in windows:
+                p, family, similarity = judge(words)
+                if p >= 0.5:
+                    old = best.get((family, first, last), (0, 0))
+                    best[family, first, last] = (max(old[0], p), max(old[1], similarity))
+            for family in {k[0] for k in best}:
+                mine = sorted((first, last, *v) for (f, first, last), v in best.items() if f == family)
+                lone = [x for x in mine if x[0] == x[1]]
+                some = [x for x in mine if x[0] < x[1] and x[3] >= confirm and not any(o[3] >= confirm and x[0] <= o[0] <= x[1] for o in lone)]
+                some = [x for i, x in enumerate(some) if i == 0 or some[i - 1][1] < x[0]]
+                for x in [o for o in lone if o[3] >= confirm or not any(s[0] <= o[0] <= s[1] for s in some)] + some:
+                    out.add((doc_id, x[0], family, round(x[2], 6), round(x[3], 6), family if x[3] >= confirm else licenses.UNKNOWN))
+    return out
+
+
+def test_scans_equal_a_scan_in_plain_python(spark):
+    from functools import cache
+
+    from pyspark.ml.feature import HashingTF
+
+    rng = random.Random(8)
+    vocabulary = ["the", "tree", "runs", "license", "permission", "copyright", "granted", "work", "and", "file", "Größe", "rights"]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    wrap = lambda t, n: "\n".join("# " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    docs = [(0, None), (1, ""), (2, "\n \n\t\n"), (3, prose(300) + " " + notices[0] + " " + prose(130))]
+    for i in range(4, 44):
+        t = rng.choice(notices)
+        some = " ".join(w for w in t.split() if rng.random() < rng.choice([1, 0.8, 0.5]))
+        docs.append((i, rng.choice(["\n", "\n\n"]).join([prose(rng.randrange(1, 40)), wrap(some, rng.choice([5, 9, 500])), rng.choice([prose(9), rng.choice(notices), " "])])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = licenses.trained(df)
+    tf = HashingTF(numFeatures=licenses.FEATURES, binary=True)
+    got = {(r.doc_id, r.paragraph, r.predicted, round(r.probability, 6), round(r.similarity, 6), r.family) for r in licenses.scanned(df, model).collect()}
+    assert got == brute(model, docs, cache(tf.indexOf)) and len(got) > 30 and {r[5] for r in got} >= {licenses.UNKNOWN, "MIT"}

@@ -14,7 +14,8 @@ def texts():
     letters = "abcdefghijklmnopqrstuvwxyzäéñ ßTHE,.!?0123 \n\t▁   "
     out = ["", None, " ", "  a   b\n\n  c", "x" * 200, "日本語 テスト 😀é́", "\x00\x01 tab\tz", " " * 70, "a" + " " * 37 + "b", "the the the", "▁▁ a ▁"]
     out += ["".join(rng.choice(letters) for _ in range(rng.randrange(400))) for _ in range(200)]
-    return out + ["the quick brown fox " * 500, out[20], out[20]]
+    long = ["".join(rng.choice("abcdeé") for _ in range(20_000)), "ab" * 10_000 + " tail"]  # single words
+    return out + long + ["the quick brown fox " * 500, out[20], out[20]]
 
 
 def test_ids_are_those_of_the_library(monkeypatch):
