@@ -18,22 +18,16 @@ TTL = 300
 WATERMARK = "10 minutes"
 
 
-def ttl_dedupe(events: DataFrame, keys: Sequence[str], ts: str = "ts", ttl: int = TTL, order: str = "event_id", last: DataFrame | None = None) -> DataFrame:
+def ttl_dedupe(events: DataFrame, keys: Sequence[str], ts: str = "ts", ttl: int = TTL, order: str = "event_id") -> DataFrame:
     """Events that are `ttl` seconds or more after the last accepted event of their key.
 
     An event that comes `ttl` after any event before it is accepted whatever came before, so a key's events fall into runs and only
-    within a run the events are folded one after the other, over sorted partitions with the last accepted time as the only state. `last` (keys, last_ts): what a stream accepted before.
+    within a run the events are folded one after the other, over sorted partitions with the last accepted time as the only state.
     """
-    t = events.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-    if last is not None:
-        t = t.join(last.select(*keys, F.unix_micros("last_ts").alias("__last")), list(keys), "left")
-    else:
-        t = t.withColumn("__last", F.lit(None).cast("long"))
     w = Window.partitionBy(*keys).orderBy("__t", order)
-    gap = F.col("__t") - F.coalesce(F.lag("__t").over(w), "__last")
-    runs = t.withColumn("__new", F.coalesce(gap >= ttl * 1_000_000, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(w))
-    start = F.lag(F.lit(1)).over(w).isNull() | (F.col("__new") == 1)
-    fold = runs.select(*keys, order, "__run", "__t", start.alias("__start"), F.when(F.col("__run") == 0, F.col("__last")).alias("__from"))
+    timed = events.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
+    starts = timed.withColumn("__start", F.coalesce(F.col("__t") - F.lag("__t").over(w) >= ttl * 1_000_000, F.lit(True)))
+    fold = starts.select(*keys, order, F.sum(F.col("__start").cast("int")).over(w).alias("__run"), "__t", "__start")
     types = dict(events.dtypes)
     out = ", ".join(f"`{c}` {types[c]}" for c in [*keys, order])
     sorted_runs = fold.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__t", order)
@@ -42,15 +36,14 @@ def ttl_dedupe(events: DataFrame, keys: Sequence[str], ts: str = "ts", ttl: int
 
 
 def _folder(width: int, ttl: int):
-    """Of runs that come sorted: the first `width` columns of the accepted events; time, start of a run and time accepted before it come last."""
+    """Of runs that come sorted: the first `width` columns of the accepted events; time and start of a run come last."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             taken = []
-            for t, start, before in zip(*(batch.column(i).to_pylist() for i in range(width + 1, width + 4)), strict=True):
-                last = before if start else last
-                ok = last is None or (t is not None and t - last >= ttl)
+            for t, start in zip(*(batch.column(i).to_pylist() for i in range(width + 1, width + 3)), strict=True):
+                ok = start or last is None or (t is not None and t - last >= ttl)
                 last = t if ok else last
                 taken.append(ok)
             yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(taken, pa.bool_()))
