@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -124,7 +123,7 @@ def drained(out: DataFrame, name: str, mode: str = "append", at: str | None = No
 
 
 def _stateful(spark: SparkSession) -> None:
-    """State with timers is kept in RocksDB."""
+    """State is kept in RocksDB, out of the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -185,71 +184,18 @@ def ttl_dedupe_stream(events: DataFrame, keys: Sequence[str], name: str = "ttl",
     return drained(ttl_deduped(events, keys, ts, ttl, order), name, at=at)
 
 
-_OPEN = "start long, last long, calls long, errors long, saved boolean, " + ", ".join(f"n{i} long" for i in range(len(SEVERITIES))) + ", paths array<string>"
-_FIELDS = [f.split()[0] for f in _OPEN.split(", ")]
-
-
-class _Sessions(StatefulProcessor):
-    """A key's open sessions as a list; a session ends when the watermark is `gap` after its last event."""
-
-    def __init__(self, by: str, gap: int) -> None:
-        self.by, self.gap = by, gap
-
-    def init(self, handle) -> None:
-        self.handle, self.open = handle, handle.getListState("open", _OPEN)
-
-    def _kept(self) -> list[list]:
-        return [list(r) for r in self.open.get()] if self.open.exists() else []
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        before = self._kept()
-        parts = list(before)
-        for pdf in rows:
-            pdf = pdf.sort_values("at_micros")
-            t = pdf["at_micros"].to_numpy()
-            run = np.cumsum(np.append(0, np.diff(t) > self.gap))
-            for _, x in pdf.groupby(run):
-                said = x["severity"].value_counts()
-                parts.append([int(x["at_micros"].iloc[0]), int(x["at_micros"].iloc[-1]), len(x), int(x["is_error"].sum()), bool(x["is_saved"].any()), *[int(said.get(s, 0)) for s in SEVERITIES], sorted(set(x["path"].dropna()))])
-        now: list[list] = []
-        for s in sorted(parts, key=lambda s: s[:2]):
-            if now and s[0] - now[-1][1] <= self.gap:  # as session_window merges
-                o = now[-1]
-                now[-1] = [o[0], max(o[1], s[1]), o[2] + s[2], o[3] + s[3], o[4] or s[4], *[a + b for a, b in zip(o[5:-1], s[5:-1], strict=True)], sorted({*o[-1], *s[-1]})]
-            else:
-                now.append(s)
-        for end in {s[1] for s in before} - {s[1] for s in now}:
-            self.handle.deleteTimer(_due(end + self.gap))
-        for end in {s[1] for s in now} - {s[1] for s in before}:
-            self.handle.registerTimer(_due(end + self.gap))
-        self.open.put([tuple(s) for s in now])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        now = self._kept()
-        over = [s for s in now if s[1] + self.gap <= passed]
-        left = [tuple(s) for s in now if s[1] + self.gap > passed]
-        self.open.put(left) if left else self.open.clear()
-        yield pd.DataFrame([(key[0], *s[:-1], len(s[-1])) for s in over], columns=[self.by, *_FIELDS[:-1], "paths"])
-
-    def close(self) -> None:
-        pass
-
-
 def sessions_ended(events: DataFrame, by: str = "user_id", gap_s: int = 1800, ts: str = "ts", saved: str = "purchase") -> DataFrame:
     """The stream of sessions (by, start, end, last, calls, errors, saved, n0.., paths) that the watermark has passed by the gap: with exact numbers of distinct paths and counts per severity.
 
-    Open sessions are a list in the state of their key, merged when an event between two of them comes late, and each has a timer on event time.
-    `events` must have a watermark on `ts`, and a column `path`.
+    Spark's session windows keep open sessions in the stream's checkpoint and merge them when an event between two of them comes late; the distinct paths of
+    an open session are held as a set. `events` must have a watermark on `ts`, and a column `path`.
     """
     _stateful(events.sparkSession)
     kind = F.col("event_type")
-    flags = events.select(by, ts, F.unix_micros(ts).alias("at_micros"), F.coalesce(kind == "error", F.lit(False)).alias("is_error"), F.coalesce(kind == saved, F.lit(False)).alias("is_saved"), severity_of(kind).alias("severity"), F.col("path").alias("path"))
-    schema = f"{by} {dict(events.dtypes)[by]}, " + ", ".join(_OPEN.split(", ")[:-1]) + ", paths long"
-    out = flags.groupBy(by).transformWithStateInPandas(_Sessions(by, gap_s * 1_000_000), schema, "append", "eventTime")
-    time = lambda c: F.timestamp_micros(c)
-    return out.withColumns({"start": time(F.col("start")), "end": time(F.col("last") + gap_s * 1_000_000), "last": time(F.col("last"))})
+    counts = [F.count_if(severity_of(kind) == s).alias(f"n{i}") for i, s in enumerate(SEVERITIES)]
+    figures = [F.count(F.lit(1)).alias("calls"), F.count_if(kind == "error").alias("errors"), F.max(F.coalesce(kind == saved, F.lit(False))).alias("saved"), *counts, F.size(F.collect_set("path")).cast("long").alias("paths")]
+    out = events.groupBy(by, F.session_window(ts, f"{gap_s} seconds").alias("s")).agg(F.max(ts).alias("last"), *figures)
+    return out.select(by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "last", "calls", "errors", "saved", *[f"n{i}" for i in range(len(SEVERITIES))], "paths")
 
 
 def session_stream(events: DataFrame, by: str = "user_id", gap_s: int = 1800) -> DataFrame:

@@ -71,6 +71,13 @@ def test_closeout_and_session_streams_have_the_columns_of_their_twins(spark, tmp
     assert events.session_stream(s).columns == events.sessions(table).columns
 
 
+def test_ended_sessions_need_no_python_worker(spark, tmp_path):
+    arrive(spark, str(tmp_path / "in"), rows_of(50))
+    plan = events.sessions_ended(stream(spark, str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
+    assert "SessionWindow" in plan or "session_window" in plan
+    assert "Pandas" not in plan
+
+
 def test_error_rate_stream_equals_its_batch_twin(spark, tmp_path):
     rows = rows_of(late_s=300)
     for part in parts(rows):
