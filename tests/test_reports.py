@@ -68,3 +68,11 @@ def test_missing_broken_and_empty_reports(spark):
     got = diff.nested_diff(table([(1, '{"x":1.0,"tool":"t"}'), (2, "{broken"), (3, None), (5, "[1]")]), table([(1, '{"x":1,"tool":null}'), (2, '{"y":{"z":2}}'), (4, '{"w":3}')]))
     assert sorted((r.report_id, r.key, r.status, r.old, r.new) for r in got.collect()) == [(1, "tool", "changed", '"t"', None), (2, "y", "added", None, '{"z":2}'), (4, "w", "added", None, "3")]
     assert diff.nested_diff(table([]), table([])).collect() == []
+
+
+def test_snapshots_of_one_url_meet_their_own_baseline(spark):
+    table = lambda rows: spark.createDataFrame(rows, "page_id int, url string, title string, elements int, text string")
+    now = table([(1, "u", "a", 1, "x"), (2, "u", "b", 1, "x"), (3, "u", "c", 1, "x")])
+    before = table([(1, "u", "a", 1, "x"), (2, "u", "z", 1, "x")])
+    got = diff.baseline_diff(before, now, by=["page_id"]).select("page_id", "state", "title_changed").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "same", False), (2, "changed", True), (3, "new", False)]
