@@ -21,10 +21,13 @@ def component(kind: Column, value: Column) -> Column:
 
 
 def risk(components: DataFrame, by: str = "project", kinds: Sequence[str] = ()) -> DataFrame:
-    """(by, score, level, n): the mean of the components (kind, value); null values don't count."""
+    """(by, score, level, n): the mean of the components (kind, value); null values don't count.
+
+    The score is rounded as tenths in double arithmetic, so that means like 7.15 go up although the nearest double is below them.
+    """
     some = components.where(F.col("kind").isin(*kinds)) if kinds else components
     scored = some.where(F.col("value").isNotNull()).groupBy(by).agg(F.avg(component(F.col("kind"), F.col("value"))).alias("mean"), F.count(F.lit(1)).alias("n"))
-    return scored.select(by, F.round("mean", 1).alias("score"), level(F.col("mean")).alias("level"), "n")
+    return scored.select(by, (F.round(F.col("mean") * 10) / 10).alias("score"), level(F.col("mean")).alias("level"), "n")
 
 
 def file_metrics(files: DataFrame) -> DataFrame:

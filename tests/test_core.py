@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 from corpusmill.functions.text import ascii_folded, path_reason, tokens
-from corpusmill.operators import deduce, deps, docs, findings, graph, intent, routes, rules, scan, search, stack
+from corpusmill.operators import deduce, deps, docs, findings, graph, intent, risk, routes, rules, scan, search, stack
 from corpusmill.sources import payloads, store
 from corpusmill.streaming import events
 from pyspark.sql import functions as F
@@ -270,3 +270,9 @@ def test_mermaid_charts(spark):
     assert graph.mermaid(edges.limit(0)).first()[0].endswith("no_data[No dependency data to graph]")
     assert graph.mermaid_cycles(graph.cycles(edges)).first()[0] == "flowchart LR\nsubgraph C0 [Cycle 1]\n  a_0 --> b_0\n  b_0 --> a_0\nend\nstyle C0 fill:#ffcccc,stroke:#ff0000"
     assert "graph --> nodes[3 nodes]" in graph.mermaid_summary(edges).first()[0]
+
+
+def test_risk_rounds_means_between_two_tenths_up(spark):
+    values = [10.0, 10.0, 1.2, 10.0, 2.1, 10.0, 10.0, 3.9]  # 7.15, whose mean in doubles is 7.1499999999999995
+    rows = spark.createDataFrame([("p", "other", v) for v in values], "project string, kind string, value double").coalesce(1)
+    assert [tuple(r) for r in risk.risk(rows).collect()] == [("p", 7.2, "high", 8)]
