@@ -276,3 +276,20 @@ def test_risk_rounds_means_between_two_tenths_up(spark):
     values = [10.0, 10.0, 1.2, 10.0, 2.1, 10.0, 10.0, 3.9]  # 7.15, whose mean in doubles is 7.1499999999999995
     rows = spark.createDataFrame([("p", "other", v) for v in values], "project string, kind string, value double").coalesce(1)
     assert [tuple(r) for r in risk.risk(rows).collect()] == [("p", 7.2, "high", 8)]
+
+
+def test_relevance_counts_against_all_pairs_over_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "CHUNK", 2)
+    long = "x" * 20 + "yzyzyzyz"
+    texts = [(i, f"Alpha{i % 3} beta gam{'ma' * (i % 2)} {long[: 22 + i % 7]}") for i in range(12)]
+    asked = [(1, "beta (gamma) alpha1"), (2, long), (3, "nothing"), (1, "beta alpha1 alpha2"), (None, "gam eta")]
+    got = search.relevance(spark.createDataFrame(asked, "m int, text string"), spark.createDataFrame(texts, "id int, text string"), "m", F.col("text")).collect()
+    words = {}
+    for m, text in asked:
+        words.setdefault(m, set()).update(w.strip("()") for w in text.split())
+    want = set()
+    for m, some in words.items():
+        best = sorted((-sum(w in t.lower() for w in some), i) for i, t in texts)
+        want |= {(m, i, -k, rank) for rank, (k, i) in enumerate(best[:3], 1) if k}
+    assert {tuple(r) for r in got} == want
