@@ -215,11 +215,14 @@ def _(spark, sf):
     return R.load(role(spark, sf, _TWICE)).select("id", "name", "severity")
 
 
+ENTRIES = 10_000  # a file is parsed as a whole
+
+
 def written(rows, spark, name):
-    """Rows as entries of YAML lists, in files whose names sort as `pos` does."""
+    """Rows as entries of YAML lists, in files of at most `ENTRIES` whose names sort as `pos` does."""
     path = folder(spark, name)
     entry = F.concat(F.lit("- "), F.to_json(F.struct(*[c for c in rows.columns if c != "pos"])))
-    rows.repartitionByRange(4, "pos").sortWithinPartitions("pos").select(entry.alias("value")).write.text(path)
+    rows.repartitionByRange(4, "pos").sortWithinPartitions("pos").select(entry.alias("value")).write.option("maxRecordsPerFile", ENTRIES).text(path)
     return path
 
 

@@ -72,22 +72,21 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from yaml import YAMLError, safe_load
     except ImportError:  # JSON is YAML, too
         safe_load, YAMLError = json.loads, ValueError  # noqa: N806
-    for batch in batches:
+    for path, text in ((p, t) for batch in batches for p, t in zip(batch["path"], batch["content"], strict=True)):
         rows = []
-        for path, text in zip(batch["path"], batch["content"], strict=True):
-            try:
-                found = safe_load(text)
-            except (YAMLError, ValueError, RecursionError) as e:
-                rows.append((path, None, None, f"not readable: {str(e).splitlines()[0][:200]}"))
-                continue
-            if isinstance(found, dict):
-                found = next((v for v in found.values() if isinstance(v, list)), [found])  # a list under one key
-            if found is not None and not isinstance(found, list):
-                rows.append((path, None, None, "not a list"))
-                continue
-            for pos, entry in enumerate(found or []):
-                ok = isinstance(entry, dict)
-                rows.append((path, pos, json.dumps(entry, default=str) if ok else None, None if ok else "not a mapping"))
+        try:
+            found = safe_load(text)
+        except (YAMLError, ValueError, RecursionError) as e:
+            rows.append((path, None, None, f"not readable: {str(e).splitlines()[0][:200]}"))
+            found = None
+        if isinstance(found, dict):
+            found = next((v for v in found.values() if isinstance(v, list)), [found])  # a list under one key
+        if found is not None and not isinstance(found, list):
+            rows.append((path, None, None, "not a list"))
+            found = None
+        for pos, entry in enumerate(found or []):
+            ok = isinstance(entry, dict)
+            rows.append((path, pos, json.dumps(entry, default=str) if ok else None, None if ok else "not a mapping"))
         yield pd.DataFrame(rows, columns=["file", "pos", "entry", "reason"]).astype({"pos": "Int32"})
 
 

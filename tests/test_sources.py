@@ -159,3 +159,13 @@ def test_a_rule_that_comes_between_two_batches_hits_only_in_the_second(spark, tm
     assert run("one.py") == {("R1", "one.py", 1, 0)}
     spark.createDataFrame([("R2", "beta")], "id string, q string").write.mode("append").parquet(table)
     assert run("two.py") == {("R1", "one.py", 1, 0), ("R1", "two.py", 1, 1), ("R2", "two.py", 2, 1)}
+
+
+def test_each_file_of_entries_leaves_the_task_on_its_own():
+    import pandas as pd
+    from corpusmill.sources import files
+
+    batch = pd.DataFrame({"path": ["a", "b", "c"], "content": ['[{"id": "x"}, 3]', "{", '{"k": [{"id": "y"}]}']})
+    got = list(files._entries(iter([batch])))
+    assert [len(f) for f in got] == [2, 1, 1]
+    assert [r is None or r.split(":")[0] for f in got for r in f["reason"].astype(object).where(f["reason"].notna(), None)] == [True, "not a mapping", "not readable", True]
