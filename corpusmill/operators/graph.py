@@ -93,20 +93,46 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return out.withColumn("ring", F.col("nodes") == F.col("edges"))
 
 
+def _simple_rings(edges: DataFrame) -> DataFrame:
+    """(node, component, steps) of trimmed edges: the nodes of rings that no other edge enters or leaves, with the ring's smallest node and the steps to it.
+
+    Each round joins what a node knows of the nodes ahead of it with what the node behind those knows, twice as far ahead. A node from which one comes to a
+    fork or a join is in no such ring. A round that changes nothing is the last one, as the distances to the smallest node, or to a fork, are all numbers up to the largest.
+    """
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("dst").alias("to")).union(edges.select("dst", F.lit(0), F.lit(1), F.lit(None).cast("string")))
+    nodes = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("to").alias("ahead")).where("o = 1 and i = 1")
+    now = kept(nodes.select("node", "ahead", F.col("node").alias("low"), F.lit(0).alias("steps"), F.lit(True).alias("moved")), "rings")
+    reach, n, m = 1, -1, now.count()
+    while m and (m < n or not now.where("moved").isEmpty()):
+        n = m
+        far = now.select(F.col("node").alias("ahead"), F.col("ahead").alias("farther"), F.col("low").alias("far_low"), (F.col("steps") + reach).alias("far_steps"))
+        lower = F.col("far_low") < F.col("low")
+        step = now.join(far.hint("merge"), "ahead").select("node", F.col("farther").alias("ahead"), F.when(lower, F.col("far_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("far_steps")).otherwise(F.col("steps")).alias("steps"), lower.alias("moved"))
+        now, reach = kept(step, "rings"), 2 * reach
+        m = now.count()
+    return now.select("node", F.col("low").alias("component"), "steps")
+
+
 def rings(edges: DataFrame) -> DataFrame:
     """(length, cycle) of the components that are one cycle, of any length, written from its smallest node on.
 
-    A node's place is found by doubling: each round adds up the steps to a node twice as far ahead.
+    Rings that stand alone once the graph is trimmed are found first; the rest goes through its strong components. A node's place is found by
+    doubling: each round adds up the steps to a node twice as far ahead.
     """
+    some = trimmed(edges.where("src <> dst"))
+    alone = _simple_rings(some)
+    rest = kept(some.join(alone.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "rest")
+    places = alone if rest.isEmpty() else alone.union(_tangled_rings(rest))
+    at = F.struct((F.when(F.col("steps") > 0, -F.col("steps")).otherwise(F.lit(-(2**31) + 1))).alias("place"), "node")  # from the smallest node on, then the one farthest from it
+    out = places.groupBy("component").agg(F.array_sort(F.collect_list(at)).alias("nodes"))  # one row a cycle, as long as the cycle
+    return out.select(F.size("nodes").alias("length"), F.array_join(F.col("nodes.node"), " -> ").alias("cycle"))
+
+
+def _tangled_rings(edges: DataFrame) -> DataFrame:
+    """(node, component, steps) as `_simple_rings`, of the strong components that are one cycle."""
     inside = _within(edges)
-    sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("src").alias("n"), F.min("src").alias("first")).where("m = n")
-    ring = inside.join(sizes.select("component", "first"), "component")
-    now = kept(ring.select("component", "first", F.col("src").alias("node"), F.when(F.col("dst") != F.col("first"), F.col("dst")).alias("ahead"), F.lit(0).alias("steps")).withColumn("steps", F.when(F.col("ahead").isNull(), 0).otherwise(1)), "rings")
-    while not now.where("ahead is not null").isEmpty():
-        far = now.select(F.col("node").alias("ahead"), F.col("ahead").alias("farther"), F.col("steps").alias("more"))
-        now = kept(now.join(far, "ahead", "left").select("component", "first", "node", F.col("farther").alias("ahead"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "rings")
-    places = now.groupBy("component").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("place"), "node"))).alias("nodes"))  # one row a cycle, as long as the cycle
-    return places.select(F.size("nodes").alias("length"), F.array_join(F.col("nodes.node"), " -> ").alias("cycle"))
+    sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("src").alias("n")).where("m = n")
+    return _simple_rings(kept(inside.join(sizes.select("component"), "component").select("src", "dst"), "rings"))
 
 
 def cycles(edges: DataFrame, longest: int = 4, exact: bool = False) -> DataFrame:

@@ -1,8 +1,9 @@
 """Steps whose work grew faster than their input, or was done more than once."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import deduce
+from corpusmill.operators import deduce, graph
 
 
 def plan(df):
@@ -16,3 +17,22 @@ def test_a_rule_is_deduced_once(spark):
     assert got == {"a": ("t", "P1", "security", r"\beval\s*\(", "typescript", "**/*.{ts,tsx}"), "b": ("12 34", "P2", "c", r"12\ 34", "", "")}
     text = plan(deduce.bulk(df))
     assert text.count(r"(?i)\beval") == 1 and text.count("(?i)execSync") == 1 and text.count(r"\.([^./]+)$") == 1
+
+
+def table(spark, edges):
+    return spark.createDataFrame(edges, "src string, dst string").repartition(3)
+
+
+def test_rings_that_stand_alone_need_no_components(spark, monkeypatch):
+    names = [f"r{(i * 29) % 37:02}" for i in range(37)]
+    long = list(zip(names, names[1:] + names[:1], strict=True))
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(9)]
+    at = names.index("r00")
+    want = {(37, " -> ".join(names[at:] + names[:at])), (2, "p -> q"), (3, "x -> z -> y")}
+    edges = long + [("p", "q"), ("q", "p"), ("q", "q"), ("x", "z"), ("z", "y"), ("y", "x"), ("in", "x"), ("y", "out")]
+    with monkeypatch.context() as m:
+        m.setattr(graph, "strong_components", lambda edges: pytest.fail("not needed"))
+        assert {tuple(r) for r in graph.rings(table(spark, edges)).collect()} == want
+    # rings joined by a long chain of nodes with one way in and out, and one with a chord
+    more = edges + [("p", "c0"), *chain, ("c9", "r05"), *((f"k{i}", f"k{(i + 1) % 6}") for i in range(6)), ("k0", "k3")]
+    assert {tuple(r) for r in graph.rings(table(spark, more)).collect()} == want
