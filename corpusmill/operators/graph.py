@@ -28,12 +28,17 @@ def hot_paths(edges: DataFrame, n: int = 10) -> DataFrame:
     return edges.groupBy("dst").agg(F.countDistinct("src").alias("callers")).orderBy(F.desc("callers"), "dst").limit(n)
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """A side of a join in a loop: never broadcast, as each round would send it to the driver once more."""
+    return df.hint("merge")
+
+
 def trimmed(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Edges without nodes that nothing enters or leaves, taken off some rounds long: no cycle loses an edge."""
     now = kept(edges.select("src", "dst").distinct(), "edges")
     n = now.count()
     for _ in range(rounds):
-        less = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        less = now.join(_wide(now.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(_wide(now.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
         now = kept(less.select("src", "dst"), "edges")
         m = now.count()
         if m == n:
@@ -50,12 +55,12 @@ def _highest(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     before = edges.groupBy(F.col("dst").alias("node")).agg(F.max("src").alias("far"))
-    now = kept(nodes.join(before, "node", "left").select("node", F.col("node").alias("top"), F.coalesce("far", "node").alias("far"), F.lit(True).alias("moved")), "tops")
+    now = kept(nodes.join(_wide(before), "node", "left").select("node", F.col("node").alias("top"), F.coalesce("far", "node").alias("far"), F.lit(True).alias("moved")), "tops")
     while not now.where("moved").isEmpty():
-        near = edges.join(now.select(F.col("node").alias("src"), "top"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("top").alias("near"))
+        near = edges.join(_wide(now.select(F.col("node").alias("src"), "top")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("top").alias("near"))
         jump = now.select(F.col("node").alias("far"), F.col("top").alias("far_top"), F.col("far").alias("farther"))
         top = F.greatest("top", "near", "far_top")  # nulls are passed over
-        now = kept(now.join(near, "node", "left").join(jump, "far").select("node", top.alias("top"), F.col("farther").alias("far"), (top != F.col("top")).alias("moved")), "tops")
+        now = kept(now.join(_wide(near), "node", "left").join(_wide(jump), "far").select("node", top.alias("top"), F.col("farther").alias("far"), (top != F.col("top")).alias("moved")), "tops")
     return now.select("node", "top")
 
 
@@ -68,13 +73,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     rest, out = trimmed(edges.where("src <> dst")), None
     while not rest.isEmpty():
         colour = kept(_highest(rest), "colours")
-        side = lambda c: colour.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
+        side = lambda c: _wide(colour.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top")))
         inside = kept(rest.join(side("src"), "src").join(side("dst"), "dst").where("src_top = dst_top").select("src", "dst"), "classes")
         back = _highest(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found = kept(colour.join(back.withColumnRenamed("top", "low"), "node").where("top = low").select("node", F.col("top").alias("component")), "components")
-        found = found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "component", "left_semi").select("node", "component")
+        found = kept(colour.join(_wide(back.withColumnRenamed("top", "low")), "node").where("top = low").select("node", F.col("top").alias("component")), "components")
+        found = found.join(_wide(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "component", "left_semi").select("node", "component")
         out = found if out is None else out.union(found)
-        left = lambda df, c: df.join(found.select(F.col("node").alias(c)), c, "left_anti")
+        left = lambda df, c: df.join(_wide(found.select(F.col("node").alias(c))), c, "left_anti")
         rest = trimmed(left(left(inside, "src"), "dst").select("src", "dst"))
     return out if out is not None else edges.where("false").select(F.col("src").alias("node"), F.col("src").alias("component"))
 
@@ -82,7 +87,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def _within(edges: DataFrame) -> DataFrame:
     """(component, src, dst): the edges inside strong components."""
     c = strong_components(edges)
-    side = lambda n: c.select(F.col("node").alias(n), F.col("component").alias(f"{n}_c"))
+    side = lambda n: _wide(c.select(F.col("node").alias(n), F.col("component").alias(f"{n}_c")))
     e = edges.where("src <> dst").select("src", "dst").distinct()
     return kept(e.join(side("src"), "src").join(side("dst"), "dst").where("src_c = dst_c").select(F.col("src_c").alias("component"), "src", "dst"), "inside")
 
@@ -107,7 +112,7 @@ def _simple_rings(edges: DataFrame) -> DataFrame:
         n = m
         far = now.select(F.col("node").alias("ahead"), F.col("ahead").alias("farther"), F.col("low").alias("far_low"), (F.col("steps") + reach).alias("far_steps"))
         lower = F.col("far_low") < F.col("low")
-        step = now.join(far.hint("merge"), "ahead").select("node", F.col("farther").alias("ahead"), F.when(lower, F.col("far_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("far_steps")).otherwise(F.col("steps")).alias("steps"), lower.alias("moved"))
+        step = now.join(_wide(far), "ahead").select("node", F.col("farther").alias("ahead"), F.when(lower, F.col("far_low")).otherwise(F.col("low")).alias("low"), F.when(lower, F.col("far_steps")).otherwise(F.col("steps")).alias("steps"), lower.alias("moved"))
         now, reach = kept(step, "rings"), 2 * reach
         m = now.count()
     return now.select("node", F.col("low").alias("component"), "steps")
@@ -121,7 +126,7 @@ def rings(edges: DataFrame) -> DataFrame:
     """
     some = trimmed(edges.where("src <> dst"))
     alone = _simple_rings(some)
-    rest = kept(some.join(alone.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "rest")
+    rest = kept(some.join(_wide(alone.select(F.col("node").alias("src"))), "src", "left_anti").select("src", "dst"), "rest")
     places = alone if rest.isEmpty() else alone.union(_tangled_rings(rest))
     at = F.struct((F.when(F.col("steps") > 0, -F.col("steps")).otherwise(F.lit(-(2**31) + 1))).alias("place"), "node")  # from the smallest node on, then the one farthest from it
     out = places.groupBy("component").agg(F.array_sort(F.collect_list(at)).alias("nodes"))  # one row a cycle, as long as the cycle
@@ -132,7 +137,7 @@ def _tangled_rings(edges: DataFrame) -> DataFrame:
     """(node, component, steps) as `_simple_rings`, of the strong components that are one cycle."""
     inside = _within(edges)
     sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.countDistinct("src").alias("n")).where("m = n")
-    return _simple_rings(kept(inside.join(sizes.select("component"), "component").select("src", "dst"), "rings"))
+    return _simple_rings(kept(inside.join(_wide(sizes.select("component")), "component").select("src", "dst"), "rings"))
 
 
 def cycles(edges: DataFrame, longest: int = 4, exact: bool = False) -> DataFrame:

@@ -36,3 +36,12 @@ def test_rings_that_stand_alone_need_no_components(spark, monkeypatch):
     # rings joined by a long chain of nodes with one way in and out, and one with a chord
     more = edges + [("p", "c0"), *chain, ("c9", "r05"), *((f"k{i}", f"k{(i + 1) % 6}") for i in range(6)), ("k0", "k3")]
     assert {tuple(r) for r in graph.rings(table(spark, more)).collect()} == want
+
+
+def test_no_side_is_broadcast_in_the_rounds(spark, monkeypatch):
+    plans = []
+    kept = graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, name: plans.append(plan(df)) or kept(df, name))
+    assert graph.strong_components(table(spark, [("a", "b"), ("b", "a"), ("b", "c")])).count() == 2
+    joins = [line for p in plans for line in p.splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
