@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import deduce, graph
+from corpusmill.operators import deduce, diff, graph
 
 
 def plan(df):
@@ -45,3 +45,14 @@ def test_no_side_is_broadcast_in_the_rounds(spark, monkeypatch):
     assert graph.strong_components(table(spark, [("a", "b"), ("b", "a"), ("b", "c")])).count() == 2
     joins = [line for p in plans for line in p.splitlines() if "Join " in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_entries_are_worked_out_once(spark, monkeypatch):
+    plans = []
+    kept = diff.kept
+    monkeypatch.setattr(diff, "kept", lambda df, name: plans.append(plan(df)) or kept(df, name))
+    old = spark.createDataFrame([(1, '{"a":{"b":{}},"n":1,"x":{}}'), (2, "no")], "report_id int, report string")
+    new = spark.createDataFrame([(1, '{"a":{"b":{},"c":"1"},"n":1.0,"x":[]}'), (3, '{"y":null}')], "report_id int, report string")
+    got = {tuple(r) for r in diff.nested_diff(old, new).collect()}
+    assert got == {(1, "a.c", "added", None, '"1"'), (1, "x", "changed", "{}", "[]"), (3, "y", "added", None, "null")}
+    assert len(plans) == 3 and all(p.count("StructsToJsonEvaluator") == 2 for p in plans)  # one for each side
