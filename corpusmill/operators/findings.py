@@ -125,6 +125,7 @@ def enriched(findings: DataFrame, rules: DataFrame) -> DataFrame:
 def new_titles(candidates: DataFrame, existing: DataFrame, limit: int = 20, by: str = "session_id", order: Sequence[str] = ("title",)) -> DataFrame:
     """Candidates whose (cut) title the session doesn't have, each title once, at most `limit` a session."""
     cut = candidates.withColumn("title", F.substring("title", 1, TITLE_CUT))
-    fresh = cut.join(existing.select(by, F.substring("title", 1, TITLE_CUT).alias("title")).distinct(), [by, "title"], "left_anti")
+    # titles that exist aren't made distinct first: the join doesn't need it, and a task would hold all of its part in a hash table
+    fresh = cut.join(existing.select(by, F.substring("title", 1, TITLE_CUT).alias("title")), [by, "title"], "left_anti")
     once = fresh.withColumn("__n", F.row_number().over(Window.partitionBy(by, "title").orderBy(*order))).where("__n = 1")
     return once.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= limit).drop("__n")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import deduce, diff, graph
+from corpusmill.operators import deduce, diff, findings, graph
 
 
 def plan(df):
@@ -56,3 +56,11 @@ def test_entries_are_worked_out_once(spark, monkeypatch):
     got = {tuple(r) for r in diff.nested_diff(old, new).collect()}
     assert got == {(1, "a.c", "added", None, '"1"'), (1, "x", "changed", "{}", "[]"), (3, "y", "added", None, "null")}
     assert len(plans) == 3 and all(p.count("StructsToJsonEvaluator") == 2 for p in plans)  # one for each side
+
+
+def test_known_titles_are_not_gathered_in_a_hash_table(spark):
+    had = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "session_id int, title string")
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "c"), (2, "b"), (3, "a")], "session_id int, title string")
+    out = findings.new_titles(new, had, limit=1)
+    assert sorted(map(tuple, out.collect())) == [(1, "b"), (2, "a"), (3, "a")]
+    assert "Aggregate" not in plan(out)
