@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import deduce, diff, findings, graph
+from corpusmill.operators import deduce, diff, findings, graph, search
 
 
 def plan(df):
@@ -64,3 +64,24 @@ def test_known_titles_are_not_gathered_in_a_hash_table(spark):
     out = findings.new_titles(new, had, limit=1)
     assert sorted(map(tuple, out.collect())) == [(1, "b"), (2, "a"), (3, "a")]
     assert "Aggregate" not in plan(out)
+
+
+def test_only_the_rarest_shingles_of_a_set_are_counted_and_joined(spark, monkeypatch):
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [f"{common} {' '.join(f'd{n}x{i}' for i in range(40))}" for n in range(30)]
+    docs = [(n, t) for n, t in enumerate(texts)] + [(100 + n, t + " end") for n, t in enumerate(texts[:5])] + [(200, texts[0]), (0, texts[0]), (300, "two words"), (301, " Two  WORDS"), (302, " "), (303, None)]
+    sets = {}
+    for k, t in docs:
+        w = (t or "").lower().split()
+        if w:
+            sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))), k)
+    want = {(min(a, b), max(a, b), round(len(x & y) / len(x | y), 9)) for x, a in sets.items() for y, b in sets.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
+    df = spark.createDataFrame(docs, "id int, text string").repartition(3)
+    for counters, parts in ((search.COUNTERS, search.PARTS), (4, 2)):  # few counters cost time, not pairs
+        monkeypatch.setattr(search, "COUNTERS", counters)
+        monkeypatch.setattr(search, "PARTS", parts)
+        out = search.near_duplicates(df, F.col("text"))
+        got = [(r.a, r.b, round(r.similarity, 9)) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want) == 5
+        assert "Window" not in plan(out)
+    assert search.near_duplicates(df.limit(0), F.col("text")).collect() == []
