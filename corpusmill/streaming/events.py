@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.rules import SEVERITIES
 from ..operators.scan import Rule, batch, lines
@@ -127,61 +125,63 @@ def _stateful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class _Ttl(StatefulProcessor):
-    """Keeps the last accepted time of a key, until no event can be too near to it. The last two columns are an event's time and its place among equal times."""
-
-    def __init__(self, ttl: int) -> None:
-        self.ttl = ttl
-
-    def init(self, handle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "t long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        each = pd.concat(rows, ignore_index=True)
-        *columns, t, order = each.columns
-        each = each.sort_values([t, order], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        before, taken = last, []
-        for now in each[t].tolist():
-            ok = last is None or now - last >= self.ttl
-            last = now if ok else last
-            taken.append(ok)
-        if last != before:
-            self.last.update((last,))
-            if before is not None:
-                self.handle.deleteTimer(_due(before + self.ttl))
-            self.handle.registerTimer(_due(last + self.ttl))
-        yield each.loc[taken, columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def _taken(width: int, ttl: int):
+    """Of rows that come sorted by key, a key's head (kind 0) and its last time (1) before its events (2): the first `width` columns of the accepted events. Kind and time come last."""
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, fresh = None, True
+        for batch in batches:
+            taken = []
+            for kind, t in zip(*(batch.column(i).to_pylist() for i in (width, width + 1)), strict=True):
+                if kind < 2:
+                    last, fresh = t, kind == 0
+                ok = kind == 2 and (fresh or (t is not None and last is not None and t - last >= ttl))
+                last, fresh = (t, False) if ok else (last, fresh)
+                taken.append(ok)
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(taken, pa.bool_()))
 
-def _due(micros: int) -> int:
-    """The first whole millisecond at or after a time."""
-    return -(-micros // 1000)
+    return fold
 
 
-def ttl_deduped(events: DataFrame, keys: Sequence[str], ts: str = "ts", ttl: int = TTL, order: str = "event_id") -> DataFrame:
-    """The stream of accepted events: those `ttl` seconds or more after the last accepted one of their key; within a batch in order of time.
+def ttl_dedupe_stream(events: DataFrame, keys: Sequence[str], name: str = "ttl", ts: str = "ts", ttl: int = TTL, order: str = "event_id", at: str | None = None) -> DataFrame:
+    """The events that a stream accepts of what is there now: those `ttl` seconds or more after the last accepted one of their key; within a batch in order of time, without a time last.
 
-    A key's state is one time, in the stream's checkpoint, so a restarted stream goes on as if it had never stopped; it goes once the watermark
-    has passed it by `ttl`. `events` must have a watermark on `ts`. Of a batch, the rows of one key are held together by one task; bound batches at the source.
+    Each batch is sorted by Spark and folded row after row with one time as state, so no task holds a key's rows. A key's last time goes from batch to batch in
+    files beside the rows, until the watermark of `events` on `ts`, if it has one, has passed it by `ttl`; rows that are later than the watermark are left out, as
+    Spark's own states do. A batch that is run again replaces its own rows and times. `at`: a folder that keeps rows and state, see `drained`.
     """
-    _stateful(events.sparkSession)
-    plain = {c: f"c{i}" for i, c in enumerate(events.columns)}  # state functions rename columns that aren't Python names
-    timed = events.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()], F.unix_micros(F.col(ts).cast("timestamp")).alias("at_micros"), F.col(order).alias("at_place"))
+    spark = events.sparkSession
+    at = at or folder(spark, name)
+    micros, late = ttl * 1_000_000, events.schema[ts].metadata.get("spark.watermarkDelayMs")
+    plain = {c: f"c{i}" for i, c in enumerate(events.columns)}
+    by, width = [plain[k] for k in keys], len(plain)
     kind = ", ".join(f"{plain[f.name]} {f.dataType.simpleString()}" for f in events.schema.fields)
-    return timed.groupBy(*[plain[k] for k in keys]).transformWithStateInPandas(_Ttl(ttl * 1_000_000), kind, "append", "eventTime").toDF(*events.columns)
-
+    known = ", ".join([*(f"{plain[k]} {events.schema[k].dataType.simpleString()}" for k in keys), "at_micros long, seen long"])
+    time = lambda df: df.withColumn("at_micros", F.unix_micros(F.col(plain[ts]).cast("timestamp")))
 
-def ttl_dedupe_stream(events: DataFrame, keys: Sequence[str], name: str = "ttl", ts: str = "ts", ttl: int = TTL, order: str = "event_id", at: str | None = None) -> DataFrame:
-    """The events that a stream accepts of what is there now; see `ttl_deduped` and `drained`."""
-    return drained(ttl_deduped(events, keys, ts, ttl, order), name, at=at)
+    def one(df: DataFrame, number: int) -> None:
+        read = lambda schema, path: df.sparkSession.read.schema(schema).parquet(f"{at}/{path}")
+        before, rows = read(known, f"last/{(number + 1) % 2}"), time(df.toDF(*plain.values()))
+        passed = before.agg(F.max("seen")).first()[0]  # one number
+        if passed is not None and late is not None:
+            rows = rows.where(F.col("at_micros").isNull() | (F.col("at_micros") > (passed // 1000 - late) * 1000))
+        heads = rows.groupBy(*by).agg(F.max("at_micros").alias("seen"))
+        kinds = [heads.select(*by, F.lit(0).alias("kind")), before.select(*by, "at_micros", F.lit(1).alias("kind")), rows.withColumn("kind", F.lit(2))]
+        each = kinds[2].unionByName(kinds[0], allowMissingColumns=True).unionByName(kinds[1], allowMissingColumns=True)
+        each = each.select(*plain.values(), "kind", "at_micros").repartition(*by).sortWithinPartitions(*by, "kind", F.asc_nulls_last("at_micros"), plain[order])
+        each.mapInArrow(_taken(width, micros), kind).write.mode("overwrite").parquet(f"{at}/rows/{number}")
+        accepted = time(read(kind, f"rows/{number}")).select(*by, "at_micros", F.lit(None).cast("long").alias("seen"))
+        now = accepted.unionByName(before).unionByName(heads, allowMissingColumns=True).groupBy(*by).agg(F.max("at_micros").alias("at_micros"), F.max("seen").alias("seen"))
+        seen = now.agg(F.max("seen")).first()[0]
+        now = now.withColumn("seen", F.lit(seen).cast("long"))
+        if seen is not None and late is not None:
+            now = now.where(F.col("at_micros").isNull() | (F.col("at_micros") + micros > (seen // 1000 - late) * 1000))
+        now.write.mode("overwrite").parquet(f"{at}/last/{number % 2}")
+
+    for schema, path in ((known, "last/1"), (kind, "rows/none")):  # what the first batch finds, if the folder is new
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{at}/{path}")
+    events.writeStream.foreachBatch(one).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).option("recursiveFileLookup", True).parquet(f"{at}/rows").toDF(*events.columns)
 
 
 def sessions_ended(events: DataFrame, by: str = "user_id", gap_s: int = 1800, ts: str = "ts", saved: str = "purchase") -> DataFrame:

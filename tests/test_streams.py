@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 
 from corpusmill.operators import scan
@@ -91,3 +92,28 @@ def test_error_rate_stream_equals_its_batch_twin(spark, tmp_path):
     passed = max(r[1] for r in rows if (r[0] * 37) % 400 + 200 >= 0) - dt.timedelta(minutes=10)
     twin = {tuple(r) for r in rates(spark.createDataFrame(rows, SCHEMA)).collect() if r.start + dt.timedelta(minutes=10) <= passed}
     assert got and got == twin
+
+
+def test_ttl_stream_folds_row_after_row(spark, tmp_path):
+    read = []
+
+    def batches():
+        for i in range(50):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({"k": ["a"] * 10, "kind": [2] * 10, "t": [i * 10 + j for j in range(10)]})
+
+    first = next(iter(events._taken(1, 4)(batches())))
+    assert first.num_rows == 3 and read == [0]  # what was read is let out before more is read
+
+
+def test_ttl_stream_with_late_rows_missing_keys_and_times(spark, tmp_path):
+    at, source, s = str(tmp_path / "kept"), str(tmp_path / "in"), lambda n: n and START + dt.timedelta(seconds=n)
+    one = lambda rows: [(i, s(t), 1, k, None) for i, t, k in rows]
+    arrive(spark, source, one([(1, 5000, "a"), (2, 5100, "a"), (3, 5300, "a"), (4, 5299, None), (5, 5001, None), (6, None, "n"), (7, None, "n"), (8, None, "a"), (9, 4000, "z")]))
+    got = lambda: {r.event_id for r in events.ttl_dedupe_stream(stream(spark, source), ["event_type"], ttl=300, at=at).collect()}
+    assert got() == {1, 3, 5, 6, 9}
+    assert {(r.c3, r.at_micros is None) for r in spark.read.parquet(f"{at}/last/0").collect()} == {("a", False), (None, False), ("n", True)}  # z has passed
+    # 4600 is later than the watermark, 4800 isn't but before a's last; 5301 is 300 after the row without a key
+    arrive(spark, source, one([(11, 4600, "new"), (12, 4800, "new"), (13, 4800, "a"), (14, 5599, "a"), (15, 5600, "a"), (16, 5300, None), (17, 5301, None), (18, 9000, "n"), (19, 4701, "z")]))
+    assert got() == {1, 3, 5, 6, 9, 12, 15, 17, 19}
+    assert got() == {1, 3, 5, 6, 9, 12, 15, 17, 19}  # nothing new
