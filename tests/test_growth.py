@@ -1,5 +1,7 @@
 """Steps whose work grew faster than their input, or was done more than once."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,38 @@ def test_only_the_rarest_shingles_of_a_set_are_counted_and_joined(spark, monkeyp
         assert set(got) == want and len(got) == len(want) == 5
         assert "Window" not in plan(out)
     assert search.near_duplicates(df.limit(0), F.col("text")).collect() == []
+
+
+def test_an_index_takes_texts_apart_once_and_reads_few_buckets(spark, monkeypatch):
+    name, text = f"index_{uuid.uuid4().hex}", F.col("summary")
+    rows = [(i, " ".join(f"w{(i * k) % 23} Tax" for k in range(i % 9))) for i in range(60)] + [(7, "tax twice"), (8, None), (9, "a b")]
+    docs = spark.createDataFrame(rows, "id int, summary string").repartition(3)
+    expected = {r.id: round(r.score, 9) for r in search.searched(docs, text, "tax w3 w3 nope").collect()}
+    wanted = {tuple(r) for r in search.term_table(docs.where("id <> 7"), text).collect()}
+    calls, tokens = [], search.tokens
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(search, "tokens", lambda c: calls.append(c) or tokens(c))
+            search.index_documents(docs.where("id % 3 > 0"), text, name, buckets=8)
+            search.index_documents(docs.where("id % 3 = 0"), text, name)
+            search.index_documents(docs.where("id < 0"), text, name)
+        assert len(calls) == 3  # once a call
+        table = spark.table(f"{name}_terms")
+        assert len(table.inputFiles()) <= 16 and {tuple(r) for r in table.where("id <> 7").collect()} == wanted
+        assert [tuple(r) for r in spark.table(f"{name}_stats").groupBy().sum("n", "terms").collect()] == [tuple(search.corpus_stats(docs, text).select("n", "terms").first())]
+        found = search.index_searched(spark, name, "tax w3 w3 nope")
+        assert {r.id: round(r.score, 9) for r in found.collect()} == expected and len(expected) > 40
+        assert "SelectedBucketsCount: 3 out of 8" in found._jdf.queryExecution().toString() or "SelectedBucketsCount: 2 out of 8" in found._jdf.queryExecution().toString()
+    finally:
+        for part in ("terms", "stats"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
+
+
+def test_an_index_of_no_documents(spark):
+    name, text = f"index_{uuid.uuid4().hex}", F.col("summary")
+    try:
+        search.index_documents(spark.createDataFrame([], "id int, summary string"), text, name)
+        assert search.index_searched(spark, name, "tax").collect() == [] and spark.table(f"{name}_stats").collect() == [(0, 0)]
+    finally:
+        for part in ("terms", "stats"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
