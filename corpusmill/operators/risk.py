@@ -20,13 +20,22 @@ def component(kind: Column, value: Column) -> Column:
     return F.least(scaled.cast("double"), F.lit(10.0))
 
 
-def risk(components: DataFrame, by: str = "project", kinds: Sequence[str] = ()) -> DataFrame:
+def risk(components: DataFrame, by: str = "project", kinds: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """(by, score, level, n): the mean of the components (kind, value); null values don't count.
 
     The score is rounded as tenths in double arithmetic, so that means like 7.15 go up although the nearest double is below them.
+    A sum of doubles depends on their order, and so does a mean between two tenths: with columns `order`, a project's components are added one
+    after the other in that order, however the rows are dealt out. They are then sorted, and a project's are added by one task, which holds none but the last.
     """
     some = components.where(F.col("kind").isin(*kinds)) if kinds else components
-    scored = some.where(F.col("value").isNotNull()).groupBy(by).agg(F.avg(component(F.col("kind"), F.col("value"))).alias("mean"), F.count(F.lit(1)).alias("n"))
+    known, value = some.where(F.col("value").isNotNull()), component(F.col("kind"), F.col("value"))
+    if order:
+        w = Window.partitionBy(by).orderBy(*order)
+        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added = known.select(by, F.avg(value).over(so_far).alias("mean"), F.row_number().over(w).cast("long").alias("n"), F.lead(F.lit(1)).over(w).alias("next"))
+        scored = added.where(F.col("next").isNull())
+    else:
+        scored = known.groupBy(by).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return scored.select(by, (F.round(F.col("mean") * 10) / 10).alias("score"), level(F.col("mean")).alias("level"), "n")
 
 

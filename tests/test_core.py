@@ -278,6 +278,15 @@ def test_risk_rounds_means_between_two_tenths_up(spark):
     assert [tuple(r) for r in risk.risk(rows).collect()] == [("p", 7.2, "high", 8)]
 
 
+def test_risk_score_adds_in_order_of_the_orders(spark, tmp_path):
+    from corpusmill.plans.queries import queries
+
+    keys = [52128, 64724, 64894, 124524, 126066, 149811]  # added in this order they have 5.2, backwards 5.1
+    for name, some in (("there", keys), ("back", keys[::-1]), ("apart", keys)):
+        spark.createDataFrame([(k, 2405) for k in some], "o_orderkey long, o_custkey long").repartition(3 if name == "apart" else 1).write.parquet(str(tmp_path / name / "orders.parquet"))
+        assert [tuple(r) for r in queries()["risk_score"](spark, str(tmp_path / name)).collect()] == [("c2405", 5.2, "medium", 6)], name
+
+
 def test_relevance_counts_against_all_pairs_over_blocks_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 4)
     monkeypatch.setattr(search, "CHUNK", 2)
