@@ -122,3 +122,25 @@ def test_an_index_of_no_documents(spark):
     finally:
         for part in ("terms", "stats"):
             spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
+
+
+def test_words_of_texts_meet_messages_without_a_shuffle(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice(["an", "der", "é", "th", "ou", "x" * 9]) for _ in range(draw.randint(1, 5)))
+    texts = [(i * 7 % 500, " ".join(word() for _ in range(draw.choice([0, 3, 20, 90])))) for i in range(500)] + [(900, None)]
+    asked = [(i, " ".join(word() for _ in range(draw.choice([1, 6, 25])))) for i in range(60)]
+    plans, kept = [], search.kept
+    monkeypatch.setattr(search, "kept", lambda df, name: plans.append(plan(df)) or kept(df, name))
+    monkeypatch.setattr(search, "FIRST", 16, raising=False)
+    docs = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    got = search.relevance(spark.createDataFrame(asked, "m int, text string"), docs, "m", F.col("text"))
+    want = set()
+    for m, text in asked:
+        words = {w for w in text.split() if len(w) > 2 and w not in search.STOP_WORDS}
+        best = sorted((-sum(w in t for w in words), i) for i, t in texts if t is not None)
+        want |= {(m, i, -k, rank) for rank, (k, i) in enumerate(best[:3], 1) if k}
+    assert {tuple(r) for r in got.collect()} == want
+    lines = [line for p in [*plans, plan(got)] for line in p.splitlines() if "held" in line]
+    assert lines and not [line for line in lines if "Join " in line or "Aggregate " in line]
